@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact, quality
+from . import decontaminate, exact, jaccard, quality
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact.op8_exact_dedup,
 }
 
