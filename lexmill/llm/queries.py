@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, jaccard, quality
+from . import counts, decontaminate, exact, jaccard, quality, sentencepieces
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_token_counts": counts.op9_token_counts,
+    "op10_sentencepiece_encoding_decoding": sentencepieces.op10_sentencepiece_encoding_decoding,
 }
 
 ORACLES = {

@@ -174,10 +174,13 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def semi_join(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of df whose key is in ids, a frame that was cut(); ids are broadcast only if counted to be few enough."""
+def semi_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of df whose key is in ids, a frame that was cut(), or with how="left_anti" the others.
+
+    ids are broadcast only if they are counted to be few enough.
+    """
     few = ids.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, key, how)
 
 
 def training_rows(folds: int, out: int = 1):
