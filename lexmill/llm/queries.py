@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, exact, jaccard, quality, sentencepieces
+from . import counts, decontaminate, exact, jaccard, quality, sentencepieces, substring
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op5_substring_dedup": substring.op5_substring_dedup,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_token_counts": counts.op9_token_counts,
