@@ -6,12 +6,12 @@ The join is a blocked sparse product of the document-by-shingle incidence matrix
 2. Only the columns that a row needs are multiplied: of two linked rows, the first ``n - ceil(0.8 n) + 1`` shingles of
    each, in any order that holds for all rows, share one. The order puts shingles known to be frequent last; that list
    has a fixed size and only saves work.
-3. A column's rows (its bucket) are all multiplied with one pivot row, the smallest doc_id. Overlap counts are
-   accumulated over whole sets in blocks of at most ``BLOCK`` rows for a pivot. Jaccard distance is a metric, so most
+3. A column's rows (its bucket) are all multiplied with one pivot row, the smallest doc_id, but for pairs that sizes
+   or 512-bit parity sketches (whose Hamming distance never exceeds the symmetric difference) put below the bound.
+   Overlap counts are accumulated over whole sets in blocks of at most ``BLOCK`` rows for a pivot. Jaccard distance is a metric, so most
    other pairs of a bucket are settled: rows of one component need no further link.
-4. The pairs left are those of different components in one bucket. Those that sizes, distances to the pivot, or
-   512-bit parity sketches (whose Hamming distance never exceeds the symmetric difference) put below the bound are
-   discarded, the others counted exactly.
+4. The pairs left are those of different components in one bucket. Those that sizes, sketches or the distances to the
+   pivot put below the bound are discarded, the others counted exactly.
 
 Large groups of near copies thus cost one pair a member, not all pairs, and no link between components is lost.
 """
@@ -134,6 +134,13 @@ def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(multiply, "a long, b long, n_a long, n_b long, both long")
 
 
+#: Bounds from sizes: of the smaller set on the larger, and of the symmetric difference, which the sketches' distance
+#: never exceeds.
+POSSIBLE = (
+    f"({DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n) and {DEN - NUM} * (x.n + y.n) >= {DEN + NUM} * ("
+    + " + ".join(f"bit_count(x.b{j} ^ y.b{j})" for j in range(SKETCH))
+    + "))"
+)
 LINKED = f"{DEN} * both >= {NUM} * (n_a + n_b - both)"
 
 
@@ -152,8 +159,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keys = reps.select(F.explode("prefix").alias("key"), "doc_id")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).filter("size > 1").drop("size")
     members = cut(keys.join(buckets, "key").filter("doc_id != pivot"))
-    star = overlaps(docs, cut(members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()))
-    star = cut(star)
+    profiles = cut(sig.select("doc_id", "n", *(f"b{j}" for j in range(SKETCH))).dropDuplicates(["doc_id"]))
+    star = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = star.alias("p").join(profiles.alias("x"), F.expr("p.a = x.doc_id")).join(profiles.alias("y"), F.expr("p.b = y.doc_id")).filter(POSSIBLE).select("a", "b")
+    star = cut(overlaps(docs, cut(star)))
     links = star.filter(LINKED).select("a", "b")
     found = components(links)
 
@@ -163,16 +172,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = rows.join(found.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum((F.col("component") != F.col("home")).cast("long")).alias("strangers"))
     mixed = mixed.filter("least != most and strangers > 0").select("key")
-    near = star.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.col("n_b").alias("n"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
-    sketches = sig.select("doc_id", *(f"b{j}" for j in range(SKETCH))).dropDuplicates(["doc_id"])
-    rows = cut(rows.join(mixed, "key", "left_semi").join(near, ["pivot", "doc_id"]).join(sketches, "doc_id"))
+    near = star.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
+    rows = cut(rows.join(mixed, "key", "left_semi").join(near, ["pivot", "doc_id"], "left").join(profiles, "doc_id"))
     left, right = rows.filter("component != home"), rows
-    differ = " + ".join(f"bit_count(x.b{j} ^ y.b{j})" for j in range(SKETCH))
     rest = left.alias("x").join(
         right.alias("y"),
         F.expr(
-            f"x.key = y.key and x.component != y.component and (x.doc_id < y.doc_id or y.component = y.home) and {DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)"
-            f" and {2 * DEN - NUM - DEN} * (x.n + y.n) >= {DEN + NUM} * ({differ}) and abs(x.far - y.far) <= {1 - NUM / DEN + 1e-9}"
+            f"x.key = y.key and x.component != y.component and (x.doc_id < y.doc_id or y.component = y.home)"
+            f" and {POSSIBLE} and coalesce(abs(x.far - y.far) <= {1 - NUM / DEN + 1e-9}, true)"
         ),
     )
     rest = cut(rest.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b")).distinct())
