@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, exact, jaccard, quality, sentencepieces, substring
+from . import counts, decontaminate, exact, html, jaccard, quality, sentencepieces, substring, suffix
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_suffix_array_dedup": suffix.op3_suffix_array_dedup,
+    "op4_html_extraction": html.op4_html_extraction,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact.op8_exact_dedup,
