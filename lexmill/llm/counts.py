@@ -13,7 +13,7 @@ from .lattice import Pieces, Tokens
 from .text import documents, map_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _loaded: dict[str, Pieces] = {}
 
 

@@ -185,47 +185,51 @@ class Tokens:
         return flat, np.concatenate([[0], np.cumsum(n)])[self.first]
 
 
-def chunk_scores(pieces: Pieces, raw: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For tokens that begin in [start, end): score and id by (place, length - 1); NEVER where there is none."""
-    n, pre = end - start, byte_sums(raw)
-    score, ids = np.full((n, pieces.longest), NEVER), np.zeros((n, pieces.longest), np.int32)
-    at = np.arange(start, end)
-    ids[:, 0] = pieces.byte_id[raw[at]]
-    score[:, 0] = np.where(raw[at] == SPACE, NEVER, pieces.byte_score)
-    for size in range(1, pieces.longest + 1):
-        own = at[at + size <= len(raw)]
-        hit, found = pieces.find(range_hash(pre, own, own + size))
-        better = pieces.score[found] >= score[hit, size - 1]
-        score[hit[better], size - 1], ids[hit[better], size - 1] = pieces.score[found[better]], found[better]
+def chunk_scores(pieces: Pieces, chunks: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For tokens that begin in the first end bytes of each chunk (raw, end): score and id by (place, length - 1, chunk).
+
+    NEVER stands where there is no token, and behind the end of a shorter chunk.
+    """
+    n = max(end for _, end in chunks)
+    score = np.full((n, pieces.longest, len(chunks)), NEVER)
+    ids = np.zeros(score.shape, np.int32)
+    for c, (raw, end) in enumerate(chunks):
+        pre, at = byte_sums(raw), np.arange(end)
+        ids[:end, 0, c] = pieces.byte_id[raw[:end]]
+        score[:end, 0, c] = np.where(raw[:end] == SPACE, NEVER, pieces.byte_score)
+        for size in range(1, pieces.longest + 1):
+            own = at[at + size <= len(raw)]
+            hit, found = pieces.find(range_hash(pre, own, own + size))
+            better = pieces.score[found] >= score[hit, size - 1, c]
+            score[hit[better], size - 1, c], ids[hit[better], size - 1, c] = pieces.score[found[better]], found[better]
     return score, ids
 
 
 def forward(score: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Max-plus pass over a chunk: entry (longest, k) are scores at its first places, for k cases at once.
+    """Max-plus pass over chunks of one stack: entry (longest, k, chunk) are scores at the first places, for k cases at once.
 
-    Returns best scores by (place, case) for the chunk and ``longest`` places beyond, and the last token's length (0:
-    entered here). Ties go to the longer token.
+    Returns best scores by (place, case, chunk), ``longest`` places beyond too, and the last token's length (0: entered
+    here). Ties go to the longer token.
     """
-    n, longest = score.shape
-    best = np.full((n + longest, entry.shape[1]), NEVER)
+    n, longest = score.shape[:2]
+    best = np.full((n + longest, *entry.shape[1:]), NEVER)
     best[:longest] = entry[: len(best)]
     back = np.zeros(best.shape, np.int8)
-    sizes = np.arange(1, longest + 1)
+    sizes = np.broadcast_to(np.arange(1, longest + 1, dtype=np.int8)[:, None, None], (longest, *entry.shape[1:]))
     for i in range(n):
         value = best[i] + score[i][:, None]
-        window, old = best[i + 1 : i + 1 + longest], back[i + 1 : i + 1 + longest]
-        better = value > window
-        if better.any():
-            window[better] = value[better]
-            old[better] = np.broadcast_to(sizes[:, None], value.shape)[better]
+        better = value > best[i + 1 : i + 1 + longest]
+        np.copyto(best[i + 1 : i + 1 + longest], value, where=better)
+        np.copyto(back[i + 1 : i + 1 + longest], sizes, where=better)
     return best, back
 
 
-def transfer(pieces: Pieces, raw: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Boundary-state matrix of a chunk: from a token that ends i bytes behind its start to one that ends j behind its end."""
-    entry = np.full((pieces.longest, pieces.longest), NEVER)
-    np.fill_diagonal(entry, 0.0)
-    return forward(chunk_scores(pieces, raw, start, end)[0], entry)[0][end - start :].T
+def transfers(pieces: Pieces, chunks: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """Boundary-state matrices of chunks: from a token that ends i bytes behind the start to one that ends j behind the end."""
+    entry = np.full((pieces.longest, pieces.longest, len(chunks)), NEVER)
+    entry[np.arange(pieces.longest), np.arange(pieces.longest)] = 0.0
+    best, _ = forward(chunk_scores(pieces, chunks)[0], entry)
+    return [best[end : end + pieces.longest, :, c].T for c, (_, end) in enumerate(chunks)]
 
 
 def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,18 +237,21 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def backtrace(pieces: Pieces, raw: np.ndarray, start: int, end: int, enter: int, leave: int) -> list[int]:
-    """The pieces of the best path of a chunk between two boundary states."""
-    score, ids = chunk_scores(pieces, raw, start, end)
-    entry = np.full((pieces.longest, 1), NEVER)
-    entry[enter] = 0.0
+def backtraces(pieces: Pieces, chunks: list[tuple[np.ndarray, int]], enter: list[int], leave: list[int]) -> list[np.ndarray]:
+    """The pieces of each chunk's best path between its two boundary states."""
+    score, ids = chunk_scores(pieces, chunks)
+    entry = np.full((pieces.longest, 1, len(chunks)), NEVER)
+    entry[enter, 0, np.arange(len(chunks))] = 0.0
     _, back = forward(score, entry)
-    out, at = [], end - start + leave
-    while at > enter:
-        size = int(back[at, 0])
-        at -= size
-        out.append(int(ids[at, size - 1]))
-    return out[::-1]
+    out = []
+    for c, (_, end) in enumerate(chunks):
+        own, at = [], end + leave[c]
+        while at > enter[c]:
+            size = int(back[at, 0, c])
+            at -= size
+            own.append(ids[at, size - 1, c])
+        out.append(np.array(own[::-1], np.int32))
+    return out
 
 
 def decode(pieces: Pieces, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

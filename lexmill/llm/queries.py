@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, exact, html, jaccard, quality, sentencepieces, substring, suffix
+from . import counts, decontaminate, exact, html, jaccard, pitmanyor, quality, sentencepieces, substring, suffix
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix.op3_suffix_array_dedup,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_substring_dedup": substring.op5_substring_dedup,
+    "op6_lm_scoring": pitmanyor.op6_lm_scoring,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_token_counts": counts.op9_token_counts,

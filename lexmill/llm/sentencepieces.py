@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as a unigram model, with a max-plus parallel scan of giant documents.
 
-A document of more than ``CHUNK`` bytes is split into chunks that are segmented in parallel: each yields a matrix of
+A document of more than ``GIANT`` bytes is split into chunks of ``CHUNK`` that are segmented in parallel: each yields a matrix of
 best scores between the states at its two ends (how far a token reaches over the cut), the matrices are combined
 associatively into the states of the best path, and each chunk is then backtraced on its own. Other documents are a
 chunk of their own with one state at either end; their distinct pre-tokens are segmented once each.
@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .counts import VOCABULARY, pieces
-from .lattice import SPACE, Tokens, backtrace, compose, decode as decode_ids, transfer
+from .lattice import SPACE, Tokens, backtraces, compose, decode as decode_ids, transfers
 from .text import cut, documents, lists, map_slices
 
-CHUNK = 64 << 10
-SLICE_BYTES = 4 << 20
+GIANT, CHUNK = 64 << 10, 8 << 10
+#: Chunks that a task takes in step.
+STACK = 32
+SLICE_BYTES = 2 << 20
 #: Bytes beyond a chunk that its row carries, as many as the longest piece has at most.
 AHEAD = 64
 
@@ -30,11 +32,18 @@ def chunks(giants: DataFrame, size: int) -> DataFrame:
     return rows.select("uid", "at", "of", F.substring("raw", (F.col("at") * size + 1).cast("int"), F.lit(size + AHEAD)).alias("part")).repartition("uid", "at")
 
 
-def _chunk(part: bytes, at: int, of: int, size: int) -> tuple[np.ndarray, int, int]:
-    raw = np.frombuffer(part, np.uint8)
+def _chunk(row: dict, size: int) -> tuple[np.ndarray, int]:
+    raw = np.frombuffer(row["part"], np.uint8)
     raw = np.where(raw == 32, np.uint8(SPACE), raw)
-    end = len(raw) if at == of - 1 else size
-    return (np.insert(raw, 0, SPACE), 0, end + 1) if at == 0 else (raw, 0, end)
+    end = len(raw) if row["at"] == row["of"] - 1 else size
+    return (np.insert(raw, 0, SPACE), end + 1) if row["at"] == 0 else (raw, end)
+
+
+def _stacks(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, STACK):
+            part = batch.slice(at, STACK)
+            yield part, part.to_pylist()
 
 
 def encode_giants(giants: DataFrame, vocabulary: str, size: int) -> DataFrame:
@@ -42,10 +51,9 @@ def encode_giants(giants: DataFrame, vocabulary: str, size: int) -> DataFrame:
     parts = chunks(giants, size)
 
     def matrices(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
-            out = [transfer(pieces(vocabulary), *_chunk(r["part"], r["at"], r["of"], size)).ravel() for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("at"), lists(out, pa.float64())], ["uid", "at", "matrix"])
+        for part, rows in _stacks(batches):
+            out = transfers(pieces(vocabulary), [_chunk(r, size) for r in rows])
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("at"), lists([m.ravel() for m in out], pa.float64())], ["uid", "at", "matrix"])
 
     def states(batches):
         for batch in batches:
@@ -64,9 +72,9 @@ def encode_giants(giants: DataFrame, vocabulary: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["uid"]] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(path[:-1], pa.int32()), pa.array(path[1:], pa.int32())], ["uid", "at", "enter", "leave"])
 
     def traced(batches):
-        for batch in batches:
-            out = [np.array(backtrace(pieces(vocabulary), *_chunk(r["part"], r["at"], r["of"], size), r["enter"], r["leave"]), np.int32) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("at"), lists(out, pa.int32())], ["uid", "at", "ids"])
+        for part, rows in _stacks(batches):
+            out = backtraces(pieces(vocabulary), [_chunk(r, size) for r in rows], [r["enter"] for r in rows], [r["leave"] for r in rows])
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("at"), lists(out, pa.int32())], ["uid", "at", "ids"])
 
     found = parts.mapInArrow(matrices, "uid long, at long, matrix array<double>")
     steps = found.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "matrix"))).alias("steps"))
@@ -75,11 +83,11 @@ def encode_giants(giants: DataFrame, vocabulary: str, size: int) -> DataFrame:
     return out.groupBy("uid").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda c: c.ids)).alias("ids"))
 
 
-def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """The columns keep of docs and ids array<int>. A null or empty text has no ids; repeated rows are encoded alike."""
     keep = list(keep)
     kinds = dict(docs.dtypes)
-    rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_giant", F.coalesce(F.octet_length("text") > chunk, F.lit(False)))
+    rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_giant", F.coalesce(F.octet_length("text") > giant, F.lit(False)))
 
     def run(rows, buf, offsets):
         flat, first = Tokens(pieces(vocabulary), buf, offsets).ids()
