@@ -170,6 +170,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut(), as a compressed table in the shared checkpoint folder: for many rows, or rows read in part later."""
+    import uuid
+
+    ensure_checkpoints(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows of ids that semi_join() may broadcast (16 bytes each, so 16 MB).
 BROADCAST_IDS = 1_000_000
 
