@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .text import Words, cut, documents, lists, map_slices, mix, semi_join, shingle_sets, slices
+from .text import Words, cut, documents, lists, map_slices, mix, semi_join, shingle_sets, slices, stored
 
 NUM, DEN = 80, 100
 BLOCK = 256
@@ -35,7 +35,7 @@ COUNTED, REPORTED = 4_000_000, 3
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Up to HOT shingles with the most documents, as far as tasks notice; a hint for the order only."""
+    """Up to HOT shingles that occur most, as far as tasks notice; a hint for the order only."""
 
     def report(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -46,8 +46,11 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         parts, size = [], 0
         for batch in batches:
             for _, buf, offsets in slices(batch, "text"):
-                parts += shingle_sets(Words(buf, offsets, lower=True))
-                size += sum(map(len, parts[-len(offsets) + 1 :]))
+                words = Words(buf, offsets, lower=True)
+                at = np.arange(max(0, len(words) - 4))
+                whole = np.searchsorted(words.first, at, "right") == np.searchsorted(words.first, at + 4, "right")
+                parts.append(words.grams(5)[whole])
+                size += len(parts[-1])
                 if size >= COUNTED:
                     yield report(parts)
                     parts, size = [], 0
@@ -104,32 +107,24 @@ def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     attends = cut(members.union(pivots).groupBy("doc_id").agg(F.collect_list("to").alias("to")))
     texts = semi_join(docs.select("doc_id", "text"), cut(attends.select("doc_id")), "doc_id").dropDuplicates(["doc_id"]).join(attends, "doc_id")
 
-    def deal(rows, buf, offsets):
-        sets = list(shingle_sets(Words(buf, offsets, lower=True)))
-        to, doc = rows.column("to").to_pylist(), rows.column("doc_id").to_pylist()
-        out = [(t["a"], t["block"], t["role"], doc[i], i) for i in range(len(sets)) for t in to[i]]
-        a, block, role, b, at = map(list, zip(*out, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip((a, block, role, b), kinds, strict=True)), lists([sets[i].view(np.int64) for i in at], pa.int64())], ["a", "block", "role", "b", "set"])
-
-    dealt = texts.mapInArrow(map_slices(deal, "text", 1 << 18), "a long, block long, role int, b long, set array<long>")
+    # whole texts are dealt out: compressed, they are a third of their sets
+    dealt = texts.select("doc_id", "text", F.explode("to").alias("to")).select("to.a", "to.block", "to.role", F.col("doc_id").alias("b"), "text")
     dealt = dealt.repartition("a", "block").sortWithinPartitions("a", "block", "role")
 
     def multiply(batches):
         pivot, of = None, None
         for batch in batches:
-            a, role, b, sets = (batch.column(c) for c in ("a", "role", "b", "set"))
-            flat, first = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.offsets.to_numpy() - sets.offsets[0].as_py()
-            out = []
-            for i in range(batch.num_rows):
-                own = flat[first[i] : first[i + 1]]
-                if role[i].as_py() == 0:
-                    pivot, of = own.copy(), a[i].as_py()
-                elif of == a[i].as_py() and len(own) and len(pivot):
-                    both = int((pivot[np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)] == own).sum())
-                    out.append((of, b[i].as_py(), len(pivot), len(own), both))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n_a", "n_b", "both"])
+            for rows, buf, offsets in slices(batch, "text"):
+                a, role, b = (rows.column(c).to_pylist() for c in ("a", "role", "b"))
+                out = []
+                for i, own in enumerate(shingle_sets(Words(buf, offsets, lower=True))):
+                    if role[i] == 0:
+                        pivot, of = own, a[i]
+                    elif of == a[i] and len(own) and len(pivot):
+                        both = int((pivot[np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)] == own).sum())
+                        out.append((of, b[i], len(pivot), len(own), both))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "n_a", "n_b", "both"])
 
     return dealt.mapInArrow(multiply, "a long, b long, n_a long, n_b long, both long")
 
@@ -152,13 +147,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    sig = cut(signatures(docs, frequent_shingles(docs)))
+    sig = stored(signatures(docs, frequent_shingles(docs)))
     groups = cut(sig.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = sig.filter("n > 0").join(groups, ["k1", "k2", "n"]).filter("doc_id = rep").drop("rep", "copies") if not groups.filter("copies > 1").isEmpty() else sig.filter("n > 0")
+    copies = cut(sig.filter("n > 0").join(groups.filter("copies > 1"), ["k1", "k2", "n"]).filter("doc_id != rep").select("doc_id"))
+    reps = semi_join(sig.filter("n > 0").select("doc_id", "prefix"), copies, "doc_id", "left_anti")
 
     keys = reps.select(F.explode("prefix").alias("key"), "doc_id")
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).filter("size > 1").drop("size")
-    members = cut(keys.join(buckets, "key").filter("doc_id != pivot"))
+    members = stored(keys.join(buckets, "key").filter("doc_id != pivot"))
     profiles = cut(sig.select("doc_id", "n", *(f"b{j}" for j in range(SKETCH))).dropDuplicates(["doc_id"]))
     star = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.alias("p").join(profiles.alias("x"), F.expr("p.a = x.doc_id")).join(profiles.alias("y"), F.expr("p.b = y.doc_id")).filter(POSSIBLE).select("a", "b")
@@ -184,7 +180,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     rest = cut(rest.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b")).distinct())
     if not rest.isEmpty():
-        found = components(links.union(overlaps(docs, rest).filter(LINKED).select("a", "b")))
+        found = components(cut(links.union(overlaps(docs, rest).filter(LINKED).select("a", "b"))))
 
     out = sig.select("doc_id", "n", "k1", "k2").join(groups.drop("copies"), ["k1", "k2", "n"], "left")
     out = out.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
