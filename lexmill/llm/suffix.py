@@ -20,7 +20,7 @@ from .text import byte_sums, cut, documents, lists, map_slices, range_hash, semi
 LENGTH = 400
 ANCHOR = 24
 #: Bytes of regions that are sorted at a time, but for one anchor's, which stay together.
-SHARD = 6 << 20
+SHARD = 2 << 20
 _WIDTH = LENGTH - ANCHOR + 1
 _LOW = np.uint64((1 << 24) - 1)
 
