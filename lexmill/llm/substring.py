@@ -3,7 +3,7 @@
 Every two places of two documents have a common offset below ``PERIOD`` that brings both to a cover place, so two equal
 windows of 50 words share an aligned anchor: ANCHOR words hashed at places that are in the cover modulo the period.
 Only those places are hashed and compared over the corpus. An anchor that two documents share is then extended: each
-window of its documents that holds it is compared whole, by a 128-bit hash of its 50 words, and the smallest doc_id
+window of its documents that holds it is compared whole, by a 96-bit hash of its 50 words, and the smallest doc_id
 that has it decides.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Words, cut, documents, lists, map_slices, mix, range_hash, semi_join, sums
+from .text import Words, cut, documents, lists, map_slices, might_match, mix, range_hash, semi_join, stored, sums
 
 WINDOW = 50
 PERIOD = 31
@@ -75,7 +75,7 @@ def windows(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.Re
     row = np.searchsorted(words.first, start, "right") - 1
     w = range_hash(sums(words.hash), start, start + WINDOW)
     c = range_hash(sums(mix(words.hash + np.uint64(99))), start, start + WINDOW)
-    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(w.view(np.int64)), pa.array(c.view(np.int64))], ["doc_id", "at", "w", "c"])
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(w.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "at", "w", "c"])
 
 
 def removed(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -108,19 +108,21 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     kinds = "doc_id long, n_words long, k1 long, k2 long, sha string, anchors array<long>"
-    rows = cut(docs.mapInArrow(map_slices(profile, "text"), kinds))
+    rows = stored(docs.mapInArrow(map_slices(profile, "text"), kinds))
     # a copy of a smaller document's whole text: all of it goes, and it tells others nothing new
-    firsts = cut(rows.filter(f"n_words >= {WINDOW}").groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
-    rows = rows.join(firsts, ["k1", "k2", "n_words"], "left").withColumn("copy", F.coalesce(F.expr("doc_id is null or doc_id > smallest") & F.col("smallest").isNotNull(), F.lit(False)))
-
-    keys = rows.filter("not copy").select("doc_id", F.explode("anchors").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key")
-    per_doc = cut(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("shared")))
-    spots = cut(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c long"))
+    small = rows.select("doc_id", "n_words", "k1", "k2").filter(f"n_words >= {WINDOW}")
+    firsts = small.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    copies = cut(small.join(firsts, ["k1", "k2", "n_words"]).filter("smallest is not null and (doc_id is null or doc_id > smallest)").select("doc_id", "k1").distinct())
+
+    keys = semi_join(rows.select("doc_id", "anchors"), cut(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
+    per_doc = cut(might_match(keys, shared, "key").join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("shared")))
+    spots = stored(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c int"))
     first = spots.groupBy("w", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "c", "least")
     hits = cut(spots.join(first, ["w", "c"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("at")))
     cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, n_removed long, kept string")
-    out = rows.select("doc_id", "n_words", "sha", "copy").join(cleaned, "doc_id", "left")
+    out = rows.select("doc_id", "n_words", "sha", "k1").join(cleaned, "doc_id", "left")
+    out = out.join(copies.withColumn("copy", F.lit(True)), out["doc_id"].eqNullSafe(copies["doc_id"]) & (out["k1"] == copies["k1"]), "left").drop(copies["doc_id"], copies["k1"])
     return out.select(
         "doc_id",
         "n_words",

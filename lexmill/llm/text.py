@@ -196,3 +196,19 @@ def semi_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", l
 def training_rows(folds: int, out: int = 1):
     """crc32 of doc_id as text, modulo folds, is not out; a null doc_id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) != out
+
+
+#: Words of 64 bits of the bitmap that might_match() broadcasts: 2**19, 8 MB, whatever the input.
+BITMAP_BITS = 19
+
+
+def might_match(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of a join on a hash that can find a partner: those whose bit is set in a bitmap of fixed size.
+
+    Only saves shuffling; with very many keys in wanted all bits are set, and all rows go on to the join.
+    """
+    word = F.shiftrightunsigned(key, 64 - BITMAP_BITS)
+    bit = F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))")
+    bitmap = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word").filter(F.col("_mask").bitwiseAND(bit) != 0)
+    return found.drop("_word", "_mask")
