@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .counts import VOCABULARY, pieces
@@ -100,14 +101,24 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str
     return normal.union(giants.select(*keep, "uid").join(scanned, "uid").select(*keep, "ids"))
 
 
+def _few_ids(batch: pa.RecordBatch, limit: int = 1 << 18):
+    """Runs of rows with up to limit ids, one row at least."""
+    total = np.cumsum(pc.fill_null(batch.column("ids").value_lengths(), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def decode(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns keep of rows and the text of their ids; null ids are an empty text."""
     keep, kinds = list(keep), dict(rows.dtypes)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few_ids(whole)):
             column = batch.column("ids")
-            n = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
+            n = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = decode_ids(pieces(vocabulary), ids, np.concatenate([[0], np.cumsum(n)]))
             text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])

@@ -122,7 +122,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     hits = cut(spots.join(first, ["w", "c"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("at")))
     cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, n_removed long, kept string")
     out = rows.select("doc_id", "n_words", "sha", "k1").join(cleaned, "doc_id", "left")
-    out = out.join(copies.withColumn("copy", F.lit(True)), out["doc_id"].eqNullSafe(copies["doc_id"]) & (out["k1"] == copies["k1"]), "left").drop(copies["doc_id"], copies["k1"])
+    marks = copies.select(F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.lit(True).alias("copy"))
+    out = out.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("k1") == F.col("_k1")), "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     return out.select(
         "doc_id",
         "n_words",
