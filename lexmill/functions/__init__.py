@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column functions: text normal forms, token sets, similarities and quality measures."""

@@ -1,10 +1,12 @@
-"""The registered queries and the SQL that they are compared with."""
+"""All registered queries: importing the modules registers them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lexmill.operators import aggregates, candidates, matching, planning, practice, units, verify
+from lexmill.streaming import status
 
+from .registry import ORACLES, QUERIES
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "matching", "planning", "practice", "status", "units", "verify"]
+
+FLAGSHIP = units.chunk_quality
