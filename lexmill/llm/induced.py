@@ -77,19 +77,45 @@ class Sorter:
         first[-1] = True
         self.sampled = np.flatnonzero(first).astype(np.int32)
         self.pre = byte_sums(text)
+        self.padded = np.concatenate([text, np.zeros(8, np.uint8)])
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether size bytes from a and from b on are equal, by their hashes."""
+        total, down = self.pre
+        return (total[a + size] - total[a]) * down[a] == (total[b + size] - total[b]) * down[b]
+
+    def eight(self, a: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.padded, 8)[a]).view("<u8")[:, 0]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefixes of suffixes, up to cap, by bisection on hashes."""
+        """Common prefixes of suffixes, up to cap: growing lengths, then bisection between the last two."""
         most = np.minimum(self.cap, len(self.text) - np.maximum(a, b)).astype(np.int64)
-        low, high = np.zeros(len(a), np.int64), most
-        while np.any(low < high):
-            mid = (low + high + 1) // 2
-            same = range_hash(self.pre, a, a + mid) == range_hash(self.pre, b, b + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low.astype(np.int32)
-
-    def induce(self, seeds: dict[int, tuple[np.ndarray, np.ndarray]], small: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """One pass: from seeds of the other kind all suffixes that are small or not, by first byte and in the pass's order."""
+        # the first eight bytes as one number
+        differ = self.eight(a) ^ self.eight(b)
+        lowest = differ & (~differ + np.uint64(1))
+        out = np.minimum(np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3, most)
+        live = np.flatnonzero((differ == 0) & (most >= 8))
+        out[differ == 0] = np.minimum(8, most[differ == 0])
+        low = np.full(len(live), 8, np.int64)
+        for reach in (32, 128, self.cap):
+            x, y, high = a[live], b[live], np.maximum(low, np.minimum(reach, most[live]))
+            more = self.same(x, y, high)
+            out[live[more]] = high[more]
+            ends, x, y, lo, hi = live[~more], x[~more], y[~more], low[~more], high[~more] - 1
+            while np.any(lo < hi):
+                mid = (lo + hi + 1) // 2
+                equal = self.same(x, y, mid)
+                lo, hi = np.where(equal, mid, lo), np.where(equal, hi, mid - 1)
+            out[ends] = lo
+            more &= high < most[live]
+            live, low = live[more], high[more]
+        return out.astype(np.int32)
+
+    def induce(self, seeds: dict[int, tuple[np.ndarray, np.ndarray]], small: bool, tell: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """One pass: from seeds of the other kind all suffixes that are small or not, by first byte and in the pass's order.
+
+        Without tell the order is all that counts, and common prefixes are left at 0.
+        """
         queues = [Queue() for _ in range(256)]
         least = np.full(256, -1, np.int32)  # of the values since the last suffix sent to a queue; -1: none was
         wanted = self.small if small else ~self.small
@@ -102,12 +128,16 @@ class Sorter:
                 order = np.argsort(to, kind="stable")
                 to, at = to[order], at[order]
                 head = np.concatenate([[True], to[1:] != to[:-1]])
+                cuts = np.append(np.flatnonzero(head), len(to))
+                if not tell:
+                    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                        queues[to[x]].put(before[at[x:y]].astype(np.int32), np.zeros(y - x, np.int32))
+                    return
                 begin = np.where(head, 0, np.concatenate([[0], at[:-1] + 1]))
                 spans = np.stack([begin, at + 1], 1).ravel()
                 value = np.minimum.reduceat(np.append(common, _FAR), spans)[::2]
                 value[head] = np.minimum(value[head], least[to[head]])
                 value = np.minimum(value + 1, self.cap).astype(np.int32)
-                cuts = np.append(np.flatnonzero(head), len(to))
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     queues[to[x]].put(before[at[x:y]].astype(np.int32), value[x:y])
                 rest = np.append(np.minimum.accumulate(common[::-1])[::-1], _FAR)
@@ -124,7 +154,7 @@ class Sorter:
             if byte in seeds and len(seeds[byte][0]):
                 place, common = seeds[byte]
                 common = common.copy()
-                common[0] = 0 if last is None else self.common(last, place[:1])[0]
+                common[0] = 0 if last is None or not tell else self.common(last, place[:1])[0]
                 for at in range(0, len(place), RUN):
                     step(place[at : at + RUN], common[at : at + RUN])
         return {b: q.all() for b, q in enumerate(queues) if q.parts}
@@ -144,7 +174,7 @@ class Sorter:
         s, n = self.sampled, len(self.text)
         order = s[np.argsort(self.text[s], kind="stable")]
         zero = np.zeros(len(s), np.int32)
-        small = self.induce(self.backward(self.induce(self.by_byte(order, zero), False)), True)
+        small = self.induce(self.backward(self.induce(self.by_byte(order, zero), False, False)), True, False)
         place = np.concatenate([small[b][0][::-1] for b in sorted(small)]) if small else np.zeros(0, np.int32)
         number = np.full(n, -1, np.int32)
         number[s] = np.arange(len(s))
