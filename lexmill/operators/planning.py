@@ -19,8 +19,8 @@ def apportioned(totals: DataFrame, key: str) -> DataFrame:
     low = F.expr("total * share div 100")
     up = (exact % 100 > 50) | ((exact % 100 == 50) & (low % 2 == 1))
     rows = rows.withColumn("n", low + up.cast("long"))
-    rows = rows.withColumn("delta", F.col("total") - F.sum("n").over(W.partitionBy(key))).withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(F.desc("share"), "pos")))
-    fixed = F.col("n") + F.when(F.col("k") <= F.abs("delta"), F.signum("delta").cast("long")).otherwise(0)
+    rows = rows.withColumn("delta", F.col("total") - F.sum("n").over(W.partitionBy(key))).withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("share"), "pos")))
+    fixed = F.col("n") + F.when(F.col("_rank") <= F.abs("delta"), F.signum("delta").cast("long")).otherwise(0)
     return rows.select(key, "level", "target", fixed.cast("long").alias("count"))
 
 
