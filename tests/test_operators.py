@@ -98,3 +98,52 @@ def test_verdicts(spark):
     rows = [(1, "logic_negation", "p and q", "not p or not q", 0.0, 0.0), (2, "nothing", "1", "1", 0.0, 0.0), (3, "probability", "1/6", "0.1666667", 0.0, 0.0), (4, "integral", "2*x", "4", 0.0, 2.0)]
     got = verify.verdicts(spark.createDataFrame(rows, "claim_id long, type string, a string, b string, low double, high double")).collect()
     assert {r.claim_id: r.verdict for r in got} == {1: True, 2: None, 3: True, 4: True}
+
+
+def test_trimmed(spark):
+    from lexmill.operators.rating import trimmed
+
+    parts = ["plain words here", "the keyword stands here " * 3, "x" * 95, "keyword 1234 5678", "more keyword text"]
+    df = spark.createDataFrame([(parts, ["keyword"])], "u array<string>, k array<string>")
+    got = df.select(trimmed(F.col("u"), F.col("k"), 100).alias("x")).first().x
+    assert got == "the keyword stands here " * 3 + "\n\n" + "keyword 1234 5678"
+
+
+def test_diverse_items(spark):
+    from lexmill.operators import rating
+
+    texts = ["alpha beta gamma delta", "alpha beta gamma epsilon", "zeta eta theta iota", "epsilon gamma zeta eta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    sets = [set(w for w in t.split() if len(w) >= 3) for t in texts]
+    kept = []
+    for i, s in enumerate(sets):
+        if all(len(s & sets[k]) / len(s | sets[k]) < 0.2 for k in kept):
+            kept.append(i)
+    assert sorted(r.item_id for r in matching.greedy_keep(rows, rating.item_links(rows), "item_id").collect()) == kept
+
+
+def test_ratios(spark):
+    from difflib import SequenceMatcher
+
+    from lexmill.operators.rating import ratios
+
+    texts = ["the same words", "the same word", "nothing alike", "thing alike no"]
+    pairs = [(a, b, texts[a], texts[b]) for a in range(4) for b in range(a + 1, 4)]
+    want = {(a, b): int(SequenceMatcher(None, x, y).ratio() * 1000) for a, b, x, y in pairs if SequenceMatcher(None, x, y).ratio() >= 0.6}
+    assert {(r.a, r.b): r.permille for r in ratios(spark.createDataFrame(pairs, "a long, b long, x string, y string"), 0.6).collect()} == want
+
+
+def test_files(spark, tmp_path):
+    from lexmill.sources import files
+
+    (tmp_path / "set.json").write_text('{"metadata": {"n": 2}, "c1": {"topic": "t", "pages": [1], "context": "x", "clean_context": {"chunk_type": "exercise"}}, "c2": {"context": "y"}}')
+    got = {r.chunk_id: (r.topic, r.context, r.chunk_type) for r in files.dataset_chunks(spark, str(tmp_path / "set.json")).collect()}
+    assert got == {"c1": ("t", "x", "exercise"), "c2": (None, "y", "theory")}
+    (tmp_path / "SKILL.md").write_text('---\nname: "a b"\nkind: c:d\n---\nbody: no')
+    assert {r.key: r.value for r in files.front_matter(spark, str(tmp_path / "SKILL.md")).collect()} == {"name": "a b", "kind": "c:d"}
+    (tmp_path / "r1.json").write_text('{"metadata": {"duration_seconds": 2.5, "cost": {"tokens": 7, "calls": 1}}, "questions": [{"a": "b"}], "rejected": []}')
+    (tmp_path / "r2.json").write_text('{"metadata": ')
+    got = files.results(spark, str(tmp_path / "r*.json")).collect()
+    assert len(got) == 1 and got[0].metadata.cost.tokens == 7
+    pages = spark.createDataFrame([("a\n---\n\n---\nb",), ("x\n## H\ny",)], "t string").select(files.markdown_pages(F.col("t")).alias("p")).collect()
+    assert [[(p.page, p.text) for p in r.p] for r in pages] == [[(1, "a"), (3, "b")], [(1, "x"), (2, "## H\ny")]]
