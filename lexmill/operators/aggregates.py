@@ -148,10 +148,10 @@ def distribution_totals(spark, sf_dir):
     return totals.agg((F.countDistinct(F.when(F.col("total") > 0, F.col("total"))) > 1).alias("mismatch"), F.count("*").alias("groups"), F.sum("total").alias("total"))
 
 
-@query("SELECT source, substr(sha256(string_agg(doc_id || '|' || lang || '|' || text, chr(10) ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY source")
+@query("SELECT source, substr(sha256(string_agg(sha256(doc_id || '|' || lang || '|' || text), chr(10) ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY source")
 def dataset_fingerprint(spark, sf_dir):
-    """SHA-256 of a data set's units in order, 16 digits of it."""
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.concat_ws("|", "doc_id", "lang", "text").alias("s")))).alias("rows"))
+    """SHA-256 of the digests of a data set's units in order, 16 digits of it; texts are hashed where they are."""
+    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2(F.concat_ws("|", "doc_id", "lang", "text").cast("binary"), 256).alias("s")))).alias("rows"))
     return rows.select("source", F.substring(F.sha2(F.array_join(F.transform("rows", lambda r: r.s), "\n"), 256), 1, 16).alias("fingerprint"))
 
 

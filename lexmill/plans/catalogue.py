@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.operators import aggregates, candidates, matching, planning, practice, rating, units, verify
+from lexmill.operators import aggregates, candidates, matching, planning, practice, rating, scoring, units, verify
 from lexmill.sources import files
 from lexmill.streaming import status
 
 from .registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "files", "matching", "planning", "practice", "rating", "status", "units", "verify"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "files", "matching", "planning", "practice", "rating", "scoring", "status", "units", "verify"]
 
 FLAGSHIP = units.chunk_quality
