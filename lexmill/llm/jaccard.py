@@ -7,11 +7,12 @@ The join is a blocked sparse product of the document-by-shingle incidence matrix
    each, in any order that holds for all rows, share one. The order puts shingles known to be frequent last; that list
    has a fixed size and only saves work.
 3. A column's rows (its bucket) are all multiplied with one pivot row, the smallest doc_id, but for pairs that sizes
-   or 512-bit parity sketches (whose Hamming distance never exceeds the symmetric difference) put below the bound.
+   or 1024-bit parity sketches (whose Hamming distance never exceeds the symmetric difference) put below the bound.
    Overlap counts are accumulated over whole sets in blocks of at most ``BLOCK`` rows for a pivot. Jaccard distance is a metric, so most
    other pairs of a bucket are settled: rows of one component need no further link.
-4. The pairs left are those of different components in one bucket. Those that sizes, sketches or the distances to the
-   pivot put below the bound are discarded, the others counted exactly.
+4. The pairs left are those of different components in one bucket. Their overlap is accumulated over the prefixes, and
+   those that sizes, sketches, the distances to the pivot or this count put below the bound are discarded. The others
+   are counted exactly.
 
 Large groups of near copies thus cost one pair a member, not all pairs, and no link between components is lost.
 """
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .text import Words, cut, documents, lists, map_slices, mix, semi_join, shingle_sets, slices, stored
+from .text import Words, cut, documents, lists, map_slices, mix, range_hash, semi_join, shingle_sets, slices, stored, sums
 
 NUM, DEN = 80, 100
 BLOCK = 256
-SKETCH = 8
-#: Frequent shingles that the order may put last: 2**17 of 8 bytes, 1 MB, whatever the input.
-HOT = 1 << 17
+SKETCH = 16
+#: Frequent shingles that the order may put last: 2**20 of 8 bytes, 8 MB, whatever the input.
+HOT = 1 << 20
 #: Shingles that a task counts at a time to find frequent ones, and the count from which it reports one.
 COUNTED, REPORTED = 4_000_000, 3
 
@@ -43,17 +44,23 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         return pa.record_batch({"key": pa.array(values[often].view(np.int64)), "n": pa.array(counts[often], pa.int64())})
 
     def run(batches):
-        parts, size = [], 0
+        parts, size, seen = [], 0, set()
         for batch in batches:
             for _, buf, offsets in slices(batch, "text"):
                 words = Words(buf, offsets, lower=True)
+                text = range_hash(sums(words.hash), words.first[:-1], words.first[1:]).tolist()
+                fresh = []  # copies would only fill the list with their own shingles
+                for h in text:
+                    fresh.append(h not in seen)
+                    seen.add(h)
                 at = np.arange(max(0, len(words) - 4))
-                whole = np.searchsorted(words.first, at, "right") == np.searchsorted(words.first, at + 4, "right")
+                row = np.searchsorted(words.first, at, "right") - 1
+                whole = (row == np.searchsorted(words.first, at + 4, "right") - 1) & np.array(fresh)[row]
                 parts.append(words.grams(5)[whole])
                 size += len(parts[-1])
                 if size >= COUNTED:
                     yield report(parts)
-                    parts, size = [], 0
+                    parts, size, seen = [], 0, set()
         if parts:
             yield report(parts)
 
@@ -178,7 +185,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             f" and {POSSIBLE} and coalesce(abs(x.far - y.far) <= {1 - NUM / DEN + 1e-9}, true)"
         ),
     )
-    rest = cut(rest.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b")).distinct())
+    # accumulated over the prefixes, the overlap is known but for what is behind the prefix that ends first
+    rest = rest.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b"), F.expr("x.n + y.n").alias("n"), F.expr("greatest(x.n, y.n)").alias("longer"))
+    rest = rest.groupBy("a", "b", "n", "longer").agg(F.count("*").alias("shared"))
+    rest = rest.filter(f"{DEN + NUM} * (shared + ({NUM} * longer + {DEN - 1}) div {DEN} - 1) >= {NUM} * n")
+    rest = cut(rest.select("a", "b"))
     if not rest.isEmpty():
         found = components(cut(links.union(overlaps(docs, rest).filter(LINKED).select("a", "b"))))
 
