@@ -301,6 +301,13 @@ def test_language_model(docs, texts, empty):
     assert pitmanyor.lm_scores(empty).count() == 0
 
 
+def test_language_model_in_many_blocks(docs, monkeypatch):
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 3))
+    whole = sorted(map(key, pitmanyor.lm_scores(docs).collect()))
+    monkeypatch.setattr(pitmanyor, "BLOCK_BYTES", 2000)
+    assert sorted(map(key, pitmanyor.lm_scores(docs).collect())) == whole
+
+
 def test_spelling_probabilities_sum_to_one():
     codes = np.unique([(ord(a) << 8 | c) for a in "ab" for c in range(256)])
     n = np.where(codes & 255 == ord("c"), 5, 0)
