@@ -1,30 +1,34 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model of phrases, words and their spelling.
+"""Language-model scoring with a hierarchical Pitman-Yor model of words in context and their spelling.
 
-A text is a row of phrases: words up to one whose hash is 0 modulo ``PHRASE``, or to the end. Phrases are dishes of the
-topmost restaurant; a new phrase is made of words from the parent restaurant, whose customers are all tokens of the
-training texts. Each of its tables has its word from its parent, which spells it: a word is its bytes and an end (a space); the end of a text is a word of one line
-feed. The next byte is drawn from the restaurant of the ``ORDER`` bytes before it in the word; a restaurant's parent is
+A text is its words and an end. Each word is drawn from the restaurant of the word before it (of the end at a text's
+begin); every table there is a customer of the restaurant without context, whose tables are spelt: a word is its bytes
+and an end (a space); the end of a text is a word of one line feed. The next byte is drawn from the restaurant of the ``ORDER`` bytes before it in the word; a restaurant's parent is
 that of one byte less, down to a restaurant without context over uniform bytes. Each new table is a customer of the
 parent. Tables are sampled by Gibbs sweeps, and the predictive probabilities of the last sweeps are averaged.
 
 Restaurants whose last two context bytes agree share all parents down to those two bytes, so they are sampled in one
 task; the restaurants of one byte and of none, 2**16 numbers at most, are sampled between two passes.
-A text's score is the sum over its words, each distinct word being scored once for the corpus.
+
+Words' contexts are dealt to parts by their hashes, those of more than ``HOT`` customers piece by piece by the next
+word's hash too. Blocks of texts send each part their distinct pairs; the part adds them up, samples its restaurants and
+sends back each pair's numbers in the order in which they came.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Words, byte_sums, cut, documents, range_hash, slices, stored, sums, training_rows, utf8
+from .text import Words, byte_sums, cut, documents, mix, range_hash, slices, stored, training_rows, utf8
 
 ORDER = 4
 DISCOUNT, STRENGTH = 0.6, 1.0
 BURN_IN, KEPT = 3, 4
-#: Mean words of a phrase.
-PHRASE = 12
+#: Customers of the contexts of a part, on average, and of a context that is dealt in one piece.
+PART_TOKENS = 1 << 20
+HOT = 1 << 20
 #: Bytes of texts that are scored together.
 BLOCK_BYTES = 8 << 20
 #: Gram scores (16 bytes each) that are broadcast; with more, words' grams are joined with them.
@@ -35,26 +39,8 @@ _SPACE = 32
 LN10 = float(np.log(10))
 
 
-def phrases(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all phrases, the number of words of each (without the end of the text), and the first of each text."""
-    close = words.hash % np.uint64(PHRASE) == 0
-    stop = np.zeros(len(words) + 1, bool)
-    stop[1:][close] = True
-    ends, owner = np.flatnonzero(stop), np.searchsorted(words.first, np.flatnonzero(stop), "left") - 1
-    # each text's last phrase goes on to its end
-    cut_at = np.concatenate([ends, words.first[1:]])
-    last = np.concatenate([np.zeros(len(ends), bool), np.ones(len(words.first) - 1, bool)])
-    owner = np.concatenate([owner, np.arange(len(words.first) - 1)])
-    order = np.lexsort((last, cut_at, owner))
-    cut_at, last, owner = cut_at[order], last[order], owner[order]
-    first = np.searchsorted(owner, np.arange(len(words.first)))
-    begin = np.concatenate([[0], cut_at[:-1]])
-    h = range_hash(sums(words.hash), begin, cut_at) ^ np.where(last, np.uint64(0xE0D), np.uint64(0))
-    return h, cut_at - begin, first
-
-
 def customers(docs: DataFrame) -> DataFrame:
-    """(word, phrase, n): all distinct tokens, or phrases' hashes, and how often training texts have them."""
+    """(word, n): all distinct tokens and how often training texts have them."""
 
     def run(batches):
         for batch in batches:
@@ -65,14 +51,11 @@ def customers(docs: DataFrame) -> DataFrame:
                 _, rep, which = np.unique(words.hash, return_index=True, return_inverse=True)
                 n = np.bincount(which, weight, len(rep)).astype(np.int64)
                 names = [words.buf[a:b].tobytes() for a, b in zip(words.start[rep], words.end[rep], strict=True)]
-                h, _, first = phrases(words)
-                own, m = np.unique(h[np.repeat(learn, np.diff(first))], return_counts=True)
                 word = pa.array([*names, END.encode()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([word, pa.nulls(len(word), pa.int64()), pa.array(np.append(n, int(learn.sum())))], ["word", "phrase", "n"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(m.astype(np.int64))], ["word", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([word, pa.array(np.append(n, int(learn.sum())))], ["word", "n"])
 
     rows = docs.select("text", training_rows(5).alias("learn"))
-    return rows.mapInArrow(run, "word string, phrase long, n long").groupBy("word", "phrase").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,26 +234,147 @@ def score_words(words: DataFrame, scores: DataFrame, limit: int = BROADCAST_GRAM
     return words.select("word", "n").mapInArrow(spell, "word string, n long, code long").join(scores, "code").groupBy("word", "n").agg(F.sum("lp").alias("lp"))
 
 
-def seat_words(words: DataFrame, tables: int) -> DataFrame:
-    """(key, n, lp, t): each word's hash and the mean tables of its n customers, given all tables and its spelling's lp."""
+def keyed(words: DataFrame) -> DataFrame:
+    """(key, n, lp): words by their hashes."""
 
     def run(batches):
         for batch in batches:
-            rng = np.random.default_rng(batch.num_rows)
-            n, lp = batch.column("n").to_numpy().astype(np.float64), batch.column("lp").to_numpy()
-            t = sum(seat(rng, n, np.full(len(n), float(tables)), 10.0**lp) for _ in range(KEPT)) / KEPT
             raw, offsets = utf8(batch.column("word"))
             key = range_hash(byte_sums(raw), offsets[:-1], offsets[1:]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("n"), batch.column("lp"), pa.array(t, pa.float64())], ["key", "n", "lp", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("n"), batch.column("lp")], ["key", "n", "lp"])
 
-    return words.select("word", "n", "lp").mapInArrow(run, "key long, n long, lp double, t double")
+    return words.select("word", "n", "lp").mapInArrow(run, "key long, n long, lp double")
 
 
-def ends(size: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Tokens of phrases: their words, and each text's end in its last one."""
-    out = size.copy()
-    out[begin[1:] - 1] += 1
-    return out
+def seat_words(words: DataFrame, tables: float) -> DataFrame:
+    """words (key, n, c, lp) with the mean tables t of each word's c customers, given all tables and its spelling's lp."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by("key")
+            c, lp = rows.column("c").to_numpy().astype(np.float64), rows.column("lp").to_numpy()
+            rng = np.random.default_rng(int(rows.column("key")[0].as_py() & 0x7FFFFFFF))
+            t = sum(seat(rng, c, np.full(len(c), tables), 10.0**lp) for _ in range(KEPT)) / KEPT
+            yield from rows.append_column("t", pa.array(t, pa.float64())).to_batches(10_000)
+
+    return words.select("key", "n", "c", "lp").mapInArrow(run, "key long, n long, c long, lp double, t double")
+
+
+def unigrams(words: DataFrame) -> DataFrame:
+    """(key, n, lp, p): log10 probability p of each word in the restaurant without context, from words (key, n, c, lp).
+
+    The first seating takes one table for each word that has customers, the second one the tables of the first.
+    """
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    tables = float(total[1])
+    for _ in range(2):
+        seated = cut(seat_words(words, tables))
+        tables = float(seated.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0])
+    own = F.greatest(F.col("c") - DISCOUNT * F.col("t"), F.lit(0.0)) / (STRENGTH + total[0])
+    return seated.select("key", "n", "lp", F.log10(own + (STRENGTH + DISCOUNT * tables) / (STRENGTH + total[0]) * F.pow(F.lit(10.0), "lp")).alias("p"))
+
+
+class Pairs:
+    """The tokens of a block of texts and their distinct pairs (word before, word), dealt to parts.
+
+    ``words`` has all words of the block (key, n, p). Pairs go by part, then by the order of the two words; those whose first
+    word no training text has are left out.
+    """
+
+    def __init__(self, texts: pa.Table, words: pa.Table, parts: int, hot: int):
+        h, self.n, self.p = words.column("key").to_numpy().view(np.uint64), words.column("n").to_numpy(), words.column("p").to_numpy()
+        order = np.argsort(h)
+        self.h, self.n, self.p = h[order], self.n[order], self.p[order]
+        end = np.searchsorted(self.h, END_KEY)
+        self.ids, at, learn, first = [], [], [], [np.zeros(1, np.int64)]
+        for batch in texts.combine_chunks().to_batches():
+            for rows, buf, offsets in slices(batch, "text"):
+                found = Words(buf, offsets, lower=True)
+                at.append(np.insert(np.searchsorted(self.h, found.hash), found.first[1:], end))
+                size = np.diff(found.first) + 1
+                learn.append(np.repeat(rows.column("learn").to_numpy(zero_copy_only=False), size))
+                first.append(size)
+                self.ids.append(rows.column("doc_id"))
+        self.first = np.cumsum(np.concatenate(first))
+        self.at = np.concatenate(at)
+        # the end of a text stands before the next one, and the last one's before the first
+        code, self.which = np.unique(np.roll(self.at, 1).astype(np.int64) * len(self.h) + self.at, return_inverse=True)
+        self.times = np.bincount(self.which, np.concatenate(learn), len(code)).astype(np.uint32)
+        self.u, self.w = code // len(self.h), code % len(self.h)
+        pieces = np.maximum(1, -(-self.n[self.u] // hot)).astype(np.uint64)
+        part = (mix(self.h[self.u] + mix(self.h[self.w]) % pieces * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+        part[self.n[self.u] == 0] = parts
+        self.order = np.argsort(part, kind="stable")
+        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
+
+    def dealt(self):
+        """(part, the places of its pairs, its first words, and how many pairs each of these has)."""
+        for part in np.flatnonzero(np.diff(self.bounds)):
+            own = self.order[self.bounds[part] : self.bounds[part + 1]]
+            yield int(part), own, *np.unique(self.u[own], return_counts=True)
+
+
+def sample_contexts(room: np.ndarray, c: np.ndarray, parent: np.ndarray, share: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of c - DISCOUNT * tables and mean tables of each dish; a room has share times the tables that are here."""
+    rng, t = np.random.default_rng(seed), np.minimum(c, 1.0)
+    held, sent = np.zeros(len(c)), np.zeros(len(c))
+    for step in range(BURN_IN + KEPT):
+        t = seat(rng, c, (np.bincount(room, t, len(share)) * share)[room], parent)
+        if step >= BURN_IN:
+            held += np.maximum(c - DISCOUNT * t, 0) / KEPT
+            sent += t / KEPT
+    return held, sent
+
+
+PACKED = "part long, block long, u binary, size binary, customers binary, w binary, times binary, p binary"
+ANSWERED = "part long, block long, held binary, tables binary, key binary, sent binary, hot boolean"
+
+
+def answer(group: pa.Table, most: int) -> pa.Table:
+    """Samples the restaurants of a part and answers all blocks; then the tables sent to each word, and hot contexts' tables."""
+    get = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
+    us, sizes = get("u", np.uint64), get("size", np.uint32)
+    w, times, p = (np.concatenate(get(*x)) for x in (("w", np.uint64), ("times", np.uint32), ("p", np.float32)))
+    keys, at, place = np.unique(np.concatenate(us), return_index=True, return_inverse=True)
+    customers = np.concatenate(get("customers", np.int64))[at]
+    room = np.repeat(place, np.concatenate(sizes))
+    order = np.lexsort((w, room))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(room[order]) != 0) | (w[order][1:] != w[order][:-1])
+    dish = np.empty(len(order), np.int64)
+    dish[order] = np.cumsum(new) - 1
+    rep = order[new]
+    c = np.bincount(dish, times, len(rep))
+    part = group.column("part")[0].as_py()
+    pieces = np.maximum(1, -(-customers // most))
+    here = np.unique(room[rep] * (int(pieces.max()) + 1) + (mix(w[rep]) % pieces[room[rep]].astype(np.uint64)).astype(np.int64)) // (int(pieces.max()) + 1)
+    share = pieces / np.bincount(here, minlength=len(keys))
+    held, sent = sample_contexts(room[rep], c, p[rep].astype(np.float64), share, part)
+    tables = np.bincount(room[rep], sent, len(keys))
+    rows, a, b = [], 0, 0
+    for block, u, size in zip(group.column("block").to_pylist(), us, sizes, strict=True):
+        n = int(size.sum())
+        rows.append((part, block, held[dish[a : a + n]].astype(np.float32).tobytes(), tables[place[b : b + len(u)]].astype(np.float32).tobytes(), None, None, None))
+        a, b = a + n, b + len(u)
+    below, which = np.unique(w[rep], return_inverse=True)
+    rows.append((part, None, None, None, below.tobytes(), np.bincount(which, sent, len(below)).tobytes(), False))
+    hot = customers > most
+    rows.append((part, None, None, None, keys[hot].tobytes(), tables[hot].tobytes(), True))
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.bool_()]
+    names = [x.split()[0] for x in ANSWERED.split(", ")]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def sent_tables(answers: DataFrame, hot: bool) -> DataFrame:
+    """(key, t): the tables that words have in all contexts, or that hot contexts have."""
+
+    def run(batches):
+        for batch in batches:
+            for key, sent in zip(batch.column("key").to_pylist(), batch.column("sent").to_pylist(), strict=True):
+                yield pa.record_batch({"key": np.frombuffer(key, np.int64), "t": np.frombuffer(sent, np.float64)})
+
+    return answers.filter(F.col("hot") == hot).select("key", "sent").mapInArrow(run, "key long, t double").groupBy("key").agg(F.sum("t").alias("t"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -280,24 +384,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     texts all words are new and N is 0. Extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    counts = stored(customers(docs))
-    words, known = counts.filter("word is not null").select("word", "n"), counts.filter("phrase is not null").select("phrase", "n")
+    words = stored(customers(docs))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     tokens, kinds = int(total[0]), int(total[1])
-    seated = cut(seat_words(score_words(words, gram_scores(words)), kinds))
-    tables = float(seated.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0])
-    own = F.greatest(F.col("n") - DISCOUNT * F.col("t"), F.lit(0.0)) / (STRENGTH + tokens)
-    scored = seated.select(F.lit(False).alias("phrase"), "key", "n", F.log10(own + (STRENGTH + DISCOUNT * tables) / (STRENGTH + tokens) * F.pow(F.lit(10.0), "lp")).alias("lp"))
-
-    # of a phrase that was seen n times all customers sit at one table: its words' product is too small for a second
-    tally = known.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), F.lit(1), (F.col("n") == 1).cast("long"), (F.col("n") == 2).cast("long")))).first()
-    sat, dishes = int(tally[0]), int(tally[1])
-    discount = (tally[2] + 1) / (tally[2] + 2 * tally[3] + 2)
-    fresh = (STRENGTH + discount * dishes) / (STRENGTH + sat)
+    spelt = stored(keyed(score_words(words, gram_scores(words))))
+    # until contexts have been sampled, each of their customers counts as a table
+    first = unigrams(spelt.withColumn("c", F.col("n")))
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks))).repartition(n_blocks, "block")
+    n_blocks, parts, most = max(1, -(-size // BLOCK_BYTES)), max(1, -(-tokens // PART_TOKENS)), HOT
+    blocks = docs.withColumn("learn", training_rows(5)).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks))).repartition(n_blocks, "block")
 
     def distinct(batches):
         for batch in batches:
@@ -305,44 +401,57 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             for at in np.unique(block):
                 own = batch.filter(pa.array(block == at))
                 for _, buf, offsets in slices(own, "text", BLOCK_BYTES):
-                    words = Words(buf, offsets, lower=True)
-                    for phrase, keys in ((False, np.append(np.unique(words.hash), END_KEY)), (True, np.unique(phrases(words)[0]))):
-                        own_block, kind = pa.array(np.full(len(keys), at, np.int64)), pa.array(np.full(len(keys), phrase))
-                        yield pa.RecordBatch.from_arrays([own_block, kind, pa.array(keys.view(np.int64))], ["block", "phrase", "key"])
-
-    # most phrases of training texts are known, and few others
-    asked = blocks.mapInArrow(distinct, "block long, phrase boolean, key long")
-    known = scored.union(known.select(F.lit(True), F.col("phrase").alias("key"), "n", F.lit(0.0)))
-    answers = asked.join(known, ["phrase", "key"]).select("block", "phrase", "key", "n", "lp")
+                    keys = np.append(np.unique(Words(buf, offsets, lower=True).hash), END_KEY)
+                    yield pa.record_batch({"block": np.full(len(keys), at, np.int64), "key": keys.view(np.int64)})
+
+    asked = stored(blocks.mapInArrow(distinct, "block long, key long").distinct())
+
+    def ask(texts: pa.Table, words: pa.Table) -> pa.Table:
+        pairs, block, rows = Pairs(texts, words, parts, most), texts.column("block")[0].as_py(), []
+        p = (10.0**pairs.p).astype(np.float32)
+        for part, own, u, size in pairs.dealt():
+            w = pairs.w[own]
+            rows.append((part, block, *(x.tobytes() for x in (pairs.h[u], size.astype(np.uint32), pairs.n[u], pairs.h[w], pairs.times[own], p[w]))))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
+
+    given = asked.join(first.select("key", "n", "p"), "key")
+    packed = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(ask, PACKED)
+    answers = stored(packed.groupBy("part").applyInArrow(lambda group: answer(group, most), ANSWERED))
+    # at most one row for each HOT tokens
+    hot = {r.key & (2**64 - 1): r.t for r in sent_tables(answers, True).collect()}
+    hot_keys = np.array(sorted(hot), np.uint64)
+    hot_tables = np.array([hot[k] for k in sorted(hot)], np.float64)
+    seats = spelt.join(sent_tables(answers, False), "key", "left").withColumn("c", F.round(F.coalesce("t", F.lit(0.0))).cast("long"))
+    last = unigrams(seats)
 
     def rate(texts: pa.Table, known: pa.Table) -> pa.Table:
-        is_phrase = known.column("phrase").to_numpy()
-        key, n, lp = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy(), known.column("lp").to_numpy()
-        phrase, times = key[is_phrase], n[is_phrase]
-        order = np.argsort(phrase)
-        phrase, times = np.append(phrase[order], np.uint64(0)), np.append(times[order], 0)
-        h, n, lp = key[~is_phrase], n[~is_phrase], lp[~is_phrase]
-        order = np.argsort(h)
-        h, n, lp = h[order], n[order], lp[order]
+        is_word = pc.is_null(known.column("part"))
+        pairs = Pairs(texts, known.filter(is_word), parts, most)
+        given = known.filter(pc.invert(is_word)).sort_by("part")
+        held, tables = np.zeros(len(pairs.u)), np.zeros(len(pairs.h))
+        back = np.zeros(len(pairs.u))
+        for (_, own, u, _), h, t in zip(pairs.dealt(), given.column("held").to_pylist(), given.column("tables").to_pylist(), strict=True):
+            held[own] = np.frombuffer(h, np.float32)
+            tables[u] = np.frombuffer(t, np.float32)
+            back[own] = tables[pairs.u[own]]
+        if len(hot_keys):
+            k = np.minimum(np.searchsorted(hot_keys, pairs.h[pairs.u]), len(hot_keys) - 1)
+            back = np.where(hot_keys[k] == pairs.h[pairs.u], hot_tables[k], back)
+        n, lp = pairs.n, pairs.p
+        room = STRENGTH + n[pairs.u]
+        with np.errstate(divide="ignore"):
+            score = np.logaddexp(np.log(held / room), np.log((STRENGTH + DISCOUNT * back) / room) + lp[pairs.w] * LN10) / LN10
         base = np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        end = np.searchsorted(h, END_KEY)
-        out = []
-        for batch in texts.combine_chunks().to_batches():
-            for rows, buf, offsets in slices(batch, "text"):
-                words = Words(buf, offsets, lower=True)
-                # each text's words and its end
-                at = np.insert(np.searchsorted(h, words.hash), words.first[1:], end)
-                first = words.first[:-1] + np.arange(rows.num_rows)
-                g, long, begin = phrases(words)
-                made = np.add.reduceat(lp[at], np.concatenate([[0], np.cumsum(ends(long, begin))])[:-1]) + np.log10(fresh)
-                k = np.minimum(np.searchsorted(phrase[:-1], g), len(phrase) - 1)
-                held = np.where((phrase[k] == g) & (times[k] > 0), np.maximum(times[k] - discount, 1e-3) / (STRENGTH + sat), 1e-300)
-                score = np.add.reduceat(np.logaddexp(made * LN10, np.log(held)) / LN10, begin[:-1])
-                cols = [np.diff(words.first) + 1, *(np.add.reduceat(v[at], first) for v in ((n > 0).astype(np.int64), base)), score]
-                out.append(pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"]))
-        return pa.Table.from_batches(out)
-
-    rated = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        first = pairs.first[:-1]
+        cols = [np.diff(pairs.first), *(np.add.reduceat(v, first) for v in ((n > 0).astype(np.int64)[pairs.at], base[pairs.at], score[pairs.which]))]
+        return pa.Table.from_arrays([pa.chunked_array(pairs.ids).combine_chunks(), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    none = [F.lit(None).cast(k).alias(x) for x, k in (("part", "long"), ("held", "binary"), ("tables", "binary"))]
+    known = asked.join(last.select("key", "n", "p"), "key").select("block", "key", "n", "p", *none)
+    known = known.unionByName(answers.filter("block is not null").select("block", "part", "held", "tables"), allowMissingColumns=True)
+    rated = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rated.select("doc_id", (~training_rows(5)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -308,6 +308,25 @@ def test_language_model_in_many_blocks(docs, monkeypatch):
     assert sorted(map(key, pitmanyor.lm_scores(docs).collect())) == whole
 
 
+def test_language_model_sees_the_order_of_words(spark):
+    train = [(k, "red house green tree " * 5) for k in range(40)]
+    docs = spark.createDataFrame([*train, (1000, "red house green tree red"), (1001, "tree red red green house")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
+    assert got[1000] > got[1001] + 2
+
+
+def test_language_model_splits_hot_contexts(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join("the " + rng.choice("abcdefgh") * rng.randint(1, 40) for _ in range(60))) for k in range(60)], "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
+    monkeypatch.setattr(pitmanyor, "HOT", 300)
+    monkeypatch.setattr(pitmanyor, "PART_TOKENS", 500)
+    monkeypatch.setattr(pitmanyor, "BLOCK_BYTES", 3000)
+    got = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
+    off = max(abs(got[k] / whole[k] - 1) for k in got)
+    assert got.keys() == whole.keys() and off < 0.01, off
+
+
 def test_spelling_probabilities_sum_to_one():
     codes = np.unique([(ord(a) << 8 | c) for a in "ab" for c in range(256)])
     n = np.where(codes & 255 == ord("c"), 5, 0)
