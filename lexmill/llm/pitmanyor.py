@@ -272,7 +272,10 @@ def unigrams(words: DataFrame) -> DataFrame:
         seated = cut(seat_words(words, tables))
         tables = float(seated.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0])
     own = F.greatest(F.col("c") - DISCOUNT * F.col("t"), F.lit(0.0)) / (STRENGTH + total[0])
-    return seated.select("key", "n", "lp", F.log10(own + (STRENGTH + DISCOUNT * tables) / (STRENGTH + total[0]) * F.pow(F.lit(10.0), "lp")).alias("p"))
+    fresh = (STRENGTH + DISCOUNT * tables) / (STRENGTH + total[0])
+    # a long word's spelling is less than the least double, so words without customers stay in logarithms
+    p = F.when(own > 0, F.log10(own + fresh * F.pow(F.lit(10.0), "lp"))).otherwise(F.col("lp") + float(np.log10(fresh)))
+    return seated.select("key", "n", "lp", p.alias("p"))
 
 
 class Pairs:

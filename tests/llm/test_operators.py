@@ -327,6 +327,23 @@ def test_language_model_splits_hot_contexts(spark, monkeypatch):
     assert got.keys() == whole.keys() and off < 0.01, off
 
 
+def test_language_model_of_long_words_and_texts(spark):
+    rows = spark.createDataFrame([(1, 3, 3, -2.0), (2, 0, 0, -5000.0)], "key long, n long, c long, lp double")
+    got = {r.key: r.p for r in pitmanyor.unigrams(rows).collect()}
+    fresh = (pitmanyor.STRENGTH + pitmanyor.DISCOUNT * 1) / (pitmanyor.STRENGTH + 3)
+    assert math.isclose(got[2], -5000 + math.log10(fresh), rel_tol=1e-3) and math.isfinite(got[1])
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 5 == 1][:6]
+    long = "".join(random.Random(1).choices("qxzjkv", k=3000))
+    held = [long, f"{long} {long}", "zq", "zq zq", "zq " * 700, "zq " * 1400]
+    train = [(2000 + k, "red house green tree") for k in range(20)]
+    docs = spark.createDataFrame([*zip(ids, held), *train], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
+    one, two, few, more, many, most = (score[k] for k in ids)
+    # no context of these words has been seen, so each further one adds the same
+    assert math.isfinite(one) and two - one < -3000 and one < -3000
+    assert math.isclose(many - few, 699 * (more - few), rel_tol=1e-6) and math.isclose(most - few, 1399 * (more - few), rel_tol=1e-6)
+
+
 def test_spelling_probabilities_sum_to_one():
     codes = np.unique([(ord(a) << 8 | c) for a in "ab" for c in range(256)])
     n = np.where(codes & 255 == ord("c"), 5, 0)
