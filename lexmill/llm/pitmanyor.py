@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .text import Words, byte_sums, cut, documents, mix, range_hash, slices, stored, training_rows, utf8
 
-ORDER = 4
+ORDER = 5
 DISCOUNT, STRENGTH = 0.6, 1.0
 BURN_IN, KEPT = 3, 4
 #: Customers of the contexts of a part, on average, and of a context that is dealt in one piece.
@@ -32,7 +32,7 @@ HOT = 1 << 20
 #: Bytes of texts that are scored together.
 BLOCK_BYTES = 8 << 20
 #: Gram scores (16 bytes each) that are broadcast; with more, words' grams are joined with them.
-BROADCAST_GRAMS = 4_000_000
+BROADCAST_GRAMS = 1_000_000
 END = "\n"
 END_KEY = range_hash(byte_sums(np.frombuffer(END.encode(), np.uint8)), np.array([0]), np.array([1]))[0]
 _SPACE = 32
@@ -210,7 +210,7 @@ def score_words(words: DataFrame, scores: DataFrame, limit: int = BROADCAST_GRAM
     """(word, n, lp) from gram scores that were cut(); these are broadcast only if they are counted to be few enough."""
     if scores.count() <= limit:
         table = scores.toArrow()
-        codes, lp = table.column("code").to_numpy(), table.column("lp").to_numpy().astype(np.float32)
+        codes, lp = table.column("code").to_numpy(), table.column("lp").to_numpy()
         order = np.argsort(codes)
         given = words.sparkSession.sparkContext.broadcast((codes[order], lp[order]))
         del table, codes, lp, order
@@ -219,7 +219,7 @@ def score_words(words: DataFrame, scores: DataFrame, limit: int = BROADCAST_GRAM
             for batch in batches:
                 code, first = grams(*utf8(batch.column("word")))
                 codes, lp = given.value
-                total = np.add.reduceat(lp[np.searchsorted(codes, code)].astype(np.float64), first[:-1]) if len(code) else np.zeros(0)
+                total = np.add.reduceat(lp[np.searchsorted(codes, code)], first[:-1]) if len(code) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(total)], ["word", "n", "lp"])
 
         return words.select("word", "n").mapInArrow(run, "word string, n long, lp double")

@@ -360,6 +360,12 @@ def test_words_by_join_equal_words_by_broadcast(spark):
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k]) for k in a)
 
 
+def test_spelling_depends_on_five_bytes(spark):
+    own = spark.createDataFrame([("1abcdX", 1), ("2abcdY", 1), ("1abcdY", 0), ("2abcdX", 0)], "word string, n long")
+    lp = {r.word: r.lp for r in pitmanyor.score_words(own, pitmanyor.gram_scores(own)).collect()}
+    assert lp["1abcdX"] > lp["1abcdY"] + 0.1 and lp["2abcdY"] > lp["2abcdX"] + 0.1
+
+
 def test_quality_held_out(spark):
     got = quality.op1_quality_classifier(spark, "/root/testdata/sf0.01")
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
