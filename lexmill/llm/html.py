@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title select button textarea iframe svg math object canvas audio video".split())
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
@@ -50,13 +51,14 @@ class Block:
 def blocks(page: str) -> list[tuple[Block, str]]:
     """The blocks of a page that have text, with the text."""
     stack: list[tuple] = [("", 0, False, False, False, False, False)]  # tag, id, main, article, noise, hidden, link
-    out, block, made, raw = [], None, 0, ""
-    for m in TOKEN.finditer(page):
-        tag = m[2]
+    out, block, made, at = [], None, 0, 0
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at, tag = m.end(), m[2]
         if tag is None:
             top = stack[-1]
             text = m[0]
-            if text.startswith("<") and text != "<" or top[5] or raw:
+            if text.startswith("<") and text != "<" or top[5]:
                 continue
             if block is None:
                 owner = next((s for s in reversed(stack) if s[0] in BLOCK or not s[0]))
@@ -67,10 +69,6 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                 block.linked += len(text)
             continue
         tag = tag.lower()
-        if raw:  # script and the like end only at their own end tag
-            if not (m[1] and tag == raw):
-                continue
-            raw = ""
         if m[1]:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
@@ -95,8 +93,9 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                 noise = noise or tag in NOISY or bool(names and NOISE.search(names)) and tag not in ("html", "body", "article", "main")
                 main = main or tag == "main" or bool(names and MAIN.search(names))
                 stack.append((tag, made, main, article, noise, hidden or tag in HIDDEN, link or tag == "a"))
-                if tag in RAW:
-                    raw = tag
+                if tag in RAW:  # script and the like hold no tags and end only at their own end tag
+                    end = RAW_END[tag].search(page, at)
+                    at = end.start() if end else len(page)
         if tag in BLOCK or tag in HIDDEN:
             block = None
     found = []

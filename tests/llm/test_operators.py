@@ -273,6 +273,15 @@ def test_html(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, text, len(text)), (2, "", 0), (3, "", 0), (1, text, len(text)), (4, "", 0)]
 
 
+def test_html_with_tags_in_scripts():
+    want = [text for _, text in html.blocks("<article><p>One two three.</p></article><p>Four.</p>")]
+    for body in ("for(i=0;i<n;i++){a()}", "if(a<b)x='it", 'y="<!--";', "s='<p>'+\"</p>\"", ""):
+        for tag, end in (("script", "</SCRIPT >"), ("style", "</style>"), ("Script", "</script/>")):
+            page = f"<{tag} type=x>{body}{end}<article><p>One two three.</p></article><{tag}>{body}{end}<p>Four.</p>"
+            assert [text for _, text in html.blocks(page)] == want
+    assert html.blocks("<script>i<n</scripts>no end") == []
+
+
 def test_minimum_cut():
     def cost(odds, edges, on):
         return sum(max(0, o) if not k else max(0, -o) for o, k in zip(odds, on)) + sum(w for (a, b), w in edges.items() if on[a] != on[b])
