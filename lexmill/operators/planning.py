@@ -68,15 +68,20 @@ def section_suggestions(spark, sf_dir):
     return rows.orderBy("first").limit(12)
 
 
+def attempts(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, slot) of all error events."""
+    attempt = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    rows = events.filter("event_type = 'error'").select("user_id", "event_id", attempt.alias("attempt"))
+    return rows.select("user_id", "event_id", F.concat("user_id", F.lit("_r"), F.format_string("%02d", "attempt")).alias("slot"))
+
+
 @query(
     """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events WHERE event_type = 'error')
 SELECT user_id, event_id, user_id || '_r' || lpad(attempt::VARCHAR, 2, '0') AS slot FROM a WHERE attempt < 100"""
 )
 def attempt_numbers(spark, sf_dir):
-    """Retries get their slot's name with a running number; numbers of three digits are no slot names."""
-    attempt = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = read(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "event_id", attempt.alias("attempt")).filter("attempt < 100")
-    return rows.select("user_id", "event_id", F.concat("user_id", F.lit("_r"), F.lpad(F.col("attempt").cast("string"), 2, "0")).alias("slot"))
+    """Retries get their slot's name with a running number of two digits or more."""
+    return attempts(read(spark, sf_dir, "events"))
 
 
 @query(

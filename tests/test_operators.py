@@ -72,6 +72,12 @@ def test_apportioned(spark):
     assert {r.k: r.n for r in got} == {"a": 7, "b": 0, "c": 101}
 
 
+def test_attempts_go_on_beyond_99(spark):
+    rows = spark.createDataFrame([(7, k, "error" if k % 2 else "view") for k in range(300)], "user_id long, event_id long, event_type string")
+    got = {r.event_id: r.slot for r in planning.attempts(rows).collect()}
+    assert got == {k: f"7_r{k // 2 + 1:02d}" for k in range(1, 300, 2)}
+
+
 def test_evaluators():
     assert verify.evaluate("2 + 3 * 4^2") == 50
     assert verify.evaluate("binomial(10, 3)") == 120
