@@ -78,6 +78,32 @@ def test_attempts_go_on_beyond_99(spark):
     assert got == {k: f"7_r{k // 2 + 1:02d}" for k in range(1, 300, 2)}
 
 
+def test_copied_runs_of_all_units(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from .conftest import SMALL
+
+    read = lambda name, key: [(r[key], r.text) for r in spark.read.parquet(f"{SMALL}/{name}.parquet").collect()]
+    split = lambda rows: {r.k: list(r.t) for r in spark.createDataFrame(rows, "k long, x string").select("k", T.tokens(F.col("x")).alias("t")).collect()}
+    items = [set(t) for t in split([(k, x) for k, (_, x) in enumerate(read("benchmark", "item_id"))]).values()]
+    want = {}
+    for doc, tokens in split(read("documents", "doc_id")).items():
+        for members in items:
+            run = 0
+            for token in tokens:
+                run = run + 1 if token in members else 0
+                want[doc] = max(want.get(doc, 0), run)
+    got = {r.doc_id: r.longest_run for r in matching.copied_runs_all(spark, SMALL).collect()}
+    assert got == want and len(got) > 100
+    docs, bench = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
+    assert {r.doc_id: r.longest_run for r in matching.longest_runs(docs, bench, limit=0).collect()} == want
+    monkeypatch.setattr(matching, "HITS", 7)
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "order": [list("abxab"), list("bbb"), ["z"]]})
+    pieces = matching._runs([batch, batch], ["a", "b"], np.array([0, 2, 5]), np.array([0, 1, 0, 1, 2]))
+    assert [p.to_pydict() for p in pieces] == [{"doc_id": [1, 2, 3], "longest_run": [2, 3, 0]}] * 2
+
+
 def test_evaluators():
     assert verify.evaluate("2 + 3 * 4^2") == 50
     assert verify.evaluate("binomial(10, 3)") == 120
