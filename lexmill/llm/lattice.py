@@ -12,8 +12,10 @@ import numpy as np
 from .text import byte_sums, range_hash
 
 SPACE = 0xFF
-#: Pre-tokens longer than this many bytes are segmented one at a time.
+#: Pre-tokens longer than this many bytes are first cut where no piece reaches over: their parts go into the trie.
 LONG = 64
+#: Bytes of long pre-tokens whose pieces are looked up at a time.
+LOOKUP = 1 << 16
 _BITS = 20
 NEVER = -1e30
 
@@ -26,10 +28,10 @@ class Pieces:
 
     BYTE_PENALTY, OFFSET = 10.0, 2.7
 
-    def __init__(self, path: str):
+    def __init__(self, proto: bytes):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         size = model.get_piece_size()
         self.bytes: list[bytes] = [b""] * size
         self.byte_id = np.zeros(256, np.int64)
@@ -89,6 +91,51 @@ class Pieces:
             at -= back[at][0]
         return best[-1], out[::-1]
 
+    def matches(self, raw: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, length, id) of the pieces in raw that end behind low and up to high, by end, then length."""
+        begin = max(0, low - self.longest)
+        pre, found = byte_sums(raw[begin:high]), []
+        for n in range(1, min(self.longest, high) + 1):
+            end = np.arange(max(low + 1, n), high + 1)
+            at, ids = self.find(range_hash(pre, end - n - begin, end - begin))
+            found.append((end[at], np.full(len(at), n), ids))
+        end, size, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, end))
+        return end[order], size[order], ids[order]
+
+    def cuts(self, raw: np.ndarray) -> np.ndarray:
+        """The places inside raw that no piece reaches over: both sides are segmented independently."""
+        over = np.zeros(len(raw) + 2, np.int64)
+        for low in range(0, len(raw), LOOKUP):
+            end, size, _ = self.matches(raw, low, min(len(raw), low + LOOKUP))
+            np.add.at(over, end - size + 1, 1)
+            np.add.at(over, end, -1)
+        return np.flatnonzero(np.cumsum(over)[1 : len(raw)] == 0) + 1
+
+    def segment_long(self, raw: np.ndarray) -> tuple[float, list[int]]:
+        """Like segment(), for a long run in which pieces overlap without end: one step for each piece that occurs."""
+        best, back, score = [0.0], [(0, -1)], self.score
+        for low in range(0, len(raw), LOOKUP):
+            high = min(len(raw), low + LOOKUP)
+            ends, sizes, ids = self.matches(raw, low, high)
+            first = np.searchsorted(ends, np.arange(low + 1, high + 2)).tolist()
+            gain, sizes, ids, single = score[ids].tolist(), sizes.tolist(), ids.tolist(), self.byte_id[raw[low:high]].tolist()
+            for k in range(high - low):
+                end = low + k + 1
+                top, n, i = best[end - 1] + self.byte_score, 1, single[k]
+                for m in range(first[k], first[k + 1]):
+                    value = best[end - sizes[m]] + gain[m]
+                    if value >= top:
+                        top, n, i = value, sizes[m], ids[m]
+                best.append(top)
+                back.append((n, i))
+        out, at = [], len(raw)
+        while at:
+            n, i = back[at]
+            out.append(i)
+            at -= n
+        return best[-1], out[::-1]
+
 
 def model_bytes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts as the models read them: one 0xFF before each text that isn't empty, and 0xFF for each space."""
@@ -100,8 +147,9 @@ def model_bytes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Tokens:
     """The pre-tokens of some texts, each distinct one segmented once over a trie of all.
 
-    ``which[t]`` is the distinct pre-token of pre-token t, ``first`` tells which pre-tokens a text has; ``score`` and
-    ``count`` are per distinct pre-token, ``ids()`` gives their pieces.
+    Pre-tokens of more than ``LONG`` bytes are cut into units where no piece reaches over; others are units. ``which[t]``
+    is the distinct unit of unit t, ``first`` tells which units a text has, ``n_pretokens`` how many pre-tokens;
+    ``score`` and ``count`` are per distinct unit, ``ids()`` gives their pieces.
     """
 
     def __init__(self, pieces: Pieces, buf: np.ndarray, offsets: np.ndarray):
@@ -114,6 +162,11 @@ class Tokens:
         head[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(head[:-1])
         end = np.append(start[1:], len(raw)) if len(start) else start
+        self.n_pretokens = np.diff(np.searchsorted(start, offsets))
+        for t in np.flatnonzero(end - start > LONG):
+            head[start[t] + pieces.cuts(raw[start[t] : end[t]])] = True
+        start = np.flatnonzero(head[:-1])
+        end = np.append(start[1:], len(raw)) if len(start) else start
         self.first = np.searchsorted(start, offsets)
         pre = byte_sums(raw)
         h = range_hash(pre, start, end)
@@ -124,7 +177,7 @@ class Tokens:
         self._trie(pre)
         self.long: dict[int, list[int]] = {}
         for t in np.flatnonzero(self.size > LONG):
-            self.score[t], own = pieces.segment(raw[self.start[t] : self.start[t] + self.size[t]].tobytes())
+            self.score[t], own = pieces.segment_long(raw[self.start[t] : self.start[t] + self.size[t]])
             self.long[int(t)], self.count[t] = own, len(own)
 
     def _trie(self, pre: tuple[np.ndarray, np.ndarray]) -> None:
@@ -163,7 +216,7 @@ class Tokens:
         self.score[short], self.count[short] = best[self.terminal[short]], count[self.terminal[short]]
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each text's pre-tokens of a value per distinct pre-token."""
+        """Sums over each text's units of a value per distinct unit."""
         total = np.concatenate([[0], np.cumsum(values[self.which])])
         return total[self.first[1:]] - total[self.first[:-1]]
 
@@ -237,17 +290,32 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def backtraces(pieces: Pieces, chunks: list[tuple[np.ndarray, int]], enter: list[int], leave: list[int]) -> list[np.ndarray]:
-    """The pieces of each chunk's best path between its two boundary states."""
+def entered(pieces: Pieces, chunks: list[tuple[np.ndarray, int]], entry: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids by (place, length - 1, chunk), and the last token's length at each place, given the scores of a chunk's entry states."""
     score, ids = chunk_scores(pieces, chunks)
-    entry = np.full((pieces.longest, 1, len(chunks)), NEVER)
-    entry[enter, 0, np.arange(len(chunks))] = 0.0
-    _, back = forward(score, entry)
+    _, back = forward(score, np.stack(entry, 1)[:, None, :])
+    return ids, back[:, 0]
+
+
+def stops(pieces: Pieces, chunks: list[tuple[np.ndarray, int]], entry: list[np.ndarray]) -> list[np.ndarray]:
+    """For each state that a chunk's best paths may leave in, the state in which they entered."""
+    _, back = entered(pieces, chunks, entry)
+    out = []
+    for c, (_, end) in enumerate(chunks):
+        at = end + np.arange(pieces.longest)
+        while len(live := np.flatnonzero(back[at, c])):
+            at[live] -= back[at[live], c]
+        out.append(at.astype(np.uint8))
+    return out
+
+
+def backtraces(pieces: Pieces, chunks: list[tuple[np.ndarray, int]], entry: list[np.ndarray], leave: list[int]) -> list[np.ndarray]:
+    """The pieces of each chunk's best path that leaves in the given state; ties go to the longer last piece."""
+    ids, back = entered(pieces, chunks, entry)
     out = []
     for c, (_, end) in enumerate(chunks):
         own, at = [], end + leave[c]
-        while at > enter[c]:
-            size = int(back[at, 0, c])
+        while size := int(back[at, c]):
             at -= size
             own.append(ids[at, size - 1, c])
         out.append(np.array(own[::-1], np.int32))

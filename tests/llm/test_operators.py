@@ -262,6 +262,26 @@ def test_tokens_and_pieces(docs, texts, empty):
     assert counts.token_counts(empty).count() == 0 and sentencepieces.encode(empty).count() == 0
 
 
+def test_long_units_and_scan_levels(spark, monkeypatch):
+    rng = random.Random(8)
+    p = counts.pieces(counts.VOCABULARY)
+    unspaced = "".join(rng.choice("的一是不了人我在有他这中大来上国") for _ in range(700))
+    joined = "".join(rng.choices(["tion", "the", "ing", "a", "aa", "é"], k=900))
+    texts = [unspaced, joined, "a" * 2500, "=" * 1000 + unspaced[:90], " " * 300 + "x" * 300, "ab" * 800, f"{joined} {unspaced} {joined}"]
+    rows = [(k, t, [1], "u", True) for k, t in enumerate(texts)] + [(9, None, [2], "v", None), (0, texts[0], [3], "w", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>, uid string, _giant boolean")
+    want = {k: p.segment(b"\xff" + t.encode().replace(b" ", b"\xff")) for k, t in enumerate(texts)} | {9: (0.0, [])}
+    monkeypatch.setattr(sentencepieces, "FAN", 3)  # several levels of products
+    for giant, chunk in ((1 << 20, 64), (100, 40), (100, 170)):
+        got = sentencepieces.encode(docs, ("doc_id", "ids", "uid", "_giant"), giant=giant, chunk=chunk, check=True)
+        assert got.columns == ["doc_id", "uid", "_giant", "ids", "round_trip"]
+        rows = got.collect()
+        assert len(rows) == 9 and all(list(r.ids) == want[r.doc_id][1] and r.round_trip for r in rows)
+    assert {(r.doc_id, r.n_tokens, r.n_pretokens) for r in counts.token_counts(docs).collect()} == {
+        (k, len(v[1]), len(re.findall(r" +[^ ]*|[^ ]+", " " + texts[k])) if k < 9 else 0) for k, v in want.items()
+    }
+
+
 def test_html(spark):
     page = """<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><div id="cookie-notice">We use cookies.</div><header><h2>Site</h2></header>
     <main><article><h1>Head &amp; more</h1><p><b>One two three
