@@ -1,237 +1,169 @@
 """Language-model scoring with a hierarchical Pitman-Yor model of words in context and their spelling.
 
 A text is its words and an end. Each word is drawn from the restaurant of the word before it (of the end at a text's
-begin); every table there is a customer of the restaurant without context, whose tables are spelt: a word is its bytes
-and an end (a space); the end of a text is a word of one line feed. The next byte is drawn from the restaurant of the ``ORDER`` bytes before it in the word; a restaurant's parent is
-that of one byte less, down to a restaurant without context over uniform bytes. Each new table is a customer of the
-parent. Tables are sampled by Gibbs sweeps, and the predictive probabilities of the last sweeps are averaged.
-
-Restaurants whose last two context bytes agree share all parents down to those two bytes, so they are sampled in one
-task; the restaurants of one byte and of none, 2**16 numbers at most, are sampled between two passes.
-
-Words' contexts are dealt to parts by their hashes, those of more than ``HOT`` customers piece by piece by the next
-word's hash too. Blocks of texts send each part their distinct pairs; the part adds them up, samples its restaurants and
-sends back each pair's numbers in the order in which they came.
+begin); every table there is a customer of the restaurant without context, whose tables are spelt (spelling.py): a word is
+its bytes and an end; the end of a text is a word of one line feed. Tables are drawn by Gibbs sweeps (seating.py), and the
+counts of the last sweeps are averaged.
+
+Texts are cut into slices once: a row holds the slice's distinct words and its tokens as numbers of these. A slice sends
+each part its distinct pairs (word before, word) with their counts, by hash of the word before; contexts of more than
+``HOT`` customers are dealt in pieces by the next word too. A part adds the pairs up, sweeps over its contexts, whose parent
+is counted from the part's own tables meanwhile, and sends each slice its pairs' customers and tables in the order in which
+they came. The tables sent to each word by all parts are then the customers of the one restaurant without context, and
+that is sampled.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Words, byte_sums, cut, documents, mix, range_hash, slices, stored, training_rows, utf8
-
-ORDER = 5
-DISCOUNT, STRENGTH = 0.6, 1.0
-BURN_IN, KEPT = 3, 4
-#: Customers of the contexts of a part, on average, and of a context that is dealt in one piece.
-PART_TOKENS = 1 << 20
-HOT = 1 << 20
-#: Bytes of texts that are scored together.
-BLOCK_BYTES = 8 << 20
-#: Gram scores (16 bytes each) that are broadcast; with more, words' grams are joined with them.
-BROADCAST_GRAMS = 1_000_000
+from .seating import BURN_IN, DISCOUNT, KEPT, STRENGTH, draw, sweep
+from .spelling import gram_scores, score_words
+from .text import Words, byte_sums, documents, mix, range_hash, slices, stored, training_rows, utf8
+
+#: Bytes of texts in a slice.
+SLICE_BYTES = 16 << 20
+#: Customers of the contexts of a part, on average.
+PART_TOKENS = 2 << 20
+#: Customers from which a context is dealt in pieces: so many, or a hundred thousandth of all, so 100,000 words are hot at most.
+HOT, HOT_WORDS = 1 << 20, 100_000
 END = "\n"
 END_KEY = range_hash(byte_sums(np.frombuffer(END.encode(), np.uint8)), np.array([0]), np.array([1]))[0]
-_SPACE = 32
+#: Bits of a word's hash that tell it from others in a context.
+_TOLD = np.uint64(16)
 LN10 = float(np.log(10))
 
 
-def customers(docs: DataFrame) -> DataFrame:
-    """(word, n): all distinct tokens and how often training texts have them."""
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers in one compressed block, byte by byte of their places."""
+    planes = [np.array([len(a) for a in arrays], np.int64).tobytes()]
+    planes += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    raw = b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), codec="zstd", asbytes=True)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)), kinds, strict=True):
+        size = np.dtype(kind).itemsize
+        own = np.frombuffer(raw, np.uint8, int(n) * size, at).reshape(size, int(n)).T
+        out.append(np.ascontiguousarray(own).view(kind)[:, 0] if n else np.zeros(0, kind))
+        at += int(n) * size
+    return out
+
+
+SLICES = "slice long, doc_id array<long>, words binary, tokens binary"
+
+
+def sliced(docs: DataFrame) -> DataFrame:
+    """Rows SLICES: each a run of texts of up to SLICE_BYTES, one text at least."""
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        ids, keys, names, at, sizes, learn = zip(*held, strict=True)
+        distinct, rep, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        start = np.cumsum([0, *map(len, keys)])
+        # the distinct words by how often they stand here, then the end
+        tokens = np.concatenate([np.append(which[a:b], -1)[x] for a, b, x in zip(start[:-1], start[1:], at, strict=True)])
+        n = np.bincount(tokens + 1, minlength=len(distinct) + 1)[1:]
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(distinct) + 1, np.uint32)
+        rank[order], rank[-1] = np.arange(len(distinct)), len(distinct)
+        words = pa.concat_arrays(names).take(pa.array(rep[order]))
+        blob = pack(np.frombuffer(b" ".join(words.to_pylist()), np.uint8)), pack(rank[tokens], np.concatenate(sizes).astype(np.uint32), np.concatenate(learn))
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        row = [uuid.uuid4().int >> 65, [i for x in ids for i in x], *blob]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SLICES.split(", ")])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for rows, buf, offsets in slices(batch, "text"):
-                words = Words(buf, offsets, lower=True)
-                learn = rows.column("learn").to_numpy(zero_copy_only=False)
-                weight = np.repeat(learn, np.diff(words.first))
-                _, rep, which = np.unique(words.hash, return_index=True, return_inverse=True)
-                n = np.bincount(which, weight, len(rep)).astype(np.int64)
-                names = [words.buf[a:b].tobytes() for a, b in zip(words.start[rep], words.end[rep], strict=True)]
-                word = pa.array([*names, END.encode()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([word, pa.array(np.append(n, int(learn.sum())))], ["word", "n"])
-
-    rows = docs.select("text", training_rows(5).alias("learn"))
-    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (ORDER context bytes, then the byte) of all bytes and ends of words, and where each word's begin."""
-    size = np.diff(offsets)
-    last = buf[np.maximum(offsets[1:] - 1, 0)] if len(buf) else np.zeros(len(size), np.uint8)
-    ends = ~((size == 1) & (last == 10))
-    flat = np.insert(buf, offsets[1:][ends], _SPACE).astype(np.int64)
-    first = offsets + np.concatenate([[0], np.cumsum(ends)])
-    within = np.arange(len(flat)) - np.repeat(first[:-1], np.diff(first))
-    code = flat.copy()
-    for k in range(1, ORDER + 1):
-        before = np.zeros(len(flat), np.int64)
-        before[k:] = flat[:-k]
-        code |= np.where(within >= k, before, np.where(within == k - 1, _SPACE, 0)) << (8 * k)
-    return code, first
-
-
-def seat(rng: np.random.Generator, c: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Tables of c customers of a dish: each sits down anew, given its restaurant's tables and the parent's probability."""
-    t = np.minimum(c, 1).astype(np.float64)
-    live = np.flatnonzero(c > 1)
-    new = (STRENGTH + DISCOUNT * tables) * parent
-    seated = 1.0
-    while len(live):
-        step = max(1.0, np.floor(seated / 16))  # customers that sit down at the same odds
-        take = np.minimum(step, c[live] - seated)
-        odds = new[live] / (new[live] + np.maximum(seated - DISCOUNT * t[live], 1e-9))
-        t[live] += rng.binomial(take.astype(np.int64), np.clip(odds, 0, 1)) if step > 1 else rng.random(len(live)) < odds
-        seated += step
-        live = live[c[live] > seated]
-    return t
-
-
-class Level:
-    """Dishes of the restaurants of one context length: codes, restaurants, and each dish's place one level up."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        _, self.room = np.unique(codes >> 8, return_inverse=True)
-        self.rooms = int(self.room.max()) + 1 if len(codes) else 0
-        self.c = self.t = np.zeros(len(codes))
-
-    def total(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.room, values, self.rooms)[self.room]
-
-    def predict(self, parent: np.ndarray) -> np.ndarray:
-        c, t = self.total(self.c), self.total(self.t)
-        return (np.maximum(self.c - DISCOUNT * self.t, 0) + (STRENGTH + DISCOUNT * t) * parent) / (STRENGTH + c)
-
-    def sample(self, rng: np.random.Generator, parent: np.ndarray) -> None:
-        self.t = seat(rng, self.c, self.total(self.t), parent)
-
-
-def sweep_group(codes: np.ndarray, n: np.ndarray, base: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Samples the restaurants of two context bytes and more; base (256, 256) is the one-byte restaurants' probability.
-
-    Returns the averaged probability of each code, and (code of context byte and byte) with mean tables sent there.
-    """
-    rng, levels, up = np.random.default_rng(seed), [Level(codes)], []
-    for k in range(ORDER - 1, 1, -1):
-        own, which = np.unique(levels[-1].codes & ((1 << (8 * k + 8)) - 1), return_inverse=True)
-        up.append(which)
-        levels.append(Level(own))
-    low = levels[-1].codes & 0xFFFF
-    ground = base[low >> 8, low & 255]
-    levels[0].c = n.astype(np.float64)
-    for k, level in enumerate(levels):
-        if k:
-            level.c = np.bincount(up[k - 1], levels[k - 1].t, len(level.codes))
-        level.t = np.minimum(level.c, 1)
-    total, sent = np.zeros(len(codes)), np.zeros(len(low))
-    for step in range(BURN_IN + KEPT):
-        parents = [ground]
-        for k in range(len(levels) - 1, 0, -1):
-            parents.append(levels[k].predict(parents[-1])[up[k - 1]])
-        parents.reverse()
-        for k, level in enumerate(levels):
-            if k:
-                level.c = np.bincount(up[k - 1], levels[k - 1].t, len(level.codes))
-            level.sample(rng, parents[k])
-        if step >= BURN_IN:
-            p = ground
-            for k in range(len(levels) - 1, -1, -1):
-                p = levels[k].predict(p)
-                p = p[up[k - 1]] if k else p
-            total += p
-            sent += levels[-1].t
-    pairs, which = np.unique(low, return_inverse=True)
-    return total / KEPT, pairs, np.bincount(which, sent / KEPT, len(pairs))
-
-
-def sample_low(pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Probabilities (context byte, byte) of the one-byte restaurants over the restaurant without context."""
-    rng, one = np.random.default_rng(1), Level(pairs)
-    bytes_, up = np.unique(pairs & 255, return_inverse=True)
-    root = Level(bytes_)
-    one.c, one.t = np.round(c), np.minimum(np.round(c), 1)
-    out = np.zeros((256, 256))
-    for step in range(BURN_IN + KEPT):
-        root.c = np.bincount(up, one.t, len(bytes_))
-        root.t = np.minimum(root.c, 1) if not step else root.t
-        root.sample(rng, np.full(len(bytes_), 1 / 256))
-        p0 = np.full(256, (STRENGTH + DISCOUNT * root.t.sum()) / (STRENGTH + root.c.sum()) / 256)
-        p0[bytes_] = root.predict(np.full(len(bytes_), 1 / 256))
-        one.sample(rng, p0[pairs & 255])
-        if step >= BURN_IN:
-            rooms, tables = np.bincount(pairs >> 8, one.c, 256), np.bincount(pairs >> 8, one.t, 256)
-            p = ((STRENGTH + DISCOUNT * tables) / (STRENGTH + rooms))[:, None] * p0[None]
-            p[pairs >> 8, pairs & 255] += np.maximum(one.c - DISCOUNT * one.t, 0) / (STRENGTH + rooms[pairs >> 8])
-            out += p / KEPT
-    return out
+                if held and size + len(buf) > SLICE_BYTES:
+                    yield made(held)
+                    held, size = [], 0
+                found = Words(buf, offsets, lower=True)
+                keys, rep, which = np.unique(found.hash, return_index=True, return_inverse=True)
+                names = pa.array([found.buf[a:b].tobytes() for a, b in zip(found.start[rep], found.end[rep], strict=True)], pa.binary())
+                at = np.insert(which.astype(np.int32), found.first[1:], len(keys))
+                held.append((rows.column("doc_id").to_pylist(), keys, names, at, np.diff(found.first) + 1, rows.column("learn").to_numpy(zero_copy_only=False)))
+                size += len(buf)
+        if held:
+            yield made(held)
 
+    rows = docs.select("doc_id", "text", training_rows(5).alias("learn"))
+    return rows.mapInArrow(run, SLICES)
 
-def gram_scores(words: DataFrame) -> DataFrame:
-    """(code, lp): averaged predictive log10 probability of each byte in its context, for all grams of words (word, n).
 
-    The spelling is learnt from the tables of the words' restaurant, which here are one for each word that has customers.
-    """
+class Slice:
+    """A row SLICES: hashes of its words (the end last), tokens as places in them, and each text's tokens."""
 
-    def count(batches):
-        for batch in batches:
-            code, first = grams(*utf8(batch.column("word")))
-            codes, which = np.unique(code, return_inverse=True)
-            n = np.bincount(which, np.repeat(np.minimum(batch.column("n").to_numpy(), 1), np.diff(first)), len(codes))
-            yield pa.record_batch({"code": pa.array(codes), "n": pa.array(n.astype(np.int64))})
-
-    counts = words.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = cut(counts.withColumn("family", F.shiftright("code", 8).bitwiseAND(0xFFFF)).repartition("family").drop("family"))
-
-    def tasks(base: np.ndarray, scores: bool):
-        given = words.sparkSession.sparkContext.broadcast(base)
-
-        def run(batches):
-            held = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-            if held:
-                codes, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-                order = np.argsort(codes)
-                codes, n = codes[order], n[order]
-                p, pairs, sent = sweep_group(codes, n, given.value, int(codes[0] & 0x7FFFFFFF))
-                yield pa.record_batch({"code": pa.array(codes), "x": np.log10(p)} if scores else {"code": pa.array(pairs), "x": sent})
-
-        return counts.mapInArrow(run, "code long, x double")
-
-    # the one-byte restaurants' customers: 2**16 rows at most
-    low = tasks(np.full((256, 256), 1 / 256), False).groupBy("code").agg(F.sum("x").alias("x")).orderBy("code").toPandas()
-    base = sample_low(low["code"].to_numpy(np.int64), low["x"].to_numpy(np.float64)) if len(low) else np.full((256, 256), 1 / 256)
-    return cut(tasks(base, True).withColumnRenamed("x", "lp"))
-
-
-def score_words(words: DataFrame, scores: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """(word, n, lp) from gram scores that were cut(); these are broadcast only if they are counted to be few enough."""
-    if scores.count() <= limit:
-        table = scores.toArrow()
-        codes, lp = table.column("code").to_numpy(), table.column("lp").to_numpy()
-        order = np.argsort(codes)
-        given = words.sparkSession.sparkContext.broadcast((codes[order], lp[order]))
-        del table, codes, lp, order
-
-        def run(batches):
-            for batch in batches:
-                code, first = grams(*utf8(batch.column("word")))
-                codes, lp = given.value
-                total = np.add.reduceat(lp[np.searchsorted(codes, code)], first[:-1]) if len(code) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(total)], ["word", "n", "lp"])
-
-        return words.select("word", "n").mapInArrow(run, "word string, n long, lp double")
-
-    def spell(batches):
+    def __init__(self, words: bytes, tokens: bytes):
+        (self.names,) = unpack(words, np.uint8)
+        self.h = np.append(Words(self.names, np.array([0, len(self.names)])).hash, END_KEY)
+        at, self.sizes, self.learn = unpack(tokens, np.uint32, np.uint32, bool)
+        self.at = at.astype(np.int64)
+        self.taught = np.repeat(self.learn, self.sizes)
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.at, self.taught, len(self.h)).astype(np.int64)
+
+
+class Pairs:
+    """The distinct pairs (word before, word) of a slice, dealt to parts; ``which[t]`` is token t's pair."""
+
+    def __init__(self, own: Slice, parts: int, hot: tuple[np.ndarray, np.ndarray]):
+        n = len(own.h)
+        # the end of a text stands before the next one, and the last one's before the first
+        code, self.which = np.unique(np.roll(own.at, 1) * n + own.at, return_inverse=True)
+        self.times = np.bincount(self.which, own.taught, len(code)).astype(np.uint32)
+        self.u, self.w = code // n, code % n
+        pieces = np.ones(n, np.uint64)
+        keys, several = hot
+        if len(keys):
+            k = np.minimum(np.searchsorted(keys, own.h), len(keys) - 1)
+            pieces = np.where(keys[k] == own.h, several[k], 1).astype(np.uint64)
+        part = (mix(own.h[self.u] + mix(own.h[self.w]) % pieces[self.u] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.parts, first = np.unique(part[self.order], return_index=True)
+        self.bounds = np.append(first, len(part))
+
+    def dealt(self):
+        """(part, the places of its pairs, its first words, and how many pairs each of these has)."""
+        for k, part in enumerate(self.parts):
+            own = self.order[self.bounds[k] : self.bounds[k + 1]]
+            yield int(part), own, *np.unique(self.u[own], return_counts=True)
+
+
+def each_slice(f):
+    """For mapInArrow over rows SLICES: f(slice number, Slice) gives record batches."""
+
+    def run(batches):
         for batch in batches:
-            for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                code, first = grams(*utf8(part.column("word")))
-                at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([part.column("word").take(at), part.column("n").take(at), pa.array(code)], ["word", "n", "code"])
+            for k in range(batch.num_rows):
+                yield from f(batch.column("slice")[k].as_py(), Slice(batch.column("words")[k].as_py(), batch.column("tokens")[k].as_py()))
+
+    return run
+
+
+def word_rows(number: int, own: Slice):
+    """(word, n): distinct tokens of a slice, and how often its training texts have them."""
+    names, n = own.names.tobytes().split(), own.counts()
+    for at in range(0, len(n), 100_000):
+        word = names[at : at + 100_000] + ([END.encode()] if at + 100_000 >= len(n) else [])
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(n[at : at + 100_000])], ["word", "n"])
+
 
-    return words.select("word", "n").mapInArrow(spell, "word string, n long, code long").join(scores, "code").groupBy("word", "n").agg(F.sum("lp").alias("lp"))
+def requests(number: int, own: Slice):
+    """(slice, at, key): a slice's words."""
+    for at in range(0, len(own.h), 100_000):
+        key = own.h[at : at + 100_000].view(np.int64)
+        yield pa.record_batch({"slice": np.full(len(key), number), "at": np.arange(at, at + len(key), dtype=np.int64), "key": key})
 
 
 def keyed(words: DataFrame) -> DataFrame:
@@ -250,134 +182,117 @@ def seat_words(words: DataFrame, tables: float) -> DataFrame:
     """words (key, n, c, lp) with the mean tables t of each word's c customers, given all tables and its spelling's lp."""
 
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            rows = pa.Table.from_batches(held).sort_by("key")
-            c, lp = rows.column("c").to_numpy().astype(np.float64), rows.column("lp").to_numpy()
-            rng = np.random.default_rng(int(rows.column("key")[0].as_py() & 0x7FFFFFFF))
-            t = sum(seat(rng, c, np.full(len(c), tables), 10.0**lp) for _ in range(KEPT)) / KEPT
-            yield from rows.append_column("t", pa.array(t, pa.float64())).to_batches(10_000)
+        for batch in batches:
+            c, lp, key = batch.column("c").to_numpy().astype(np.float64), batch.column("lp").to_numpy() * LN10, batch.column("key").to_numpy().view(np.uint64)
+            mean, t, own = np.minimum(c, 1), np.minimum(c, 1), np.flatnonzero(c > 1)
+            if len(own):
+                mean[own] = 0
+                for step in range(1 + KEPT):  # the first draw only tells how many tables are the word's own
+                    t[own] = draw(c[own], STRENGTH + DISCOUNT * np.maximum(tables - t[own], 0), lp[own], key[own], 1000 + step)
+                    mean[own] += t[own] / KEPT if step else 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("key", "n", "c", "lp")), pa.array(mean)], ["key", "n", "c", "lp", "t"])
 
     return words.select("key", "n", "c", "lp").mapInArrow(run, "key long, n long, c long, lp double, t double")
 
 
 def unigrams(words: DataFrame) -> DataFrame:
-    """(key, n, lp, p): log10 probability p of each word in the restaurant without context, from words (key, n, c, lp).
+    """(key, n, p): log10 probability p of each word in the restaurant without context, from words (key, n, c, lp).
 
-    The first seating takes one table for each word that has customers, the second one the tables of the first.
+    Words are seated given all tables, three times, the first time with one for each word that has customers.
     """
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     tables = float(total[1])
     for _ in range(2):
-        seated = cut(seat_words(words, tables))
-        tables = float(seated.agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0])
+        tables = float(seat_words(words, tables).agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0])
+    seated = seat_words(words, tables)
     own = F.greatest(F.col("c") - DISCOUNT * F.col("t"), F.lit(0.0)) / (STRENGTH + total[0])
     fresh = (STRENGTH + DISCOUNT * tables) / (STRENGTH + total[0])
     # a long word's spelling is less than the least double, so words without customers stay in logarithms
     p = F.when(own > 0, F.log10(own + fresh * F.pow(F.lit(10.0), "lp"))).otherwise(F.col("lp") + float(np.log10(fresh)))
-    return seated.select("key", "n", "lp", p.alias("p"))
+    return seated.select("key", "n", p.alias("p"))
 
 
-class Pairs:
-    """The tokens of a block of texts and their distinct pairs (word before, word), dealt to parts.
+def sample_contexts(room: np.ndarray, dish: np.ndarray, c: np.ndarray, key: np.ndarray, share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Tables of each (room, dish) with c customers, summed over the KEPT last sweeps.
 
-    ``words`` has all words of the block (key, n, p). Pairs go by part, then by the order of the two words; those whose first
-    word no training text has are left out.
+    The parent's customers are the rooms' tables after each sweep; its own tables count one a dish. A room has share
+    times the tables that are here, and stands for weight rooms when the parent is counted.
     """
-
-    def __init__(self, texts: pa.Table, words: pa.Table, parts: int, hot: int):
-        h, self.n, self.p = words.column("key").to_numpy().view(np.uint64), words.column("n").to_numpy(), words.column("p").to_numpy()
-        order = np.argsort(h)
-        self.h, self.n, self.p = h[order], self.n[order], self.p[order]
-        end = np.searchsorted(self.h, END_KEY)
-        self.ids, at, learn, first = [], [], [], [np.zeros(1, np.int64)]
-        for batch in texts.combine_chunks().to_batches():
-            for rows, buf, offsets in slices(batch, "text"):
-                found = Words(buf, offsets, lower=True)
-                at.append(np.insert(np.searchsorted(self.h, found.hash), found.first[1:], end))
-                size = np.diff(found.first) + 1
-                learn.append(np.repeat(rows.column("learn").to_numpy(zero_copy_only=False), size))
-                first.append(size)
-                self.ids.append(rows.column("doc_id"))
-        self.first = np.cumsum(np.concatenate(first))
-        self.at = np.concatenate(at)
-        # the end of a text stands before the next one, and the last one's before the first
-        code, self.which = np.unique(np.roll(self.at, 1).astype(np.int64) * len(self.h) + self.at, return_inverse=True)
-        self.times = np.bincount(self.which, np.concatenate(learn), len(code)).astype(np.uint32)
-        self.u, self.w = code // len(self.h), code % len(self.h)
-        pieces = np.maximum(1, -(-self.n[self.u] // hot)).astype(np.uint64)
-        part = (mix(self.h[self.u] + mix(self.h[self.w]) % pieces * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
-        part[self.n[self.u] == 0] = parts
-        self.order = np.argsort(part, kind="stable")
-        self.bounds = np.searchsorted(part[self.order], np.arange(parts + 1))
-
-    def dealt(self):
-        """(part, the places of its pairs, its first words, and how many pairs each of these has)."""
-        for part in np.flatnonzero(np.diff(self.bounds)):
-            own = self.order[self.bounds[part] : self.bounds[part + 1]]
-            yield int(part), own, *np.unique(self.u[own], return_counts=True)
-
-
-def sample_contexts(room: np.ndarray, c: np.ndarray, parent: np.ndarray, share: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of c - DISCOUNT * tables and mean tables of each dish; a room has share times the tables that are here."""
-    rng, t = np.random.default_rng(seed), np.minimum(c, 1.0)
-    held, sent = np.zeros(len(c)), np.zeros(len(c))
+    kinds = int(dish.max()) + 1
+    t, sent = np.minimum(c, 1.0), np.zeros(len(c))
+    pair = mix(key[:, 0] ^ mix(key[:, 1]))
     for step in range(BURN_IN + KEPT):
-        t = seat(rng, c, (np.bincount(room, t, len(share)) * share)[room], parent)
+        customers = np.bincount(dish, t * weight[room], kinds)
+        own, all_ = np.minimum(customers, 1), (np.bincount(room, t, len(share)) * share * weight).sum()
+        lp = np.log((customers - DISCOUNT * own + (STRENGTH + DISCOUNT * own.sum()) / kinds) / (STRENGTH + all_))
+        sweep(room, len(share), c, t, lp[dish], pair, 600 + step, share)
         if step >= BURN_IN:
-            held += np.maximum(c - DISCOUNT * t, 0) / KEPT
-            sent += t / KEPT
-    return held, sent
-
-
-PACKED = "part long, block long, u binary, size binary, customers binary, w binary, times binary, p binary"
-ANSWERED = "part long, block long, held binary, tables binary, key binary, sent binary, hot boolean"
-
-
-def answer(group: pa.Table, most: int) -> pa.Table:
-    """Samples the restaurants of a part and answers all blocks; then the tables sent to each word, and hot contexts' tables."""
-    get = lambda name, kind: [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
-    us, sizes = get("u", np.uint64), get("size", np.uint32)
-    w, times, p = (np.concatenate(get(*x)) for x in (("w", np.uint64), ("times", np.uint32), ("p", np.float32)))
-    keys, at, place = np.unique(np.concatenate(us), return_index=True, return_inverse=True)
-    customers = np.concatenate(get("customers", np.int64))[at]
-    room = np.repeat(place, np.concatenate(sizes))
-    order = np.lexsort((w, room))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(room[order]) != 0) | (w[order][1:] != w[order][:-1])
-    dish = np.empty(len(order), np.int64)
-    dish[order] = np.cumsum(new) - 1
-    rep = order[new]
-    c = np.bincount(dish, times, len(rep))
-    part = group.column("part")[0].as_py()
-    pieces = np.maximum(1, -(-customers // most))
-    here = np.unique(room[rep] * (int(pieces.max()) + 1) + (mix(w[rep]) % pieces[room[rep]].astype(np.uint64)).astype(np.int64)) // (int(pieces.max()) + 1)
-    share = pieces / np.bincount(here, minlength=len(keys))
-    held, sent = sample_contexts(room[rep], c, p[rep].astype(np.float64), share, part)
-    tables = np.bincount(room[rep], sent, len(keys))
-    rows, a, b = [], 0, 0
-    for block, u, size in zip(group.column("block").to_pylist(), us, sizes, strict=True):
-        n = int(size.sum())
-        rows.append((part, block, held[dish[a : a + n]].astype(np.float32).tobytes(), tables[place[b : b + len(u)]].astype(np.float32).tobytes(), None, None, None))
-        a, b = a + n, b + len(u)
-    below, which = np.unique(w[rep], return_inverse=True)
-    rows.append((part, None, None, None, below.tobytes(), np.bincount(which, sent, len(below)).tobytes(), False))
-    hot = customers > most
-    rows.append((part, None, None, None, keys[hot].tobytes(), tables[hot].tobytes(), True))
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.bool_()]
-    names = [x.split()[0] for x in ANSWERED.split(", ")]
-    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            sent += t
+    return sent
+
+
+ASKED = "part long, slice long, asked binary"
+ANSWERED = "part long, slice long, answer binary, key binary, sent binary, hot boolean"
+
+
+def answer(group: pa.Table, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Samples the restaurants of a part and answers all slices; then the tables sent to each word, and hot contexts' tables."""
+    asked = [unpack(x, np.uint64, np.uint32, np.uint64, np.uint32) for x in group.column("asked").to_pylist()]
+    us, sizes, ws, times = zip(*asked, strict=True)
+    del asked
+    keys, place = np.unique(np.concatenate(us), return_inverse=True)
+    below, dish = np.unique(np.concatenate(ws), return_inverse=True)
+    del ws
+    pair, which = np.unique(np.repeat(place, np.concatenate(sizes)) * len(below) + dish, return_inverse=True)
+    del dish
+    room, dish = pair // len(below), pair % len(below)
+    c = np.bincount(which, np.concatenate(times), len(pair))
+    share, known = np.ones(len(keys)), np.zeros(len(keys), bool)
+    if len(hot[0]):
+        k = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+        known = hot[0][k] == keys
+        pieces = np.where(known, hot[1][k], 1).astype(np.uint64)
+        # the pieces that are dealt to this part
+        most = int(pieces.max()) + 1
+        here = np.unique(room * most + (mix(below[dish] << _TOLD) % pieces[room]).astype(np.int64)) // most if most > 2 else np.arange(len(keys))
+        share = pieces / np.bincount(here, minlength=len(keys))
+    sent = sample_contexts(room, dish, c, np.stack([keys[room], below[dish]], 1), share, np.where(known, 1 / parts, 1.0))
+    tables = np.bincount(room, sent, len(keys))
+    part, rows, a, b = group.column("part")[0].as_py(), [], 0, 0
+    c, sent = c.astype(np.uint32), sent.astype(np.uint32)
+    for number, u, size in zip(group.column("slice").to_pylist(), us, sizes, strict=True):
+        own = which[a : a + int(size.sum())]
+        rows.append((part, number, pack(c[own], sent[own], tables[place[b : b + len(u)]]), None, None, None))
+        a, b = a + len(own), b + len(u)
+    rows.append((part, None, None, below.tobytes(), np.bincount(dish, sent, len(below)).tobytes(), False))
+    rows.append((part, None, None, keys[known].tobytes(), tables[known].tobytes(), True))
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.bool_()]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ANSWERED.split(", ")])
 
 
 def sent_tables(answers: DataFrame, hot: bool) -> DataFrame:
-    """(key, t): the tables that words have in all contexts, or that hot contexts have."""
+    """(key, t): the tables of the KEPT sweeps that words (by their told bits) have in all contexts, or that hot contexts have."""
 
     def run(batches):
         for batch in batches:
             for key, sent in zip(batch.column("key").to_pylist(), batch.column("sent").to_pylist(), strict=True):
-                yield pa.record_batch({"key": np.frombuffer(key, np.int64), "t": np.frombuffer(sent, np.float64)})
+                yield pa.record_batch({"key": np.frombuffer(key, np.int64), "t": np.frombuffer(sent, np.float64).astype(np.int64)})
+
+    return answers.filter(F.col("hot") == hot).select("key", "sent").mapInArrow(run, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
+
 
-    return answers.filter(F.col("hot") == hot).select("key", "sent").mapInArrow(run, "key long, t double").groupBy("key").agg(F.sum("t").alias("t"))
+def packed(rows: DataFrame) -> DataFrame:
+    """(slice, answer): runs of rows (slice, at, n, p), which come sorted by slice, in one block each."""
+
+    def run(batches):
+        for batch in batches:
+            number = batch.column("slice").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
+            at, n, p = batch.column("at").to_numpy().astype(np.uint32), batch.column("n").to_numpy(), batch.column("p").to_numpy().astype(np.float32)
+            blocks = [pack(at[a:b], n[a:b], p[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(number[cuts[:-1]][: len(blocks)]), pa.array(blocks, pa.binary())], ["slice", "answer"])
+
+    return rows.sortWithinPartitions("slice", "at").mapInArrow(run, "slice long, answer binary")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -386,75 +301,61 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     A null or empty text is one end; repeated rows are learnt from as often as they stand there; without training
     texts all words are new and N is 0. Extra columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    words = stored(customers(docs))
+    table = stored(sliced(docs.select("doc_id", "text")))
+    words = stored(table.mapInArrow(each_slice(word_rows), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     tokens, kinds = int(total[0]), int(total[1])
     spelt = stored(keyed(score_words(words, gram_scores(words))))
-    # until contexts have been sampled, each of their customers counts as a table
-    first = unigrams(spelt.withColumn("c", F.col("n")))
-
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks, parts, most = max(1, -(-size // BLOCK_BYTES)), max(1, -(-tokens // PART_TOKENS)), HOT
-    blocks = docs.withColumn("learn", training_rows(5)).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks))).repartition(n_blocks, "block")
-
-    def distinct(batches):
-        for batch in batches:
-            block = batch.column("block").to_numpy()
-            for at in np.unique(block):
-                own = batch.filter(pa.array(block == at))
-                for _, buf, offsets in slices(own, "text", BLOCK_BYTES):
-                    keys = np.append(np.unique(Words(buf, offsets, lower=True).hash), END_KEY)
-                    yield pa.record_batch({"block": np.full(len(keys), at, np.int64), "key": keys.view(np.int64)})
-
-    asked = stored(blocks.mapInArrow(distinct, "block long, key long").distinct())
-
-    def ask(texts: pa.Table, words: pa.Table) -> pa.Table:
-        pairs, block, rows = Pairs(texts, words, parts, most), texts.column("block")[0].as_py(), []
-        p = (10.0**pairs.p).astype(np.float32)
-        for part, own, u, size in pairs.dealt():
-            w = pairs.w[own]
-            rows.append((part, block, *(x.tobytes() for x in (pairs.h[u], size.astype(np.uint32), pairs.n[u], pairs.h[w], pairs.times[own], p[w]))))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
-        names = [x.split()[0] for x in PACKED.split(", ")]
-        return pa.Table.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
-
-    given = asked.join(first.select("key", "n", "p"), "key")
-    packed = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(ask, PACKED)
-    answers = stored(packed.groupBy("part").applyInArrow(lambda group: answer(group, most), ANSWERED))
-    # at most one row for each HOT tokens
-    hot = {r.key & (2**64 - 1): r.t for r in sent_tables(answers, True).collect()}
-    hot_keys = np.array(sorted(hot), np.uint64)
-    hot_tables = np.array([hot[k] for k in sorted(hot)], np.float64)
-    seats = spelt.join(sent_tables(answers, False), "key", "left").withColumn("c", F.round(F.coalesce("t", F.lit(0.0))).cast("long"))
-    last = unigrams(seats)
+    parts, most = max(1, -(-tokens // PART_TOKENS)), max(HOT, tokens // HOT_WORDS)
+    # at most HOT_WORDS rows
+    often = spelt.filter(F.col("n") > most).orderBy("key").select("key", "n").toPandas()
+    order = np.argsort(often["key"].to_numpy(np.int64).view(np.uint64))
+    hot = often["key"].to_numpy(np.int64).view(np.uint64)[order], -(-often["n"].to_numpy(np.int64)[order] // most)
+    given = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def ask(number: int, own: Slice):
+        pairs = Pairs(own, parts, given.value)
+        for part, at, u, size in pairs.dealt():
+            block = pack(own.h[u], size.astype(np.uint32), own.h[pairs.w[at]] >> _TOLD, pairs.times[at])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], ["part", "slice", "asked"])
+
+    answers = stored(table.mapInArrow(each_slice(ask), ASKED).groupBy("part").applyInArrow(lambda group: answer(group, parts, given.value), ANSWERED))
+    tables = {r.key & (2**64 - 1): r.t / KEPT for r in sent_tables(answers, True).collect()} if len(hot[0]) else {}
+    hot_tables = docs.sparkSession.sparkContext.broadcast(np.array([tables.get(int(k), 0.0) for k in hot[0]]))
+    seats = spelt.withColumn("told", F.shiftrightunsigned("key", int(_TOLD))).join(sent_tables(answers, False).withColumnRenamed("key", "told"), "told", "left")
+    last = unigrams(stored(seats.select("key", "n", F.round(F.coalesce("t", F.lit(0)) / KEPT).cast("long").alias("c"), "lp")))
 
     def rate(texts: pa.Table, known: pa.Table) -> pa.Table:
+        own = Slice(texts.column("words")[0].as_py(), texts.column("tokens")[0].as_py())
         is_word = pc.is_null(known.column("part"))
-        pairs = Pairs(texts, known.filter(is_word), parts, most)
-        given = known.filter(pc.invert(is_word)).sort_by("part")
-        held, tables = np.zeros(len(pairs.u)), np.zeros(len(pairs.h))
-        back = np.zeros(len(pairs.u))
-        for (_, own, u, _), h, t in zip(pairs.dealt(), given.column("held").to_pylist(), given.column("tables").to_pylist(), strict=True):
-            held[own] = np.frombuffer(h, np.float32)
-            tables[u] = np.frombuffer(t, np.float32)
-            back[own] = tables[pairs.u[own]]
-        if len(hot_keys):
-            k = np.minimum(np.searchsorted(hot_keys, pairs.h[pairs.u]), len(hot_keys) - 1)
-            back = np.where(hot_keys[k] == pairs.h[pairs.u], hot_tables[k], back)
-        n, lp = pairs.n, pairs.p
+        n, lp = np.zeros(len(own.h), np.int64), np.zeros(len(own.h))
+        for block in known.filter(is_word).column("answer").to_pylist():
+            at, count, p = unpack(block, np.uint32, np.int64, np.float32)
+            n[at], lp[at] = count, p
+        pairs = Pairs(own, parts, given.value)
+        answered = known.filter(pc.invert(is_word))
+        block = dict(zip(answered.column("part").to_pylist(), answered.column("answer").to_pylist(), strict=True))
+        held, back, back_of = np.zeros(len(pairs.u)), np.zeros(len(pairs.u)), np.zeros(len(own.h))
+        for part, at, u, _ in pairs.dealt():
+            c, sent, room = unpack(block[part], np.uint32, np.uint32, np.float64)
+            held[at] = np.maximum(c - DISCOUNT * sent / KEPT, 0)
+            back_of[u] = room / KEPT
+            back[at] = back_of[pairs.u[at]]
+        keys = given.value[0]
+        if len(keys):
+            k = np.minimum(np.searchsorted(keys, own.h), len(keys) - 1)
+            back = np.where((keys[k] == own.h)[pairs.u], hot_tables.value[k][pairs.u], back)
         room = STRENGTH + n[pairs.u]
         with np.errstate(divide="ignore"):
             score = np.logaddexp(np.log(held / room), np.log((STRENGTH + DISCOUNT * back) / room) + lp[pairs.w] * LN10) / LN10
         base = np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        first = pairs.first[:-1]
-        cols = [np.diff(pairs.first), *(np.add.reduceat(v, first) for v in ((n > 0).astype(np.int64)[pairs.at], base[pairs.at], score[pairs.which]))]
-        return pa.Table.from_arrays([pa.chunked_array(pairs.ids).combine_chunks(), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    none = [F.lit(None).cast(k).alias(x) for x, k in (("part", "long"), ("held", "binary"), ("tables", "binary"))]
-    known = asked.join(last.select("key", "n", "p"), "key").select("block", "key", "n", "p", *none)
-    known = known.unionByName(answers.filter("block is not null").select("block", "part", "held", "tables"), allowMissingColumns=True)
-    rated = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        first = np.cumsum(own.sizes.astype(np.int64)) - own.sizes
+        cols = [own.sizes.astype(np.int64), *(np.add.reduceat(v, first) for v in ((n > 0).astype(np.int64)[own.at], base[own.at], score[pairs.which]))]
+        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks().flatten(), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    words_of = packed(table.mapInArrow(each_slice(requests), "slice long, at long, key long").join(last, "key").select("slice", "at", "n", "p"))
+    known = answers.filter("slice is not null").select("slice", "part", "answer").unionByName(words_of, allowMissingColumns=True)
+    rated = table.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rated.select("doc_id", (~training_rows(5)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lexmill.llm import components, counts, decontaminate, exact, html, jaccard, pitmanyor, quality, queries, sentencepieces, substring, suffix
+from lexmill.llm import components, counts, decontaminate, exact, html, jaccard, pitmanyor, quality, queries, seating, sentencepieces, spelling, substring, suffix
 from lexmill.llm.induced import Sorter
 
 SMALL = "/root/testdata/sf0.001"
@@ -333,7 +333,7 @@ def test_language_model(docs, texts, empty):
 def test_language_model_in_many_blocks(docs, monkeypatch):
     key = lambda r: (str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 3))
     whole = sorted(map(key, pitmanyor.lm_scores(docs).collect()))
-    monkeypatch.setattr(pitmanyor, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(pitmanyor, "SLICE_BYTES", 2000)
     assert sorted(map(key, pitmanyor.lm_scores(docs).collect())) == whole
 
 
@@ -350,7 +350,7 @@ def test_language_model_splits_hot_contexts(spark, monkeypatch):
     whole = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
     monkeypatch.setattr(pitmanyor, "HOT", 300)
     monkeypatch.setattr(pitmanyor, "PART_TOKENS", 500)
-    monkeypatch.setattr(pitmanyor, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(pitmanyor, "SLICE_BYTES", 3000)
     got = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
     off = max(abs(got[k] / whole[k] - 1) for k in got)
     assert got.keys() == whole.keys() and off < 0.01, off
@@ -373,10 +373,56 @@ def test_language_model_of_long_words_and_texts(spark):
     assert math.isclose(many - few, 699 * (more - few), rel_tol=1e-6) and math.isclose(most - few, 1399 * (more - few), rel_tol=1e-6)
 
 
+def test_table_counts_are_drawn_from_their_full_conditional():
+    d, n = seating.DISCOUNT, 4000
+
+    def exact(c, a, p):
+        log_s = {(0, 0): 0.0}
+        row = [0.0]
+        for k in range(c):  # plain recurrence of the generalised Stirling numbers, in logarithms
+            new = [-math.inf] * (k + 2)
+            for t in range(1, k + 2):
+                parts = [row[t - 1]] + ([row[t] + math.log(k - t * d)] if t <= k and k - t * d > 0 else [])
+                top = max(parts)
+                new[t] = top + math.log(sum(math.exp(x - top) for x in parts)) if top > -math.inf else top
+            row = new
+        w = [row[t] + sum(math.log(a + d * j) for j in range(t)) + t * math.log(p) for t in range(1, c + 1)]
+        w = [math.exp(x - max(w)) for x in w]
+        return [x / sum(w) for x in w]
+
+    for c, a, p in ((2, 1.0, 0.3), (5, 7.0, 0.2), (40, 300.0, 0.02), (200, 50.0, 0.01), (200, 4000.0, 0.01), (200, 3000.0, 0.2), (300, 2.0, 1e-9)):
+        want = exact(c, a, p)
+        mean = sum((t + 1) * x for t, x in enumerate(want))
+        spread = sum((t + 1 - mean) ** 2 * x for t, x in enumerate(want)) ** 0.5
+        got = seating.draw(np.full(n, c), np.full(n, a), np.full(n, math.log(p)), np.arange(n, dtype=np.uint64), 3)
+        assert got.min() >= 1 and got.max() <= c
+        assert abs(got.mean() - mean) < 5 * spread / n**0.5 + (0.03 * mean if c > seating.EXACT else 1e-9), (c, a, p, got.mean(), mean)
+        assert abs(got.std() - spread) < 0.1 * spread + 1e-3, (c, a, p, got.std(), spread)
+
+
+def test_probabilities_of_all_texts_sum_to_one(spark):
+    """All texts of up to six words of a small vocabulary hold nearly all probability; the rest is for others."""
+    rng, vocabulary = random.Random(4), ["red", "house", "green"]
+    train = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 3)))) for k in range(3000) if zlib.crc32(str(k).encode()) % 5 != 1]
+    probes = [" ".join(x) for n in range(7) for x in itertools.product(vocabulary, repeat=n)]
+    held = [k for k in range(3000, 20000) if zlib.crc32(str(k).encode()) % 5 == 1][: len(probes)]
+    docs = spark.createDataFrame([*train, *zip(held, probes)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in pitmanyor.lm_scores(docs).collect()}
+    total = sum(10 ** score[k] for k in held)
+    assert 0.97 < total < 1, total
+
+
+def test_scores_do_not_follow_the_partitioning(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(80)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    one, two = ({r.doc_id: r.score for r in pitmanyor.lm_scores(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], rel_tol=1e-6) for k in one)
+
+
 def test_spelling_probabilities_sum_to_one():
     codes = np.unique([(ord(a) << 8 | c) for a in "ab" for c in range(256)])
     n = np.where(codes & 255 == ord("c"), 5, 0)
-    p, _, _ = pitmanyor.sweep_group(codes, n, np.full((256, 256), 1 / 256), 1)
+    p, _, _ = spelling.sweep_group(codes, n, np.full((256, 256), 1 / 256))
     for a in "ab":
         assert abs(p[codes >> 8 == ord(a)].sum() - 1) < 1e-9
 
