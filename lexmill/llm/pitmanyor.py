@@ -6,11 +6,11 @@ its bytes and an end; the end of a text is a word of one line feed. Tables are d
 counts of the last sweeps are averaged.
 
 Texts are cut into slices once: a row holds the slice's distinct words and its tokens as numbers of these. A slice sends
-each part its distinct pairs (word before, word) with their counts, by hash of the word before; contexts of more than
-``HOT`` customers are dealt in pieces by the next word too. A part adds the pairs up, sweeps over its contexts, whose parent
-is counted from the part's own tables meanwhile, and sends each slice its pairs' customers and tables in the order in which
-they came. The tables sent to each word by all parts are then the customers of the one restaurant without context, and
-that is sampled.
+each bucket of words those of its words that are in it, with their counts, and each part its distinct pairs (word before,
+word), by hash of the word before; contexts of more than ``HOT`` customers are dealt in pieces by the next word too. A
+part adds the pairs up, sweeps over its contexts, whose parent gives words their share of all tokens meanwhile, and sends
+each slice its pairs' customers and tables in the order in which they came. The tables sent to each word by all parts are
+then the customers of the one restaurant without context, and that is sampled.
 """
 
 from __future__ import annotations
@@ -24,16 +24,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from .seating import BURN_IN, DISCOUNT, KEPT, STRENGTH, draw, sweep
 from .spelling import gram_scores, score_words
-from .text import Words, byte_sums, documents, mix, range_hash, slices, stored, training_rows, utf8
+from .text import Words, documents, mix, numbered, slices, stored, tidy, training_rows
 
 #: Bytes of texts in a slice.
-SLICE_BYTES = 16 << 20
-#: Customers of the contexts of a part, on average.
-PART_TOKENS = 2 << 20
+SLICE_BYTES = 32 << 20
+#: Customers of the contexts of a part, on average, and words that slices send to a bucket.
+PART_TOKENS, BUCKET_WORDS = 3 << 20, 1 << 19
 #: Customers from which a context is dealt in pieces: so many, or a hundred thousandth of all, so 100,000 words are hot at most.
 HOT, HOT_WORDS = 1 << 20, 100_000
-END = "\n"
-END_KEY = range_hash(byte_sums(np.frombuffer(END.encode(), np.uint8)), np.array([0]), np.array([1]))[0]
+#: The end of a text as it is spelt, and among a slice's words: a byte that UTF-8 never uses.
+END, MARK = "\n", b"\xff"
+#: The most frequent words whose share of all tokens every part is told: 16 bytes each, a megabyte.
+COMMON = 1 << 16
 #: Bits of a word's hash that tell it from others in a context.
 _TOLD = np.uint64(16)
 LN10 = float(np.log(10))
@@ -58,26 +60,28 @@ def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-SLICES = "slice long, doc_id array<long>, words binary, tokens binary"
+SLICES = "slice long, doc_id array<long>, kinds long, words binary, tokens binary"
 
 
 def sliced(docs: DataFrame) -> DataFrame:
     """Rows SLICES: each a run of texts of up to SLICE_BYTES, one text at least."""
 
     def made(held: list[tuple]) -> pa.RecordBatch:
-        ids, keys, names, at, sizes, learn = zip(*held, strict=True)
-        distinct, rep, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        ids, keys, names, at, sizes, learn = map(list, zip(*held, strict=True))
         start = np.cumsum([0, *map(len, keys)])
+        distinct, rep, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        for k, x in enumerate(at):
+            at[k] = np.append(which[start[k] : start[k + 1]], len(distinct)).astype(np.int32)[x]
+        tokens = np.concatenate(at)
+        at.clear()
         # the distinct words by how often they stand here, then the end
-        tokens = np.concatenate([np.append(which[a:b], -1)[x] for a, b, x in zip(start[:-1], start[1:], at, strict=True)])
-        n = np.bincount(tokens + 1, minlength=len(distinct) + 1)[1:]
-        order = np.argsort(-n, kind="stable")
+        order = np.argsort(-np.bincount(tokens, minlength=len(distinct) + 1)[:-1], kind="stable")
         rank = np.empty(len(distinct) + 1, np.uint32)
         rank[order], rank[-1] = np.arange(len(distinct)), len(distinct)
         words = pa.concat_arrays(names).take(pa.array(rep[order]))
-        blob = pack(np.frombuffer(b" ".join(words.to_pylist()), np.uint8)), pack(rank[tokens], np.concatenate(sizes).astype(np.uint32), np.concatenate(learn))
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        row = [uuid.uuid4().int >> 65, [i for x in ids for i in x], *blob]
+        blob = pack(np.frombuffer(b" ".join([*words.to_pylist(), MARK]), np.uint8)), pack(rank[tokens], np.concatenate(sizes).astype(np.uint32), np.concatenate(learn))
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+        row = [uuid.uuid4().int >> 65, [i for x in ids for i in x], len(distinct) + 1, *blob]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SLICES.split(", ")])
 
     def run(batches):
@@ -95,23 +99,32 @@ def sliced(docs: DataFrame) -> DataFrame:
                 size += len(buf)
         if held:
             yield made(held)
+        held.clear()
+        tidy()
 
     rows = docs.select("doc_id", "text", training_rows(5).alias("learn"))
     return rows.mapInArrow(run, SLICES)
 
 
+def hashes(names: np.ndarray) -> np.ndarray:
+    return Words(names, np.array([0, len(names)])).hash
+
+
 class Slice:
-    """A row SLICES: hashes of its words (the end last), tokens as places in them, and each text's tokens."""
+    """A row SLICES: its words and their hashes (the end last), tokens as places in them, and each text's tokens."""
 
     def __init__(self, words: bytes, tokens: bytes):
         (self.names,) = unpack(words, np.uint8)
-        self.h = np.append(Words(self.names, np.array([0, len(self.names)])).hash, END_KEY)
-        at, self.sizes, self.learn = unpack(tokens, np.uint32, np.uint32, bool)
-        self.at = at.astype(np.int64)
+        self.h = hashes(self.names)
+        self.at, self.sizes, self.learn = unpack(tokens, np.uint32, np.uint32, bool)
         self.taught = np.repeat(self.learn, self.sizes)
 
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.at, self.taught, len(self.h)).astype(np.int64)
+    def by_bucket(self, buckets: int):
+        """(bucket, places of the words in it)."""
+        bucket = self.h.view(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        return zip(found.tolist(), np.split(order, first[1:]), strict=True)
 
 
 class Pairs:
@@ -120,15 +133,18 @@ class Pairs:
     def __init__(self, own: Slice, parts: int, hot: tuple[np.ndarray, np.ndarray]):
         n = len(own.h)
         # the end of a text stands before the next one, and the last one's before the first
-        code, self.which = np.unique(np.roll(own.at, 1) * n + own.at, return_inverse=True)
-        self.times = np.bincount(self.which, own.taught, len(code)).astype(np.uint32)
-        self.u, self.w = code // n, code % n
+        code, self.which = numbered(np.roll(own.at, 1).astype(np.int64) * n + own.at)
+        self.times = np.bincount(self.which[own.taught], minlength=len(code)).astype(np.uint32)
+        self.u, self.w = (code // n).astype(np.int32), (code % n).astype(np.int32)
+        del code
         pieces = np.ones(n, np.uint64)
         keys, several = hot
         if len(keys):
             k = np.minimum(np.searchsorted(keys, own.h), len(keys) - 1)
             pieces = np.where(keys[k] == own.h, several[k], 1).astype(np.uint64)
-        part = (mix(own.h[self.u] + mix(own.h[self.w]) % pieces[self.u] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int64)
+        piece = mix(own.h >> _TOLD << _TOLD)[self.w] % pieces[self.u] * np.uint64(0x9E3779B97F4A7C15)
+        part = (mix(own.h[self.u] + piece) % np.uint64(parts)).astype(np.int32)
+        del piece
         self.order = np.argsort(part, kind="stable")
         self.parts, first = np.unique(part[self.order], return_index=True)
         self.bounds = np.append(first, len(part))
@@ -147,35 +163,37 @@ def each_slice(f):
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from f(batch.column("slice")[k].as_py(), Slice(batch.column("words")[k].as_py(), batch.column("tokens")[k].as_py()))
+                tidy()
 
     return run
 
 
-def word_rows(number: int, own: Slice):
-    """(word, n): distinct tokens of a slice, and how often its training texts have them."""
-    names, n = own.names.tobytes().split(), own.counts()
-    for at in range(0, len(n), 100_000):
-        word = names[at : at + 100_000] + ([END.encode()] if at + 100_000 >= len(n) else [])
-        yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()).cast(pa.string()), pa.array(n[at : at + 100_000])], ["word", "n"])
-
-
-def requests(number: int, own: Slice):
-    """(slice, at, key): a slice's words."""
-    for at in range(0, len(own.h), 100_000):
-        key = own.h[at : at + 100_000].view(np.int64)
-        yield pa.record_batch({"slice": np.full(len(key), number), "at": np.arange(at, at + len(key), dtype=np.int64), "key": key})
-
-
-def keyed(words: DataFrame) -> DataFrame:
-    """(key, n, lp): words by their hashes."""
-
-    def run(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column("word"))
-            key = range_hash(byte_sums(raw), offsets[:-1], offsets[1:]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("n"), batch.column("lp")], ["key", "n", "lp"])
-
-    return words.select("word", "n", "lp").mapInArrow(run, "key long, n long, lp double")
+def merged(group: pa.Table) -> pa.Table:
+    """(key, word, n): the distinct words of a bucket, and how often training texts have them."""
+    names, keys, n = [], [], []
+    for block in group.column("sent").to_pylist():
+        own, count = unpack(block, np.uint8, np.int64)
+        names.append(pa.array(own.tobytes().split(), pa.binary()))
+        keys.append(hashes(own))
+        n.append(count)
+    keys, rep, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    word = pa.concat_arrays(names).take(pa.array(rep))
+    word = pc.if_else(pc.equal(word, MARK), END.encode(), word).cast(pa.string())
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, which, np.concatenate(n))
+    return pa.table({"key": keys.view(np.int64), "word": word, "n": total})
+
+
+def told(mail: pa.Table, words: pa.Table) -> pa.Table:
+    """(slice, bucket, answer): how often each word that a slice sent is learnt from, and its log10 probability."""
+    key, rows = words.column("key").to_numpy(), []
+    order = np.argsort(key)
+    key, n, p = key[order], words.column("n").to_numpy()[order], words.column("p").to_numpy()[order].astype(np.float32)
+    for number, bucket, block in zip(mail.column("slice").to_pylist(), mail.column("bucket").to_pylist(), mail.column("sent").to_pylist(), strict=True):
+        at = np.searchsorted(key, hashes(unpack(block, np.uint8, np.int64)[0]).view(np.int64))
+        rows.append((number, bucket, pack(n[at], p[at])))
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], ["slice", "bucket", "answer"])
 
 
 def seat_words(words: DataFrame, tables: float) -> DataFrame:
@@ -212,20 +230,23 @@ def unigrams(words: DataFrame) -> DataFrame:
     return seated.select("key", "n", p.alias("p"))
 
 
-def sample_contexts(room: np.ndarray, dish: np.ndarray, c: np.ndarray, key: np.ndarray, share: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def sample_contexts(room: np.ndarray, dish: np.ndarray, c: np.ndarray, key: np.ndarray, share: np.ndarray, weight: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Tables of each (room, dish) with c customers, summed over the KEPT last sweeps.
 
-    The parent's customers are the rooms' tables after each sweep; its own tables count one a dish. A room has share
-    times the tables that are here, and stands for weight rooms when the parent is counted.
+    Until tables are known, the parent's probability of a dish is its share of all tokens: of the common words (hash,
+    share) as given, of others as counted here, where a room stands for weight rooms. A room has share times the tables
+    that are here.
     """
-    kinds = int(dish.max()) + 1
+    p = (np.bincount(dish, c * weight[room]) + 0.5) / ((np.bincount(room, c, len(share)) * share * weight).sum() + 1)
+    names = np.zeros(len(p), np.uint64)
+    names[dish] = key[:, 1]
+    if len(common[0]):
+        k = np.minimum(np.searchsorted(common[0], names), len(common[0]) - 1)
+        p = np.where(common[0][k] == names, common[1][k], p)
+    lp, pair = np.log(np.minimum(p, 1.0))[dish], mix(key[:, 0] ^ mix(key[:, 1]))
     t, sent = np.minimum(c, 1.0), np.zeros(len(c))
-    pair = mix(key[:, 0] ^ mix(key[:, 1]))
     for step in range(BURN_IN + KEPT):
-        customers = np.bincount(dish, t * weight[room], kinds)
-        own, all_ = np.minimum(customers, 1), (np.bincount(room, t, len(share)) * share * weight).sum()
-        lp = np.log((customers - DISCOUNT * own + (STRENGTH + DISCOUNT * own.sum()) / kinds) / (STRENGTH + all_))
-        sweep(room, len(share), c, t, lp[dish], pair, 600 + step, share)
+        sweep(room, len(share), c, t, lp, pair, 600 + step, share)
         if step >= BURN_IN:
             sent += t
     return sent
@@ -235,18 +256,17 @@ ASKED = "part long, slice long, asked binary"
 ANSWERED = "part long, slice long, answer binary, key binary, sent binary, hot boolean"
 
 
-def answer(group: pa.Table, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+def answer(group: pa.Table, parts: int, hot: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     """Samples the restaurants of a part and answers all slices; then the tables sent to each word, and hot contexts' tables."""
-    asked = [unpack(x, np.uint64, np.uint32, np.uint64, np.uint32) for x in group.column("asked").to_pylist()]
-    us, sizes, ws, times = zip(*asked, strict=True)
-    del asked
+    us, sizes, names, ws, times = zip(*(unpack(x, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32) for x in group.column("asked").to_pylist()), strict=True)
     keys, place = np.unique(np.concatenate(us), return_inverse=True)
-    below, dish = np.unique(np.concatenate(ws), return_inverse=True)
-    del ws
-    pair, which = np.unique(np.repeat(place, np.concatenate(sizes)) * len(below) + dish, return_inverse=True)
-    del dish
+    below, dish = np.unique(np.concatenate(names), return_inverse=True)
+    first = np.cumsum([0, *map(len, names)])
+    pair, which = numbered(np.repeat(place, np.concatenate(sizes)) * len(below) + np.concatenate([dish[a + w] for a, w in zip(first, ws, strict=False)]))
+    del ws, dish, names
     room, dish = pair // len(below), pair % len(below)
     c = np.bincount(which, np.concatenate(times), len(pair))
+    del pair, times
     share, known = np.ones(len(keys)), np.zeros(len(keys), bool)
     if len(hot[0]):
         k = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
@@ -256,13 +276,13 @@ def answer(group: pa.Table, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> p
         most = int(pieces.max()) + 1
         here = np.unique(room * most + (mix(below[dish] << _TOLD) % pieces[room]).astype(np.int64)) // most if most > 2 else np.arange(len(keys))
         share = pieces / np.bincount(here, minlength=len(keys))
-    sent = sample_contexts(room, dish, c, np.stack([keys[room], below[dish]], 1), share, np.where(known, 1 / parts, 1.0))
+    sent = sample_contexts(room, dish, c, np.stack([keys[room], below[dish]], 1), share, np.where(known, 1 / parts, 1.0), common)
     tables = np.bincount(room, sent, len(keys))
     part, rows, a, b = group.column("part")[0].as_py(), [], 0, 0
     c, sent = c.astype(np.uint32), sent.astype(np.uint32)
     for number, u, size in zip(group.column("slice").to_pylist(), us, sizes, strict=True):
         own = which[a : a + int(size.sum())]
-        rows.append((part, number, pack(c[own], sent[own], tables[place[b : b + len(u)]]), None, None, None))
+        rows.append((part, number, pack(c[own], sent[own], tables[place[b : b + len(u)]].astype(np.uint64)), None, None, None))
         a, b = a + len(own), b + len(u)
     rows.append((part, None, None, below.tobytes(), np.bincount(dish, sent, len(below)).tobytes(), False))
     rows.append((part, None, None, keys[known].tobytes(), tables[known].tobytes(), True))
@@ -281,20 +301,6 @@ def sent_tables(answers: DataFrame, hot: bool) -> DataFrame:
     return answers.filter(F.col("hot") == hot).select("key", "sent").mapInArrow(run, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """(slice, answer): runs of rows (slice, at, n, p), which come sorted by slice, in one block each."""
-
-    def run(batches):
-        for batch in batches:
-            number = batch.column("slice").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
-            at, n, p = batch.column("at").to_numpy().astype(np.uint32), batch.column("n").to_numpy(), batch.column("p").to_numpy().astype(np.float32)
-            blocks = [pack(at[a:b], n[a:b], p[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(number[cuts[:-1]][: len(blocks)]), pa.array(blocks, pa.binary())], ["slice", "answer"])
-
-    return rows.sortWithinPartitions("slice", "at").mapInArrow(run, "slice long, answer binary")
-
-
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -302,24 +308,39 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     texts all words are new and N is 0. Extra columns are ignored; an empty table gives no rows.
     """
     table = stored(sliced(docs.select("doc_id", "text")))
-    words = stored(table.mapInArrow(each_slice(word_rows), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    buckets = max(1, -(-int(table.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]) // BUCKET_WORDS))
+
+    def write(number: int, own: Slice):
+        names, n = own.names.tobytes().split(), np.bincount(own.at[own.taught], minlength=len(own.h))
+        for bucket, at in own.by_bucket(buckets):
+            block = pack(np.frombuffer(b" ".join([names[i] for i in at]), np.uint8), n[at].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bucket], pa.int64()), pa.array([block], pa.binary())], ["slice", "bucket", "sent"])
+
+    mail = stored(table.mapInArrow(each_slice(write), "slice long, bucket long, sent binary"))
+    words = stored(mail.groupBy("bucket").applyInArrow(merged, "key long, word string, n long"))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     tokens, kinds = int(total[0]), int(total[1])
-    spelt = stored(keyed(score_words(words, gram_scores(words))))
+    spelt = stored(score_words(words, gram_scores(words)).select("key", "n", "lp"))
     parts, most = max(1, -(-tokens // PART_TOKENS)), max(HOT, tokens // HOT_WORDS)
     # at most HOT_WORDS rows
     often = spelt.filter(F.col("n") > most).orderBy("key").select("key", "n").toPandas()
     order = np.argsort(often["key"].to_numpy(np.int64).view(np.uint64))
     hot = often["key"].to_numpy(np.int64).view(np.uint64)[order], -(-often["n"].to_numpy(np.int64)[order] // most)
     given = docs.sparkSession.sparkContext.broadcast(hot)
+    # COMMON rows at most
+    known = spelt.filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toPandas()
+    names = known["key"].to_numpy(np.int64).view(np.uint64) >> _TOLD
+    order = np.argsort(names)
+    frequent = docs.sparkSession.sparkContext.broadcast((names[order], known["n"].to_numpy(np.float64)[order] / max(1, tokens)))
 
     def ask(number: int, own: Slice):
         pairs = Pairs(own, parts, given.value)
         for part, at, u, size in pairs.dealt():
-            block = pack(own.h[u], size.astype(np.uint32), own.h[pairs.w[at]] >> _TOLD, pairs.times[at])
+            names, which = np.unique(pairs.w[at], return_inverse=True)
+            block = pack(own.h[u], size.astype(np.uint32), own.h[names] >> _TOLD, which.astype(np.uint32), pairs.times[at])
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], ["part", "slice", "asked"])
 
-    answers = stored(table.mapInArrow(each_slice(ask), ASKED).groupBy("part").applyInArrow(lambda group: answer(group, parts, given.value), ANSWERED))
+    answers = stored(table.mapInArrow(each_slice(ask), ASKED).groupBy("part").applyInArrow(lambda group: answer(group, parts, given.value, frequent.value), ANSWERED))
     tables = {r.key & (2**64 - 1): r.t / KEPT for r in sent_tables(answers, True).collect()} if len(hot[0]) else {}
     hot_tables = docs.sparkSession.sparkContext.broadcast(np.array([tables.get(int(k), 0.0) for k in hot[0]]))
     seats = spelt.withColumn("told", F.shiftrightunsigned("key", int(_TOLD))).join(sent_tables(answers, False).withColumnRenamed("key", "told"), "told", "left")
@@ -327,17 +348,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def rate(texts: pa.Table, known: pa.Table) -> pa.Table:
         own = Slice(texts.column("words")[0].as_py(), texts.column("tokens")[0].as_py())
-        is_word = pc.is_null(known.column("part"))
+        block = dict(zip(zip(known.column("part").to_pylist(), known.column("bucket").to_pylist(), strict=True), known.column("answer").to_pylist(), strict=True))
         n, lp = np.zeros(len(own.h), np.int64), np.zeros(len(own.h))
-        for block in known.filter(is_word).column("answer").to_pylist():
-            at, count, p = unpack(block, np.uint32, np.int64, np.float32)
-            n[at], lp[at] = count, p
+        for bucket, at in own.by_bucket(buckets):
+            n[at], lp[at] = unpack(block[None, bucket], np.int64, np.float32)
         pairs = Pairs(own, parts, given.value)
-        answered = known.filter(pc.invert(is_word))
-        block = dict(zip(answered.column("part").to_pylist(), answered.column("answer").to_pylist(), strict=True))
         held, back, back_of = np.zeros(len(pairs.u)), np.zeros(len(pairs.u)), np.zeros(len(own.h))
         for part, at, u, _ in pairs.dealt():
-            c, sent, room = unpack(block[part], np.uint32, np.uint32, np.float64)
+            c, sent, room = unpack(block[part, None], np.uint32, np.uint32, np.uint64)
             held[at] = np.maximum(c - DISCOUNT * sent / KEPT, 0)
             back_of[u] = room / KEPT
             back[at] = back_of[pairs.u[at]]
@@ -350,10 +368,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             score = np.logaddexp(np.log(held / room), np.log((STRENGTH + DISCOUNT * back) / room) + lp[pairs.w] * LN10) / LN10
         base = np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
         first = np.cumsum(own.sizes.astype(np.int64)) - own.sizes
+        del block, held, back, back_of, room
         cols = [own.sizes.astype(np.int64), *(np.add.reduceat(v, first) for v in ((n > 0).astype(np.int64)[own.at], base[own.at], score[pairs.which]))]
+        del pairs, score, base
+        tidy()
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks().flatten(), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    words_of = packed(table.mapInArrow(each_slice(requests), "slice long, at long, key long").join(last, "key").select("slice", "at", "n", "p"))
+    last = last.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    words_of = mail.groupBy("bucket").cogroup(last.groupBy("bucket")).applyInArrow(told, "slice long, bucket long, answer binary")
     known = answers.filter("slice is not null").select("slice", "part", "answer").unionByName(words_of, allowMissingColumns=True)
     rated = table.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rated.select("doc_id", (~training_rows(5)).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

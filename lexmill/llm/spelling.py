@@ -166,7 +166,15 @@ def gram_scores(words: DataFrame) -> DataFrame:
 
 
 def score_words(words: DataFrame, scores: DataFrame, limit: int = BROADCAST_GRAMS) -> DataFrame:
-    """(word, n, lp) from gram scores that were stored(); these are broadcast only if they are counted to be few enough."""
+    """words with lp from gram scores that were stored(); these are broadcast only if they are counted to be few enough."""
+    names, schema = words.columns, ", ".join(f"{c} {k}" for c, k in words.dtypes)
+
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                yield part, *grams(*utf8(part.column("word")))
+
     if scores.count() <= limit:
         table = scores.toArrow()
         codes, lp = table.column("code").to_numpy(), table.column("lp").to_numpy()
@@ -175,20 +183,16 @@ def score_words(words: DataFrame, scores: DataFrame, limit: int = BROADCAST_GRAM
         del table, codes, lp, order
 
         def run(batches):
-            for batch in batches:
-                for part in (batch.slice(a, 4000) for a in range(0, batch.num_rows, 4000)):
-                    code, first = grams(*utf8(part.column("word")))
-                    codes, lp = given.value
-                    total = np.add.reduceat(lp[np.searchsorted(codes, code)], first[:-1]) if len(code) else np.zeros(0)
-                    yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(total)], ["word", "n", "lp"])
+            for part, code, first in parts(batches):
+                codes, lp = given.value
+                total = np.add.reduceat(lp[np.searchsorted(codes, code)], first[:-1]) if len(code) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total)], [*names, "lp"])
 
-        return words.select("word", "n").mapInArrow(run, "word string, n long, lp double")
+        return words.mapInArrow(run, schema + ", lp double")
 
     def spell(batches):
-        for batch in batches:
-            for part in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                code, first = grams(*utf8(part.column("word")))
-                at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([part.column("word").take(at), part.column("n").take(at), pa.array(code)], ["word", "n", "code"])
+        for part, code, first in parts(batches):
+            at = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns), pa.array(code)], [*names, "code"])
 
-    return words.select("word", "n").mapInArrow(spell, "word string, n long, code long").join(scores, "code").groupBy("word", "n").agg(F.sum("lp").alias("lp"))
+    return words.mapInArrow(spell, schema + ", code long").join(scores, "code").groupBy(*names).agg(F.sum("lp").alias("lp"))

@@ -7,6 +7,7 @@ the batch size that the session is set to.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -151,6 +152,31 @@ def map_slices(f: Callable, column: str, limit: int = SLICE) -> Callable:
     return run
 
 
+def tidy() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of some non-negative integers, and which of them each one is: np.unique in less memory."""
+    bits, top = max(1, len(code).bit_length()), int(code.max()).bit_length() if len(code) else 0
+    if bits + top > 63:
+        return np.unique(code, return_inverse=True)
+    both = (code.astype(np.int64) << bits) | np.arange(len(code))
+    both.sort()
+    value, at = both >> bits, both & ((1 << bits) - 1)
+    del both
+    new = np.ones(len(value), bool)
+    np.not_equal(value[1:], value[:-1], out=new[1:])
+    which = np.empty(len(value), np.int32 if bits < 32 else np.int64)
+    which[at] = np.cumsum(new, dtype=which.dtype) - 1
+    return value[new], which
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
