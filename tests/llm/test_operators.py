@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lexmill.llm import components, counts, decontaminate, exact, html, jaccard, pitmanyor, quality, queries, seating, sentencepieces, spelling, substring, suffix
+from lexmill.llm import components, counts, decontaminate, exact, html, induced, jaccard, pitmanyor, quality, queries, seating, sentencepieces, spelling, substring, suffix
 from lexmill.llm.induced import Sorter
 
 SMALL = "/root/testdata/sf0.001"
@@ -188,14 +188,33 @@ def test_suffix(docs, texts, empty):
                 gone[k : k + 400] = True
         runs = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
         want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = [tuple(r) for r in suffix.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
-    assert sorted(map(str, got)) == sorted(map(str, want))
+    for most in (suffix.MOST, 1):  # the latter counts the strings of each key that has two pieces
+        got = [tuple(r) for r in suffix.suffix_dedup(docs, most).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
     assert suffix.suffix_dedup(empty).count() == 0
 
 
-def test_induced_sorting():
-    rng = np.random.default_rng(0)
-    for _ in range(150):
+def test_pieces_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(5)
+    passage, fill = rng.integers(97, 101, 700), lambda: rng.integers(97, 123, 900)
+    text = np.concatenate([fill(), passage, fill(), passage, fill(), np.full(900, 97), fill(), passage[:450]]).astype(np.uint8)
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 333)
+    found = suffix.pieces(text)
+    key = {s: k for k, lo, hi, _ in found for s in range(lo, hi)}
+    assert sorted(key) == list(range(len(text) - 399)) and sum(f[2] - f[1] for f in found) == len(key)
+    same = {}
+    for s in key:
+        assert same.setdefault(text[s : s + 400].tobytes(), key[s]) == key[s]
+    assert suffix.pieces(text[:399]).shape == (0, 4)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHORT": 2}, {"SHORT": 2, "WINDOW": 3, "RUN": 5, "BUFFER": 7, "IN_MEMORY": 16}])
+def test_induced_sorting(limits, monkeypatch):
+    """In memory, with recursion to the end, and with arrays, queues and orders of a few bytes in files."""
+    for name, value in limits.items():
+        monkeypatch.setattr(induced, name, value)
+    rng = np.random.default_rng(len(limits))
+    for _ in range(150 if len(limits) < 2 else 60):
         parts = [bytes(rng.integers(1, 1 + rng.integers(1, 5), rng.integers(1, 60)).astype(np.uint8)) for _ in range(rng.integers(1, 8))]
         parts += [parts[0] * 2]
         text, cap = np.frombuffer(b"\0".join([*parts, b""]), np.uint8), int(rng.integers(1, 12))
