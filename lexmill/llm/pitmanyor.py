@@ -39,6 +39,7 @@ COMMON = 1 << 16
 #: Bits of a word's hash that tell it from others in a context.
 _TOLD = np.uint64(16)
 LN10 = float(np.log(10))
+_ZSTD = pa.Codec("zstd", compression_level=7)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -46,7 +47,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     planes = [np.array([len(a) for a in arrays], np.int64).tobytes()]
     planes += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
     raw = b"".join(planes)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
@@ -60,6 +61,11 @@ def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """The differences of numbers in ascending order, from 0 on."""
+    return np.diff(x, prepend=np.uint64(0))
+
+
 SLICES = "slice long, doc_id array<long>, kinds long, words binary, tokens binary"
 
 
@@ -111,13 +117,18 @@ def hashes(names: np.ndarray) -> np.ndarray:
 
 
 class Slice:
-    """A row SLICES: its words and their hashes (the end last), tokens as places in them, and each text's tokens."""
+    """A row SLICES: its words, their hashes in order, tokens as places in these, and each text's tokens."""
 
     def __init__(self, words: bytes, tokens: bytes):
         (self.names,) = unpack(words, np.uint8)
-        self.h = hashes(self.names)
-        self.at, self.sizes, self.learn = unpack(tokens, np.uint32, np.uint32, bool)
-        self.taught = np.repeat(self.learn, self.sizes)
+        h = hashes(self.names)
+        self.order = np.argsort(h)
+        self.h = h[self.order]
+        place = np.empty(len(h), np.int32)
+        place[self.order] = np.arange(len(h))
+        at, self.sizes, learn = unpack(tokens, np.uint32, np.uint32, bool)
+        self.at = place[at]
+        self.taught = np.repeat(learn, self.sizes)
 
     def by_bucket(self, buckets: int):
         """(bucket, places of the words in it)."""
@@ -133,7 +144,10 @@ class Pairs:
     def __init__(self, own: Slice, parts: int, hot: tuple[np.ndarray, np.ndarray]):
         n = len(own.h)
         # the end of a text stands before the next one, and the last one's before the first
-        code, self.which = numbered(np.roll(own.at, 1).astype(np.int64) * n + own.at)
+        code = np.roll(own.at, 1).astype(np.int64)
+        code *= n
+        code += own.at
+        code, self.which = numbered(code)
         self.times = np.bincount(self.which[own.taught], minlength=len(code)).astype(np.uint32)
         self.u, self.w = (code // n).astype(np.int32), (code % n).astype(np.int32)
         del code
@@ -145,7 +159,7 @@ class Pairs:
         piece = mix(own.h >> _TOLD << _TOLD)[self.w] % pieces[self.u] * np.uint64(0x9E3779B97F4A7C15)
         part = (mix(own.h[self.u] + piece) % np.uint64(parts)).astype(np.int32)
         del piece
-        self.order = np.argsort(part, kind="stable")
+        self.order = np.argsort(part, kind="stable").astype(np.int32)
         self.parts, first = np.unique(part[self.order], return_index=True)
         self.bounds = np.append(first, len(part))
 
@@ -253,12 +267,13 @@ def sample_contexts(room: np.ndarray, dish: np.ndarray, c: np.ndarray, key: np.n
 
 
 ASKED = "part long, slice long, asked binary"
-ANSWERED = "part long, slice long, answer binary, key binary, sent binary, hot boolean"
+ANSWERED = "part long, slice long, answer binary, sent binary, hot boolean"
 
 
 def answer(group: pa.Table, parts: int, hot: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> pa.Table:
     """Samples the restaurants of a part and answers all slices; then the tables sent to each word, and hot contexts' tables."""
     us, sizes, names, ws, times = zip(*(unpack(x, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32) for x in group.column("asked").to_pylist()), strict=True)
+    us, names = [np.cumsum(u) for u in us], [np.cumsum(w) for w in names]
     keys, place = np.unique(np.concatenate(us), return_inverse=True)
     below, dish = np.unique(np.concatenate(names), return_inverse=True)
     first = np.cumsum([0, *map(len, names)])
@@ -282,11 +297,11 @@ def answer(group: pa.Table, parts: int, hot: tuple[np.ndarray, np.ndarray], comm
     c, sent = c.astype(np.uint32), sent.astype(np.uint32)
     for number, u, size in zip(group.column("slice").to_pylist(), us, sizes, strict=True):
         own = which[a : a + int(size.sum())]
-        rows.append((part, number, pack(c[own], sent[own], tables[place[b : b + len(u)]].astype(np.uint64)), None, None, None))
+        rows.append((part, number, pack(c[own], sent[own], tables[place[b : b + len(u)]].astype(np.uint64)), None, None))
         a, b = a + len(own), b + len(u)
-    rows.append((part, None, None, below.tobytes(), np.bincount(dish, sent, len(below)).tobytes(), False))
-    rows.append((part, None, None, keys[known].tobytes(), tables[known].tobytes(), True))
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.bool_()]
+    for key, total, is_hot in ((below, np.bincount(dish, sent, len(below)), False), (keys[known], tables[known], True)):
+        rows.append((part, None, None, pack(steps(key), total.astype(np.uint64)), is_hot))
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 2, pa.bool_()]
     return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ANSWERED.split(", ")])
 
 
@@ -295,10 +310,11 @@ def sent_tables(answers: DataFrame, hot: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for key, sent in zip(batch.column("key").to_pylist(), batch.column("sent").to_pylist(), strict=True):
-                yield pa.record_batch({"key": np.frombuffer(key, np.int64), "t": np.frombuffer(sent, np.float64).astype(np.int64)})
+            for block in batch.column("sent").to_pylist():
+                key, t = unpack(block, np.uint64, np.uint64)
+                yield pa.record_batch({"key": np.cumsum(key).view(np.int64), "t": t.view(np.int64)})
 
-    return answers.filter(F.col("hot") == hot).select("key", "sent").mapInArrow(run, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
+    return answers.filter(F.col("hot") == hot).select("sent").mapInArrow(run, "key long, t long").groupBy("key").agg(F.sum("t").alias("t"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -313,22 +329,22 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     def write(number: int, own: Slice):
         names, n = own.names.tobytes().split(), np.bincount(own.at[own.taught], minlength=len(own.h))
         for bucket, at in own.by_bucket(buckets):
-            block = pack(np.frombuffer(b" ".join([names[i] for i in at]), np.uint8), n[at].astype(np.int64))
+            block = pack(np.frombuffer(b" ".join([names[i] for i in own.order[at]]), np.uint8), n[at].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([bucket], pa.int64()), pa.array([block], pa.binary())], ["slice", "bucket", "sent"])
 
     mail = stored(table.mapInArrow(each_slice(write), "slice long, bucket long, sent binary"))
     words = stored(mail.groupBy("bucket").applyInArrow(merged, "key long, word string, n long"))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     tokens, kinds = int(total[0]), int(total[1])
-    spelt = stored(score_words(words, gram_scores(words)).select("key", "n", "lp"))
+    spelt = score_words(words, gram_scores(words)).select("key", "n", "lp")
     parts, most = max(1, -(-tokens // PART_TOKENS)), max(HOT, tokens // HOT_WORDS)
     # at most HOT_WORDS rows
-    often = spelt.filter(F.col("n") > most).orderBy("key").select("key", "n").toPandas()
+    often = words.filter(F.col("n") > most).orderBy("key").select("key", "n").toPandas()
     order = np.argsort(often["key"].to_numpy(np.int64).view(np.uint64))
     hot = often["key"].to_numpy(np.int64).view(np.uint64)[order], -(-often["n"].to_numpy(np.int64)[order] // most)
     given = docs.sparkSession.sparkContext.broadcast(hot)
     # COMMON rows at most
-    known = spelt.filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toPandas()
+    known = words.filter("n > 1").orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toPandas()
     names = known["key"].to_numpy(np.int64).view(np.uint64) >> _TOLD
     order = np.argsort(names)
     frequent = docs.sparkSession.sparkContext.broadcast((names[order], known["n"].to_numpy(np.float64)[order] / max(1, tokens)))
@@ -337,7 +353,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         pairs = Pairs(own, parts, given.value)
         for part, at, u, size in pairs.dealt():
             names, which = np.unique(pairs.w[at], return_inverse=True)
-            block = pack(own.h[u], size.astype(np.uint32), own.h[names] >> _TOLD, which.astype(np.uint32), pairs.times[at])
+            block = pack(steps(own.h[u]), size.astype(np.uint32), steps(own.h[names] >> _TOLD), which.astype(np.uint32), pairs.times[at])
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([block], pa.binary())], ["part", "slice", "asked"])
 
     answers = stored(table.mapInArrow(each_slice(ask), ASKED).groupBy("part").applyInArrow(lambda group: answer(group, parts, given.value, frequent.value), ANSWERED))
@@ -365,10 +381,14 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             back = np.where((keys[k] == own.h)[pairs.u], hot_tables.value[k][pairs.u], back)
         room = STRENGTH + n[pairs.u]
         with np.errstate(divide="ignore"):
-            score = np.logaddexp(np.log(held / room), np.log((STRENGTH + DISCOUNT * back) / room) + lp[pairs.w] * LN10) / LN10
+            held /= room
+            back = np.log((STRENGTH + DISCOUNT * back) / room)
+            back += lp[pairs.w] * LN10
+            score = np.logaddexp(np.log(held, out=held), back, out=back)
+            score /= LN10
         base = np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
         first = np.cumsum(own.sizes.astype(np.int64)) - own.sizes
-        del block, held, back, back_of, room
+        del block, held, back_of, room
         cols = [own.sizes.astype(np.int64), *(np.add.reduceat(v, first) for v in ((n > 0).astype(np.int64)[own.at], base[own.at], score[pairs.which]))]
         del pairs, score, base
         tidy()

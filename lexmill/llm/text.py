@@ -162,19 +162,25 @@ def tidy() -> None:
 
 
 def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of some non-negative integers, and which of them each one is: np.unique in less memory."""
+    """The distinct values of some non-negative int64, and which of them each one is: np.unique in less memory.
+
+    code is overwritten.
+    """
     bits, top = max(1, len(code).bit_length()), int(code.max()).bit_length() if len(code) else 0
     if bits + top > 63:
         return np.unique(code, return_inverse=True)
-    both = (code.astype(np.int64) << bits) | np.arange(len(code))
-    both.sort()
-    value, at = both >> bits, both & ((1 << bits) - 1)
-    del both
-    new = np.ones(len(value), bool)
-    np.not_equal(value[1:], value[:-1], out=new[1:])
-    which = np.empty(len(value), np.int32 if bits < 32 else np.int64)
-    which[at] = np.cumsum(new, dtype=which.dtype) - 1
-    return value[new], which
+    code <<= bits
+    code |= np.arange(len(code))
+    code.sort()
+    which, values, before, made = np.empty(len(code), np.int32 if bits < 32 else np.int64), [], -1, 0
+    for a in range(0, len(code), SLICE):
+        part = code[a : a + SLICE]
+        value = part >> bits
+        new = np.append(value[:1] != before, value[1:] != value[:-1])
+        which[part & ((1 << bits) - 1)] = made - 1 + np.cumsum(new)
+        values.append(value[new])
+        before, made = value[-1], made + len(values[-1])
+    return np.concatenate(values) if values else code, which
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -202,7 +208,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     ensure_checkpoints(df)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
