@@ -20,9 +20,9 @@ from .text import _BASE, _BYTE, mix
 #: Arrays above this size are mapped from unlinked temporary files.
 IN_MEMORY = 8 << 20
 #: Rows that a queue buffers before it writes them, rows of a range of several characters, rows taken at a time.
-BUFFER, WINDOW, RUN = 1 << 18, 1 << 16, 1 << 16
-#: Strings up to this length are sorted directly.
-SHORT = 1 << 10
+BUFFER, WINDOW, RUN = 1 << 18, 1 << 13, 1 << 16
+#: Strings of names up to this length, which fit memory, are sorted directly: the recursion ends there.
+SHORT = 1 << 20
 _FAR = np.int32(1 << 30)
 
 
@@ -269,8 +269,9 @@ class Level:
         key = char(place) * 2 + seed
         order = np.argsort(key, kind="stable")
         key, place = key[order], place[order]
+        step = 64
         while len(key):
-            own, k = place[:RUN], key[:RUN]
+            own, k = place[:step], key[:step]
             at, to = before(own)
             into = np.full(len(own), 2 * high, np.int64)
             into[at] = np.where(to < high, 2 * to, 2 * high)
@@ -278,6 +279,7 @@ class Level:
             # rows before which a sent one belongs have to wait
             late = np.flatnonzero(k[1:] > soonest[:-1])
             n = int(late[0]) + 1 if len(late) else len(own)
+            step = 4 * n
             sent = at < n
             at, to = at[sent], to[sent]
             taken = own[:n][k[:n] % 2 == 0]
@@ -285,6 +287,9 @@ class Level:
             far = to >= high
             send(own, np.zeros(len(own), np.int32), at[far], to[far])
             new, to = own[at[~far]] - 1, to[~far] * 2
+            if not len(new):
+                key, place = key[n:], place[n:]
+                continue
             order = np.argsort(to, kind="stable")
             where = np.searchsorted(key[n:], to[order], "right")
             key, place = np.insert(key[n:], where, to[order]), np.insert(place[n:], where, new[order])
@@ -354,7 +359,7 @@ def ordered(s: np.ndarray, kinds: int) -> np.ndarray:
     n = len(s)
     if n <= SHORT:
         rank, span = np.asarray(s), 1
-        while span < n:
+        while span < n and rank.max() < n - 1:
             pair = rank * (n + kinds + 1) + np.append(rank[span:] + 1, np.zeros(min(span, n), np.int64))
             rank = np.unique(pair, return_inverse=True)[1]
             span *= 2
