@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Latin letters with marks and the letters they fold to.
-MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçđ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncd"
+#: Letters with marks and the letters they decompose to, and marks on their own, which go.
+_FOLDED = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower() for c in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)])}
+_FOLDED = {c: base for c, base in _FOLDED.items() if len(base) == 1 and base != c and base.isalnum() and not base.isspace()} | {"đ": "d", "Đ": "d"}
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c))
+MARKED, PLAIN = "".join(_FOLDED) + _MARKS, "".join(_FOLDED.values())
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents, as compatibility decomposition gives it for Latin letters, Vietnamese ones too."""
     return F.translate(F.lower(c), MARKED, PLAIN)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from lexmill.functions import text as T
 from lexmill.plans.registry import query, read
 
-_FOLD = f"translate(lower({{}}), '{T.MARKED}', '{T.PLAIN}')"
+_FOLD = "strip_accents(translate(lower({}), 'ª²³µ¹ºđſẛ', 'a23μ1odss'))"
 _TOKENS = "regexp_extract_all(" + _FOLD + ", '[a-z0-9]{{3,}}')"
 
 
