@@ -111,19 +111,13 @@ def _runs(batches, token: list, first: np.ndarray, owner: np.ndarray):
 
 
 @query(
-    f"""WITH p AS (SELECT item_id, text AS q, list_distinct({_TOKENS.format("text")}) AS members FROM benchmark), d AS (SELECT doc_id, text AS t FROM documents WHERE doc_id % 50 = 0),
+    f"""WITH p AS (SELECT item_id, text AS q, list_distinct({_TOKENS.format("text")}) AS members FROM benchmark), d AS (SELECT doc_id, text AS t FROM documents),
 o AS (SELECT doc_id, item_id, members, unnest(range(len({_TOKENS.format("t")}))) AS pos, unnest({_TOKENS.format("t")}) AS token FROM d, p),
 m AS (SELECT doc_id, item_id, pos, list_contains(members, token) AS hit, sum(CASE WHEN list_contains(members, token) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS island FROM o),
 r AS (SELECT doc_id, item_id, island, count(*) FILTER (WHERE hit) AS n FROM m GROUP BY ALL)
 SELECT doc_id, max(n)::BIGINT AS longest_run FROM r GROUP BY doc_id"""
 )
 def copied_runs(spark, sf_dir):
-    """copied_runs_all for each 50th unit, to which its SQL is bound."""
-    return longest_runs(read(spark, sf_dir, "documents").filter("doc_id % 50 = 0"), read(spark, sf_dir, "benchmark"))
-
-
-@query()
-def copied_runs_all(spark, sf_dir):
     """For each unit, the longest run of its words that are words of one item."""
     return longest_runs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

@@ -77,7 +77,7 @@ def attempts(events: DataFrame) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events WHERE event_type = 'error')
-SELECT user_id, event_id, user_id || '_r' || lpad(attempt::VARCHAR, 2, '0') AS slot FROM a WHERE attempt < 100"""
+SELECT user_id, event_id, user_id || '_r' || lpad(attempt::VARCHAR, greatest(2, length(attempt::VARCHAR))::INT, '0') AS slot FROM a"""
 )
 def attempt_numbers(spark, sf_dir):
     """Retries get their slot's name with a running number of two digits or more."""

@@ -33,15 +33,34 @@ def repeated_lines(spark, sf_dir):
     return repeated(read(spark, sf_dir, "documents"))
 
 
-def clean_pages_of(docs: DataFrame, ratio: float = MIN_RATIO) -> DataFrame:
-    """Texts without page numbers and repeated lines, with blank runs collapsed; lines keep their order."""
+#: Repeated lines (119 characters each at most) that are sent to all tasks; more of them are joined with the lines.
+FEW_LINES = 10_000
+
+
+def clean_pages_of(docs: DataFrame, ratio: float = MIN_RATIO, few: int = FEW_LINES) -> DataFrame:
+    """Texts without page numbers and repeated lines, with blank runs collapsed; lines keep their order.
+
+    Repeated lines that are few go to the texts, which then are cleaned in place; else lines go to their repeats.
+    """
     text = F.regexp_replace(F.regexp_replace("text", "\f", "\n"), "ƣ", "ư")
-    rows = docs.select("doc_id", "source", F.posexplode(T.lines(text)).alias("pos", "line")).withColumn("bare", T.strip(F.col("line")))
-    rows = rows.filter(~F.col("bare").rlike("^[0-9]+$"))
-    kept = rows.join(repeated(docs, ratio).select("source", F.col("line").alias("bare")), ["source", "bare"], "left_anti")
-    whole = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("bare") == "", "").otherwise(F.col("line")).alias("line")))), lambda x: x.line), "\n").alias("text"))
+    again = repeated(docs, ratio).select("source", "line")
+    held = again.limit(few + 1).collect()
+    if len(held) <= few:
+        by_source: dict[str, list[str]] = {}
+        for r in held:
+            by_source.setdefault(r.source, []).append(r.line)
+        known = docs.sparkSession.createDataFrame(list(by_source.items()), "source string, again array<string>")
+        own = docs.select("doc_id", "source", F.transform(T.lines(text), lambda x: F.struct(x.alias("line"), T.strip(x).alias("bare"))).alias("lines")).join(F.broadcast(known), "source", "left")
+        fine = F.filter("lines", lambda x: ~x.bare.rlike("^[0-9]+$") & ~F.coalesce(F.array_contains("again", x.bare), F.lit(False)))
+        whole = own.select("doc_id", F.array_join(F.transform(fine, lambda x: F.when(x.bare == "", "").otherwise(x.line)), "\n").alias("text"))
+    else:
+        rows = docs.select("doc_id", "source", F.posexplode(T.lines(text)).alias("pos", "line")).withColumn("bare", T.strip(F.col("line")))
+        rows = rows.filter(~F.col("bare").rlike("^[0-9]+$"))
+        kept = rows.join(again.withColumnRenamed("line", "bare"), ["source", "bare"], "left_anti")
+        joined = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("bare") == "", "").otherwise(F.col("line")).alias("line")))), lambda x: x.line), "\n").alias("text"))
+        whole = docs.select("doc_id").join(joined, "doc_id", "left")
     clean = T.strip(F.regexp_replace(F.regexp_replace("text", "\n{3,}", "\n\n"), "[ \t]{2,}", " "))
-    return docs.select("doc_id").join(whole, "doc_id", "left").select("doc_id", F.coalesce(clean, F.lit("")).alias("text"))
+    return whole.select("doc_id", F.coalesce(clean, F.lit("")).alias("text"))
 
 
 @query(
@@ -123,9 +142,7 @@ def without_noise(c: Column) -> Column:
     """Lines but page numbers, headings of contents and references, and lines mostly of dots."""
 
     def fine(line: Column) -> Column:
-        bare = T.strip(line)
-        dots = F.regexp_count(line, F.lit(r"\."))
-        return ~bare.rlike("^[0-9]+$") & ~F.lower(bare).isin("contents", "references", "bibliography") & ~(dots * 4 > F.greatest(F.lit(32), F.char_length(line)))
+        return ~line.rlike(r"(?i)^[ \t\x0b\f\r]*(?:[0-9]+|contents|references|bibliography)[ \t\x0b\f\r]*$") & ~(Q.chars(line, ".") * 4 > F.greatest(F.lit(32), F.char_length(line)))
 
     return F.array_join(F.filter(T.lines(c), fine), "\n")
 

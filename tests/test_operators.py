@@ -94,7 +94,7 @@ def test_copied_runs_of_all_units(spark, monkeypatch):
             for token in tokens:
                 run = run + 1 if token in members else 0
                 want[doc] = max(want.get(doc, 0), run)
-    got = {r.doc_id: r.longest_run for r in matching.copied_runs_all(spark, SMALL).collect()}
+    got = {r.doc_id: r.longest_run for r in matching.copied_runs(spark, SMALL).collect()}
     assert got == want and len(got) > 100
     docs, bench = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
     assert {r.doc_id: r.longest_run for r in matching.longest_runs(docs, bench, limit=0).collect()} == want
