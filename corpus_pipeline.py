@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. SQL can't express the trained classifier or the segmentation, so there is no ORACLE_SQL; the tests
 compare the stages with brute force.
+
+A null text counts as an empty one throughout; empty texts are equal to each other, so one of them stays. Rows that
+repeat a doc_id share the verdicts of that doc_id. Documents without a doc_id are judged by the classifier, and stay in
+the stages behind it. Extra columns, whatever their names, go along up to the last stage. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from lexmill.llm.text import cut, documents, ensure_checkpoints, semi_join
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1; empty ones, scored 0.5, stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_scores(docs, labels, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    return quality.good_documents(docs, labels)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

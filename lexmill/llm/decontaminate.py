@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import _SEP, LOWER, byte_sums, documents, map_slices, range_hash
+from .text import _SEP, LOWER, byte_sums, documents, map_slices, range_hash, stored
 
 Q = 10
 #: Edits that an occurrence may have, as a share of the item's bytes.
 EDITS = 0.07
 #: Bytes of benchmark items that are broadcast at a time; a larger benchmark is taken in blocks, a pass for each.
 BLOCK_BYTES = 8 << 20
+#: Pairs of equal q-grams that are held at a time, and diagonals that are aligned together.
+PAIRS, WIDE = 1 << 19, 1 << 14
 _BITS = 21
 
 
@@ -59,6 +61,7 @@ class Items:
         self.hash, self.item, self.place = h[order], item[order], place[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.hash & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+        self.reach = int(size.max() + 4 * self.budget.max()) if len(size) else 0
         self.short = [j for j in range(len(size)) if size[j] < Q]
 
     def regions(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -73,6 +76,16 @@ class Items:
         text = np.searchsorted(offsets, at, "right") - 1
         fine = (high > low) & (at + Q <= offsets[text + 1])
         at, low, n, text = at[fine], low[fine], (high - low)[fine], text[fine]
+        # a repetitive text has many pairs: runs of at most PAIRS, each with what an occurrence reaches back
+        total, begin, found = np.cumsum(n), 0, set()
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+            back = int(np.searchsorted(at, at[begin] - self.reach))
+            found.update(self._bands(at[back:end], low[back:end], n[back:end], text[back:end]))
+            begin = end
+        return merged(sorted(found))
+
+    def _bands(self, at: np.ndarray, low: np.ndarray, n: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         k = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at, text, item, place = np.repeat(at, n), np.repeat(text, n), self.item[k], self.place[k]
         diagonal = at - place + (1 << 40)
@@ -90,11 +103,22 @@ class Items:
         return [(int(one[0, b]), int(one[1, b]), int(x) - (1 << 40), int(y) - (1 << 40)) for b, x, y in zip(begin[ok], lo[ok], hi[ok], strict=True)]
 
 
+def merged(bands: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Bands of one text and item that touch, as one of up to WIDE diagonals: they are aligned together."""
+    out: list[list[int]] = []
+    for text, item, lo, hi in bands:
+        if out and out[-1][:2] == [text, item] and lo <= out[-1][3] + 1 and hi - out[-1][2] < WIDE:
+            out[-1][3] = max(out[-1][3], hi)
+        else:
+            out.append([text, item, lo, hi])
+    return [tuple(x) for x in out]
+
+
 def align(item: bytes, text: bytes, lo: int, hi: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best occurrence whose diagonals lie in [lo - budget, hi + budget], if within budget."""
-    for d in range(max(0, lo), hi + 1) if hi - lo <= 2 * budget + 2 else (lo, hi):
-        if d >= 0 and text[d : d + len(item)] == item:
-            return 0, d, d + len(item)
+    d = text.find(item, max(0, lo), max(0, hi + len(item)))
+    if d >= 0:
+        return 0, d, d + len(item)
     a, t = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
     lo, hi = lo - budget, hi + budget
     width, far = hi - lo + 1, len(item) + len(text) + 1
@@ -159,7 +183,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             text, *rest = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(text)), *(pa.array(x, pa.int64()) for x in rest)], ["doc_id", "item_id", "edits", "start", "end", "n_regions"])
 
-        found.append(docs.select("doc_id", "text").mapInArrow(map_slices(run, "text"), "doc_id long, item_id long, edits long, start long, end long, n_regions long"))
+        part = docs.select("doc_id", "text").mapInArrow(map_slices(run, "text"), "doc_id long, item_id long, edits long, start long, end long, n_regions long")
+        if blocks > 1:  # a block's items leave the driver before the next ones come
+            part = stored(part)
+            given.destroy()
+        found.append(part)
     return reduce(DataFrame.union, found)
 
 

@@ -15,6 +15,8 @@ from .text import WORD_SPACE, cut, documents
 #: A chunk ends after one of these letter pairs, but not before LEAST characters and not after MOST.
 LEAST, MOST = 512, 8192
 BOUNDARY = "[aeio][nrst][^a-z]|[0-9][,.;]"
+#: Groups of more rows than HOT, and than a LARGE-th of all rows, are told their verdict by broadcast: LARGE groups at most.
+HOT, LARGE = 300, 10_000
 CHUNK = f"(?s).{{{LEAST},{MOST}}}?(?:{BOUNDARY})|.{{1,{MOST}}}"
 
 
@@ -56,13 +58,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Of equal texts the row with the most code points stays, then the one with the smallest doc_id. A null text counts
     as empty, and empty texts are equal. Rows that repeat a doc_id with the same text share the verdict of that doc_id.
-    A null doc_id loses against any other. Extra columns of docs are ignored; an empty table gives no rows. The hot
-    groups are summed before they are shuffled, and the join back is one that adaptive execution can split.
+    A null doc_id loses against any other. Extra columns of docs are ignored; an empty table gives no rows. Groups are
+    summed before they are shuffled; the verdicts of the largest ones, LARGE at most, go to their rows by broadcast.
     """
     rows = cut(with_identifiers(cut(recipes(docs.select("doc_id", "text")))))
     groups = rows.groupBy("ids").agg(F.max(F.struct(F.col("n_chars").alias("n"), (-F.col("doc_id")).alias("d"))).alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("ids", (-F.col("best.d")).alias("keep_id"), "group_size")
-    return rows.join(groups, "ids").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
+    least = max(HOT, rows.count() // LARGE)
+    large = cut(groups.filter(F.col("group_size") > least))
+    told = rows.join(F.broadcast(large), "ids", "left")
+    rest = told.filter("group_size is null").drop("keep_id", "group_size").join(groups.filter(F.col("group_size") <= least), "ids")
+    out = told.filter("group_size is not null").unionByName(rest)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The features of a text are its distinct n-grams of one to three words, in two readings: the words themselves (lower
 case, one and two words) and their shapes (letter case, digits, marks, length, whether a word repeats the one before),
-each hashed into one of ``2**BITS`` slots with a signless count of one. A score is the sparse dot product of the
-n-grams' mean with the weights.
+each hashed into one of ``2**BITS`` slots. A score is the sparse dot product of the weights with the square roots of the
+slots' shares of all n-grams.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import Words, documents, map_slices, mix, slices, training_rows
+from .text import Words, documents, map_slices, mix, slices, stored, training_rows, unused
 
 BITS = 18
 #: The documented bound of the sample of labelled rows that the classifier is fitted on: those with the smallest hashes.
@@ -86,9 +86,13 @@ class Ftrl:
 
 
 def train(rows: DataFrame) -> np.ndarray:
-    """Weights from rows (text, label): SHARDS tasks learn from their share, the sum of their updates begins the next round."""
+    """Weights from rows (doc_id, text, label): SHARDS tasks learn from their share, the sum of their updates begins the next round.
+
+    Shares and the order of rows in them are those of doc_id's and the text's hashes, so weights don't follow the partitioning.
+    """
     spark, state = rows.sparkSession, np.zeros((2, 2**BITS))
-    shares = rows.repartition(SHARDS, F.xxhash64("text"))
+    deal = F.xxhash64("doc_id")
+    shares = stored(rows).repartition(SHARDS, deal).sortWithinPartitions(deal, "doc_id", F.xxhash64("text")).select("text", "label")
     for _ in range(ROUNDS):
         given = spark.sparkContext.broadcast(state)
 
@@ -114,37 +118,47 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAIN_RO
     known = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isin(0, 1)).filter(training_rows(3))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, and the score of text."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str) -> DataFrame:
+    """The columns keep of docs, whatever their names, and the score of text as name."""
     given = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    own = [f"_keep{k}" for k in range(len(keep))]
+    wanted = docs.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)), F.col("text").alias("text"))
 
     def run(rows, buf, offsets):
         slots, first = features(buf, offsets)
         w = given.value
         out = np.zeros(rows.num_rows)
         for i in range(rows.num_rows):
-            own = slots[first[i] : first[i + 1]]
-            if len(own):
-                at, c = np.unique(own, return_counts=True)
-                out[i] = w[at] @ np.sqrt(c / len(own))
-        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], [*keep, "score"])
+            own_slots = slots[first[i] : first[i + 1]]
+            if len(own_slots):
+                at, c = np.unique(own_slots, return_counts=True)
+                out[i] = w[at] @ np.sqrt(c / len(own_slots))
+        return pa.RecordBatch.from_arrays([*(rows.column(o) for o in own), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], [*own, "score"])
+
+    kinds = dict(wanted.dtypes)
+    found = wanted.mapInArrow(map_slices(run, "text"), ", ".join([*(f"{o} {kinds[o]}" for o in own), "score double"]))
+    return found.select(*(F.col(o).alias(c) for c, o in zip(keep, own, strict=True)), F.col("score").alias(name))
+
 
-    kinds = dict(docs.dtypes)
-    wanted = docs.select(*dict.fromkeys([*keep, "text"]))
-    return wanted.mapInArrow(map_slices(run, "text"), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows of docs that are predicted to have label 1, with their columns, which may have any names."""
+    name = unused(docs, "score")
+    return score(docs, train(sample(docs, labels, label)), docs.columns, name).filter(F.col(name) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, held_out, score and predicted for each row of docs.
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of docs.
 
     A null or empty text has no n-grams and scores 0.5. Labels that are null or neither 0 nor 1 are not learnt from; of
-    repeated labels the smallest counts; without labels all score 0.5. Repeated rows score alike.
+    repeated labels the smallest counts; without labels all score 0.5. Repeated rows score alike. Extra columns are
+    ignored; an empty table gives no rows.
     """
-    out = score(docs, train(sample(docs, labels, label)), list(keep))
-    return out.select(*keep, (~training_rows(3)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    docs = docs.select("doc_id", "text")
+    out = score(docs, train(sample(docs, labels, label)), ["doc_id"], "score")
+    return out.select("doc_id", (~training_rows(3)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

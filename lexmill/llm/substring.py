@@ -22,6 +22,8 @@ PERIOD = 31
 #: A perfect difference set: each residue modulo 31 is the difference of two of its members.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
+#: Windows that stand more often than OFTEN, and than a COMMON-th of all, are joined by broadcast: 24 bytes each.
+OFTEN, COMMON = 500, 100_000
 
 _cover = np.zeros(PERIOD, bool)
 _cover[list(COVER)] = True
@@ -118,8 +120,15 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     shared = cut(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
     per_doc = cut(might_match(keys, shared, "key").join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("shared")))
     spots = stored(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c int"))
-    first = spots.groupBy("w", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("w", "c", "least")
-    hits = cut(spots.join(first, ["w", "c"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("at")))
+    first = spots.groupBy("w", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    first = first.filter("least < most").select("w", "c", "least", "n")
+    # windows of a very common passage are told their smallest document by broadcast, COMMON at most
+    often = max(OFTEN, spots.count() // COMMON)
+    common = cut(first.filter(F.col("n") > often).drop("n"))
+    told = spots.join(F.broadcast(common), ["w", "c"], "left")
+    rest = told.filter("least is null").drop("least").join(first.filter(F.col("n") <= often).drop("n"), ["w", "c"])
+    found = told.filter("least is not null").unionByName(rest).filter("doc_id > least")
+    hits = cut(found.groupBy("doc_id").agg(F.collect_list("at").alias("at")))
     cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, n_removed long, kept string")
     out = rows.select("doc_id", "n_words", "sha", "k1").join(cleaned, "doc_id", "left")
     marks = copies.select(F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.lit(True).alias("copy"))

@@ -187,6 +187,14 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name behind as many underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ensure_checkpoints(df: DataFrame) -> None:
     """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own is set only where it is unset."""
     sc = df.sparkSession.sparkContext

@@ -5,8 +5,10 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -312,6 +314,37 @@ def test_html(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, text, len(text)), (2, "", 0), (3, "", 0), (1, text, len(text)), (4, "", 0)]
 
 
+def test_html_names_of_running_text_and_deep_pages():
+    page = """<div class="article-header"><p>The lead of the article is a sentence.</p></div><article><p class="share-price">The share price fell by a tenth.</p>
+    <p class="ad">Buy it now and here.</p><div class="share-links">Share this with all your friends.</div><p>It rose again after a while.</p></article>"""
+    assert html.extract("<article>" + page + "</article>") == "The lead of the article is a sentence.\n\nThe share price fell by a tenth.\n\nIt rose again after a while."
+    begin = time.perf_counter()
+    deep = "<div>" * 30000 + "<b>" * 30000 + "<article><p>One sentence of six words.</p></article>" + "</i>" * 30000 + "<p>x</p>" * 30000
+    assert "One sentence of six words." in [t for _, t in html.blocks(deep)] and time.perf_counter() - begin < 5
+
+
+def test_html_of_all_articles(spark):
+    """The made pages have one article of headings and paragraphs each: all of these and nothing else."""
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in html.main_text(rows).collect()}
+    for r in rows.collect():
+        inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", r.html, re.S)[1]).replace("<br>", " ")
+        parts = (" ".join(unescape(x).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+        assert got[r.page_id] == "\n\n".join(x for x in parts if x)
+
+
+def test_html_weights_are_learnt(spark):
+    rng = random.Random(6)
+    page = lambda: "<nav>" + "".join(f"<li><a>{rng.choice('abc')}</a></li>" for _ in range(9)) + "</nav><article>" + "<p>One two three four five six seven eight.</p>" * rng.randint(2, 9) + "</article>"
+    schema = "page_id long, url string, html string"
+    learnt = html.learnt(spark.createDataFrame([(k, "u", page()) for k in range(200)], schema))
+    plain = html.Block("p", 1, False, False, False)
+    links = html.Block("p", 1, False, False, False)
+    links.linked = 99
+    assert html.log_odds(plain, "A sentence of some words without any mark.", learnt) > 0 > html.log_odds(links, "News", learnt)
+    assert (html.learnt(spark.createDataFrame([], schema)) == html.PRIOR).all()
+
+
 def test_html_with_tags_in_scripts():
     want = [text for _, text in html.blocks("<article><p>One two three.</p></article><p>Four.</p>")]
     for body in ("for(i=0;i<n;i++){a()}", "if(a<b)x='it", 'y="<!--";', "s='<p>'+\"</p>\"", ""):
