@@ -10,8 +10,8 @@ The join is a blocked sparse product of the document-by-shingle incidence matrix
    or 1024-bit parity sketches (whose Hamming distance never exceeds the symmetric difference) put below the bound.
    Overlap counts are accumulated over whole sets in blocks of at most ``BLOCK`` rows for a pivot. Jaccard distance is a metric, so most
    other pairs of a bucket are settled: rows of one component need no further link.
-4. The pairs left are those of different components in one bucket. Their overlap is accumulated over the prefixes, and
-   those that sizes, sketches, the distances to the pivot or this count put below the bound are discarded. The others
+4. The pairs left are those of different components in one bucket, block by block of it: sizes in one band or the next.
+   Their overlap is accumulated over the prefixes, and those that sizes, sketches, the distances to the pivot or this count put below the bound are discarded. The others
    are counted exactly.
 
 Large groups of near copies thus cost one pair a member, not all pairs, and no link between components is lost.
@@ -177,11 +177,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mixed = mixed.filter("least != most and strangers > 0").select("key")
     near = star.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
     rows = cut(rows.join(mixed, "key", "left_semi").join(near, ["pivot", "doc_id"], "left").join(profiles, "doc_id"))
-    left, right = rows.filter("component != home"), rows
+    # sets whose sizes are further apart than the bound are never paired: a bucket is joined band by band
+    band = F.floor(F.log("n") / float(np.log(DEN / NUM)))
+    left, right = rows.filter("component != home").withColumn("band", F.explode(F.array(band - 1, band, band + 1))), rows.withColumn("band", band)
     rest = left.alias("x").join(
         right.alias("y"),
         F.expr(
-            f"x.key = y.key and x.component != y.component and (x.doc_id < y.doc_id or y.component = y.home)"
+            f"x.key = y.key and x.band = y.band and x.component != y.component and (x.doc_id < y.doc_id or y.component = y.home)"
             f" and {POSSIBLE} and coalesce(abs(x.far - y.far) <= {1 - NUM / DEN + 1e-9}, true)"
         ),
     )

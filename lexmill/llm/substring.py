@@ -53,7 +53,7 @@ def profile(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.Re
     k1, k2 = range_hash(sums(words.hash), a, b), range_hash(sums(mix(words.hash + np.uint64(99))), a, b)
     sha = [hashlib.sha256(joined(words, x, y)).hexdigest() for x, y in zip(a, b, strict=True)]
     own = [np.unique(keys[x:y]).view(np.int64) for x, y in zip(first[:-1], first[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sha), lists(own, pa.int64())], ["doc_id", "n_words", "k1", "k2", "sha", "anchors"])
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(sha), lists(own, pa.int64()), rows.column("t")], ["doc_id", "n_words", "k1", "k2", "sha", "anchors", "t"])
 
 
 def windows(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch | None:
@@ -77,7 +77,7 @@ def windows(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.Re
     row = np.searchsorted(words.first, start, "right") - 1
     w = range_hash(sums(words.hash), start, start + WINDOW)
     c = range_hash(sums(mix(words.hash + np.uint64(99))), start, start + WINDOW)
-    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(w.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "at", "w", "c"])
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array((start - words.first[row]).astype(np.int32)), pa.array(w.view(np.int64)), pa.array((c >> np.uint64(32)).astype(np.uint32).view(np.int32)), rows.column("t").take(pa.array(row))], ["doc_id", "at", "w", "c", "t"])
 
 
 def removed(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
@@ -92,34 +92,34 @@ def removed(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.Re
         gone = np.cumsum(mark)[: b - a] > 0
         out.append((int(gone.sum()), hashlib.sha256(joined(words, a, b, gone)).hexdigest()))
     n, sha = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha)], ["doc_id", "n_removed", "kept"])
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("t"), pa.array(n, pa.int64()), pa.array(sha)], ["doc_id", "t", "n_removed", "kept"])
 
 
 def with_texts(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """The rows of per_doc, a frame that was cut(), with the texts of their documents."""
-    return semi_join(docs.select("doc_id", "text"), per_doc.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(per_doc, "doc_id")
+    """The rows of per_doc, a frame by doc_id and the text's hash that was cut(), with the texts."""
+    return semi_join(docs, per_doc.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "t"]).join(per_doc, ["doc_id", "t"])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a window of 50 consecutive words over it also starts in a document with a smaller doc_id, judged on
-    the input. A null or empty text has no words; texts under 50 words lose nothing; rows that repeat a doc_id are one
-    document and don't remove each other's words; rows without a doc_id lose nothing unless their whole text is a
+    the input. A null or empty text has no words; texts under 50 words lose nothing; rows that repeat a doc_id, with one text
+    or several, are one document and don't remove each other's words; rows without a doc_id lose nothing unless their whole text is a
     copy. Extra columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    kinds = "doc_id long, n_words long, k1 long, k2 long, sha string, anchors array<long>"
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    kinds = "doc_id long, n_words long, k1 long, k2 long, sha string, anchors array<long>, t long"
     rows = stored(docs.mapInArrow(map_slices(profile, "text"), kinds))
     # a copy of a smaller document's whole text: all of it goes, and it tells others nothing new
     small = rows.select("doc_id", "n_words", "k1", "k2").filter(f"n_words >= {WINDOW}")
     firsts = small.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     copies = cut(small.join(firsts, ["k1", "k2", "n_words"]).filter("smallest is not null and (doc_id is null or doc_id > smallest)").select("doc_id", "k1").distinct())
 
-    keys = semi_join(rows.select("doc_id", "anchors"), cut(copies.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("key"))
+    keys = semi_join(rows.select("doc_id", "t", "k1", "anchors"), copies, ["doc_id", "k1"], "left_anti").select("doc_id", "t", F.explode("anchors").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
-    per_doc = cut(might_match(keys, shared, "key").join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("shared")))
-    spots = stored(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c int"))
+    per_doc = cut(might_match(keys, shared, "key").join(shared, "key").groupBy("doc_id", "t").agg(F.collect_list("key").alias("shared")))
+    spots = stored(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c int, t long"))
     first = spots.groupBy("w", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     first = first.filter("least < most").select("w", "c", "least", "n")
     # windows of a very common passage are told their smallest document by broadcast, COMMON at most
@@ -128,9 +128,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     told = spots.join(F.broadcast(common), ["w", "c"], "left")
     rest = told.filter("least is null").drop("least").join(first.filter(F.col("n") <= often).drop("n"), ["w", "c"])
     found = told.filter("least is not null").unionByName(rest).filter("doc_id > least")
-    hits = cut(found.groupBy("doc_id").agg(F.collect_list("at").alias("at")))
-    cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, n_removed long, kept string")
-    out = rows.select("doc_id", "n_words", "sha", "k1").join(cleaned, "doc_id", "left")
+    hits = cut(found.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at")))
+    cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, t long, n_removed long, kept string")
+    out = rows.select("doc_id", "t", "n_words", "sha", "k1").join(cleaned, ["doc_id", "t"], "left")
     marks = copies.select(F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.lit(True).alias("copy"))
     out = out.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("k1") == F.col("_k1")), "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     return out.select(

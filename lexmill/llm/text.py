@@ -224,7 +224,7 @@ def stored(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def semi_join(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
+def semi_join(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
     """The rows of df whose key is in ids, a frame that was cut(), or with how="left_anti" the others.
 
     ids are broadcast only if they are counted to be few enough.

@@ -172,6 +172,32 @@ def test_substring(docs, texts, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_substring_of_repeated_ids(spark):
+    """Two rows of one doc_id with different texts are cleaned each for itself, and don't clean each other."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    passage, other, own = [" ".join(word() for _ in range(n)) for n in (80, 70, 60)]
+    rows = [(1, passage), (5, f"{own} {passage}"), (5, f"{other} {own}"), (7, other), (7, other), (5, passage)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 80, 0), (5, 80, 80), (5, 130, 0), (5, 140, 80), (7, 70, 70), (7, 70, 70)]
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """A ruled line against an item with one: memory and time stay bounded, and occurrences are still told."""
+    item = "the first part " + "=" * 60 + " and the last part of it"
+    rows = [(1, "=" * 300_000), (2, "=" * 5000 + " " + item + " " + "=" * 5000), (3, ("x " * 3000) + item.replace("last", "lost"))]
+    begin = time.perf_counter()
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(4, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got.collect()) == [(2, 4, 0), (3, 4, 1)] and time.perf_counter() - begin < 60
+
+
+def test_exact_with_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT", 2)
+    rows = [(k, "a b" if k % 2 else f"text {k}") for k in range(20)] + [(50, None), (51, " ")]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (1, 10) if k % 2 else (k, 1) for k in range(20)} | {50: (51, 2), 51: (51, 2)}
+
+
 def test_cover_meets_all_pairs():
     cover = set(substring.COVER)
     for a, b in itertools.product(range(substring.PERIOD), repeat=2):
