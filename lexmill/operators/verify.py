@@ -257,7 +257,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
 
 @query("SELECT o_orderkey AS claim_id, CASE o_orderkey % 2 WHEN 0 THEN 'numeric_eval' ELSE 'unknown' END AS type, CASE o_orderkey % 2 WHEN 0 THEN (o_orderkey % 11 + 2 * (o_custkey % 13) = o_orderkey % 30) END AS verdict FROM orders")
 def verify_expressions(spark, sf_dir):
-    """Arithmetic claims written as text, by the expression evaluator."""
+    """Arithmetic claims written as text, by the expression evaluator; equal claims are decided once."""
     rows = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("claim_id"),
         F.when(F.col("o_orderkey") % 2 == 0, "numeric_eval").otherwise("unknown").alias("type"),
@@ -266,4 +266,8 @@ def verify_expressions(spark, sf_dir):
         F.lit(0.0).alias("low"),
         F.lit(0.0).alias("high"),
     )
-    return verdicts(rows)
+    claim = ["type", "a", "b", "low", "high"]
+    once = rows.groupBy(*claim).agg(F.min("claim_id").alias("claim_id"))
+    told = verdicts(once).withColumnRenamed("claim_id", "first").drop("type")
+    same = rows.join(once.withColumnRenamed("claim_id", "first"), claim).join(told, "first")
+    return same.select("claim_id", "type", "verdict")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.operators import aggregates, candidates, claims, contexts, matching, planning, practice, rating, rules, scoring, units, verify
+from lexmill.operators import aggregates, candidates, claims, contexts, matching, planning, practice, rating, records, routing, rules, scoring, units, verify
 from lexmill.sources import files
 from lexmill.streaming import status
 
 from .registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "claims", "contexts", "files", "matching", "planning", "practice", "rating", "rules", "scoring", "status", "units", "verify"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "claims", "contexts", "files", "matching", "planning", "practice", "rating", "records", "routing", "rules", "scoring", "status", "units", "verify"]
 
 FLAGSHIP = units.chunk_quality
