@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from lexmill.functions import text as T
-from lexmill.plans.registry import query, read
+from lexmill.plans.registry import query, read, shared_folder
 
 _FOLD = "strip_accents(translate(lower({}), 'ª²³µ¹ºđſẛ', 'a23μ1odss'))"
 _TOKENS = "regexp_extract_all(" + _FOLD + ", '[a-z0-9]{{3,}}')"
@@ -27,6 +27,20 @@ def shared_tokens(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return x.join(y, "token").groupBy(a, b).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("shared_n"))
 
 
+def covering_pairs(left: DataFrame, right: DataFrame, a: str, b: str, need: str) -> DataFrame:
+    """(a, b, n_a, n_b, shared_n) of the pairs that share need tokens of right's n_b at least.
+
+    Such a pair shares one of any n_b - need + 1 tokens of b. Only b's longest ones are looked up, so common short words
+    never meet; the pairs found are counted over whole sets.
+    """
+    x = left.select(a, T.token_set(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    y = right.select(b, T.token_set(F.col("text")).alias("t")).withColumn("n_b", F.size("t").cast("long")).filter("n_b > 0")
+    rare = F.slice(F.array_sort(F.transform("t", lambda t: F.struct((-F.char_length(t)).alias("k"), t.alias("t")))), F.lit(1), (F.col("n_b") - F.expr(need) + 1).cast("int"))
+    keys = y.select(b, F.explode(F.transform(rare, lambda r: r.t)).alias("token"))
+    found = x.select(a, F.explode("s").alias("token")).join(keys, "token").select(a, b).distinct()
+    return found.join(x, a).join(y, b).select(a, b, F.size("s").cast("long").alias("n_a"), "n_b", T.overlap(F.col("s"), F.col("t")).alias("shared_n")).filter(f"shared_n >= {need}")
+
+
 _PAIRS = f"""WITH x AS (SELECT doc_id, list_distinct({_TOKENS.format("text")}) AS s FROM documents), y AS (SELECT item_id, list_distinct({_TOKENS.format("text")}) AS t FROM benchmark),
 xs AS (SELECT doc_id, len(s) AS n_a, unnest(s) AS token FROM x), ys AS (SELECT item_id, len(t) AS n_b, unnest(t) AS token FROM y),
 p AS (SELECT doc_id, item_id, any_value(n_a) AS n_a, any_value(n_b) AS n_b, count(*) AS shared_n FROM xs JOIN ys USING (token) GROUP BY doc_id, item_id)"""
@@ -47,7 +61,7 @@ SELECT doc_id, item_id, shared_n, n_a, n_b FROM c"""
 )
 def anti_copy_guard(spark, sf_dir):
     """Units that copy an item: Jaccard from 0.48 on, or 0.7 of the item's words."""
-    pairs = shared_tokens(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    pairs = covering_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id", "(n_b * 48 + 99) div 100")
     return pairs.filter("shared_n * 100 >= 48 * (n_a + n_b - shared_n) or shared_n * 10 >= 7 * n_b").select("doc_id", "item_id", "shared_n", "n_a", "n_b")
 
 
@@ -131,7 +145,7 @@ SELECT item_id, doc_id, tier::BIGINT AS tier FROM e WHERE tier > 0 QUALIFY row_n
 def quote_match(spark, sf_dir):
     """The unit that supports a quote best: verbatim (3), in normal form (2), by 55 % of its words (1)."""
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    pairs = shared_tokens(docs, items, "doc_id", "item_id").filter("shared_n * 100 >= 55 * n_b or n_b < 4")
+    pairs = covering_pairs(docs, items, "doc_id", "item_id", "case when n_b < 4 then 1 else (n_b * 55 + 99) div 100 end")
     rows = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("quote")), "item_id")
     normal = F.contains(T.squeeze(F.lower("text")), T.squeeze(F.lower("quote")))
     rows = rows.withColumn("tier", F.when(F.contains("text", "quote"), 3).when(normal, 2).when(F.expr("shared_n * 100 >= 55 * n_b and n_b >= 4"), 1).otherwise(0).cast("long"))
@@ -270,9 +284,7 @@ def greedy_keep(ids: DataFrame, links: DataFrame, key: str) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

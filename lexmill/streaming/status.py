@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexmill.plans.registry import query
+from lexmill.plans.registry import query, shared_folder
 
 
 def stream(spark, sf_dir: str, table: str) -> DataFrame:
@@ -26,7 +25,7 @@ def _folder(spark, path: str) -> bool:
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that a query over what is there now gives, kept in the shared folder."""
     spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    shared = shared_folder(spark)
     out = f"{shared}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         sink = df.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append")
