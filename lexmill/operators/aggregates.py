@@ -24,12 +24,12 @@ CLASSES = [("licence", "license|licence"), ("contact", "@"), ("listing", r"\|"),
 
 @query(
     "SELECT source, CASE "
-    + " ".join(f"WHEN bool_or(regexp_matches(lower(substr(text, 1, 2000)), '{p}')) THEN '{c}'" for c, p in CLASSES)
+    + " ".join(f"WHEN bool_or(regexp_matches(lower(text), '{p}')) THEN '{c}'" for c, p in CLASSES)
     + " ELSE 'other' END AS document_type, count(*) AS n FROM documents GROUP BY source"
 )
 def document_class(spark, sf_dir):
-    """The first class whose words stand in the first 2000 characters of a unit of the document."""
-    head = F.lower(F.substring("text", 1, 2000))
+    """The first class whose words stand in a unit of the document."""
+    head = F.lower("text")
     out = read(spark, sf_dir, "documents").groupBy("source").agg(*(F.bool_or(head.rlike(p)).alias(c) for c, p in CLASSES), F.count("*").alias("n"))
     kind = F.coalesce(*(F.when(F.col(c), c) for c, _ in CLASSES), F.lit("other"))
     return out.select("source", kind.alias("document_type"), "n")

@@ -142,7 +142,7 @@ def option_shuffle(spark, sf_dir):
     """Options in an order that a hash of the item decides, and the answer's letter."""
     keyed = F.transform("options", lambda o, k: F.concat(F.md5(F.concat_ws("|", "item_id", k)), F.lit("|"), o))
     rows = items(read(spark, sf_dir, "lineitem")).select("item_id", F.get(keyed, 0).alias("first"), F.array_sort(keyed).alias("s"))
-    return rows.select("item_id", F.array_join(F.transform("s", lambda x: F.substring(x, 34, 1000)), "|").alias("shuffled"), F.chr(F.array_position("s", F.col("first")) + 64).alias("answer_key"))
+    return rows.select("item_id", F.array_join(F.transform("s", lambda x: F.substr(x, F.lit(34))), "|").alias("shuffled"), F.chr(F.array_position("s", F.col("first")) + 64).alias("answer_key"))
 
 
 @query(
@@ -179,16 +179,6 @@ def accept_until_target(spark, sf_dir):
     return rows.filter(F.col("upto") - F.col("accepted").cast("int") < TARGET).drop("upto")
 
 
-@query(
-    r"""WITH n AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS ns FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS ns FROM documents)
-SELECT d.doc_id, array_to_string(list_sort(list_filter(d.ns, lambda x: NOT list_contains(['0', '1', '2'], x))), ',') AS unsupported FROM d"""
-)
-def stem_numbers(spark, sf_dir):
-    """Numbers of a text other than 0, 1 and 2, sorted as text."""
-    found = F.array_except(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))), F.array(F.lit("0"), F.lit("1"), F.lit("2")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("unsupported"))
-
-
 @query(
     """SELECT conv_id, turn, regexp_matches(lower(text), '(increase|more|plus).{0,50}(decrease|less|minus)') AS contradiction, contains(text, '?') AS question, try_cast(text AS JSON) IS NOT NULL AS is_json FROM conversations"""
 )

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from lexmill.functions import text as T
 from lexmill.plans.registry import query, read, shared_folder
@@ -219,14 +219,22 @@ def keep_first(spark, sf_dir):
     return rows.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-_SIG = f"CASE WHEN len({_TOKENS.format('text')}) >= 8 THEN array_to_string(list_slice({_TOKENS.format('text')}, 1, 80), ' ') ELSE 'unique ' || doc_id END"
+# Words of labels, which tell nothing of a unit.
+LABELS = ["summary", "context", "topic", "chunk", "type"]
+_WORDS = f"list_filter({_TOKENS.format('text')}, lambda t: t NOT IN ({', '.join(repr(x) for x in LABELS)}))"
+_SIG = f"CASE WHEN len({_WORDS}) >= 8 THEN array_to_string({_WORDS}, ' ') ELSE 'unique ' || doc_id END"
+
+
+def signature(text: Column, key: Column, words: int | None = None) -> Column:
+    """A unit's words, all of them or the first ones of a chunk, without labels; its key where they are under eight."""
+    own = F.filter(T.tokens(text), lambda t: ~t.isin(LABELS))
+    return F.when(F.size(own) >= 8, F.array_join(F.slice(own, 1, words) if words else own, " ")).otherwise(F.concat(F.lit("unique "), key))
 
 
 @query(f"WITH s AS (SELECT doc_id, {_SIG} AS sig FROM documents) SELECT min(doc_id) AS doc_id, count(*) AS copies FROM s GROUP BY sig")
 def signature_dedup(spark, sf_dir):
-    """One unit for each signature, its first 80 words; under eight words a unit is no duplicate."""
-    words = T.tokens(F.col("text"))
-    sig = F.when(F.size(words) >= 8, F.array_join(F.slice(words, 1, 80), " ")).otherwise(F.concat(F.lit("unique "), F.col("doc_id")))
+    """One unit for each signature of all its words; under eight words a unit is no duplicate."""
+    sig = signature(F.col("text"), F.col("doc_id"))
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(sig.cast("binary"), 256).alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("sig")
 
 

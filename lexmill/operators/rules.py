@@ -218,6 +218,18 @@ def maths_signals(spark, sf_dir):
     return with_steps(candidates(spark, sf_dir), _SIGNALS).select("item_id", "maths", "formula", "asks_integral", "needs_work", "needs_number", F.col("required").cast("long").alias("required"))
 
 
+_NUMBERS = [
+    ["@uniq(regexp_extract_all(stem, '[0-9]+([.,][0-9]+)?', 0)) AS asked", "regexp_extract_all(span || ' ' || quote, '[0-9]+([.,][0-9]+)?', 0) AS told"],
+    ["@sort(@keep(asked, @n: NOT array_contains(told, n) AND n NOT IN ('0', '1', '2'))) AS missing"],
+]
+
+
+@query(f"SELECT item_id, array_to_string(missing, ',') AS unsupported FROM ({steps_sql(SOURCE, _NUMBERS)})")
+def stem_numbers(spark, sf_dir):
+    """Numbers of a stem, but 0, 1 and 2, that its source doesn't have."""
+    return with_steps(candidates(spark, sf_dir), _NUMBERS).select("item_id", F.array_join("missing", ",").alias("unsupported"))
+
+
 # -- signatures -------------------------------------------------------------------------------------------------------
 
 _NONNEG = "contains(c_text, 'khongam') OR @rx(c_raw, '[fg][(]x[)](>=|≥)0|0(<=|≤)[fg][(]x[)]') OR contains(c_raw, 'x)' || chr(92) || 'ge0')"

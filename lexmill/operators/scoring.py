@@ -28,19 +28,17 @@ def heading_kind(line: Column) -> Column:
 
 
 @query(
-    rf"""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '## Chapter ' || doc_id || ': ' || source WHEN doc_id % 3 = 1 THEN doc_id || '.' || doc_id % 7 || ' ' || lang || ' part' ELSE substr(text, 1, 60) END AS line FROM documents),
-b AS (SELECT doc_id, lower({_STRIP.format("regexp_replace(line, '^ {0,3}#{1,6} *|^[*_]{1,2}|[*_]{1,2}$', '', 'g')")}) AS b FROM l)
-SELECT doc_id, CASE WHEN b = '' OR length(b) > 140 THEN NULL """
+    rf"""WITH s AS (SELECT doc_id, '## Chapter ' || doc_id || ': ' || source || chr(10) || doc_id || '.' || doc_id % 7 || ' ' || lang || ' part' || chr(10) || coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM s), b AS (SELECT doc_id, lower({_STRIP.format("regexp_replace(line, '^ {0,3}#{1,6} *|^[*_]{1,2}|[*_]{1,2}$', '', 'g')")}) AS b FROM l),
+k AS (SELECT doc_id, CASE WHEN b = '' OR length(b) > 140 THEN NULL """
     + " ".join(f"WHEN regexp_matches(b, '{p}') THEN '{k}'" for k, p in HEADINGS)
-    + " END AS kind FROM b"
+    + " END AS kind FROM b) SELECT doc_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL"
 )
 def heading_kinds(spark, sf_dir):
-    line = (
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## Chapter "), "doc_id", F.lit(": "), "source"))
-        .when(F.col("doc_id") % 3 == 1, F.concat("doc_id", F.lit("."), F.col("doc_id") % 7, F.lit(" "), "lang", F.lit(" part")))
-        .otherwise(F.substring("text", 1, 60))
-    )
-    return read(spark, sf_dir, "documents").select("doc_id", heading_kind(line).alias("kind"))
+    """How many lines of each kind of heading a unit has, under a chapter and a part title of its own."""
+    title = F.concat(F.lit("## Chapter "), "doc_id", F.lit(": "), "source", F.lit("\n"), "doc_id", F.lit("."), F.col("doc_id") % 7, F.lit(" "), "lang", F.lit(" part\n"), F.coalesce("text", F.lit("")))
+    kinds = F.array_compact(F.transform(T.lines(title), heading_kind))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(kinds).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 # Symbols and what they are compared as, in order.

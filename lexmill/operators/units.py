@@ -33,6 +33,16 @@ def repeated_lines(spark, sf_dir):
     return repeated(read(spark, sf_dir, "documents"))
 
 
+# Fixed value: the share of a group's pages from which a line is a header or footer.
+RATIO = 0.4
+
+
+@query(_REPEATED_SQL.replace(str(MIN_RATIO), str(RATIO)) + "SELECT source, line, n FROM r")
+def repeated_headers(spark, sf_dir):
+    """Lines that stand on two fifths of a group's pages."""
+    return repeated(read(spark, sf_dir, "documents"), RATIO)
+
+
 #: Repeated lines (119 characters each at most) that are sent to all tasks; more of them are joined with the lines.
 FEW_LINES = 10_000
 
