@@ -148,11 +148,21 @@ def distribution_totals(spark, sf_dir):
     return totals.agg((F.countDistinct(F.when(F.col("total") > 0, F.col("total"))) > 1).alias("mismatch"), F.count("*").alias("groups"), F.sum("total").alias("total"))
 
 
-@query("SELECT source, substr(sha256(string_agg(sha256(doc_id || '|' || lang || '|' || text), chr(10) ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY source")
+#: Units whose digests are hashed together.
+LEAF = 1000
+
+
+@query(
+    f"""WITH l AS (SELECT source, doc_id // {LEAF} AS leaf, sha256(string_agg(sha256(doc_id || '|' || lang || '|' || text), chr(10) ORDER BY doc_id)) AS s FROM documents GROUP BY ALL)
+SELECT source, substr(sha256(string_agg(s, chr(10) ORDER BY leaf)), 1, 16) AS fingerprint FROM l GROUP BY source"""
+)
 def dataset_fingerprint(spark, sf_dir):
-    """SHA-256 of the digests of a data set's units in order, 16 digits of it; texts are hashed where they are."""
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2(F.concat_ws("|", "doc_id", "lang", "text").cast("binary"), 256).alias("s")))).alias("rows"))
-    return rows.select("source", F.substring(F.sha2(F.array_join(F.transform("rows", lambda r: r.s), "\n"), 256), 1, 16).alias("fingerprint"))
+    """SHA-256 of a data set's units in order, as a tree, 16 digits of it; texts are hashed where they are."""
+    own = F.sha2(F.concat_ws("|", "doc_id", "lang", "text").cast("binary"), 256)
+    rows = read(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / LEAF).alias("leaf"), F.struct("doc_id", own.alias("s")).alias("r"))
+    tree = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda r: r.s), "\n"), 256)
+    leaves = rows.groupBy("source", "leaf").agg(tree("r").alias("s"))
+    return leaves.groupBy("source").agg(F.substring(tree(F.struct("leaf", "s")), 1, 16).alias("fingerprint"))
 
 
 @query(

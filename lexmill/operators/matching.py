@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from lexmill.functions import text as T
+from lexmill.functions.order import placed
 from lexmill.plans.registry import query, read, shared_folder
 
 _FOLD = "strip_accents(translate(lower({}), 'ª²³µ¹ºđſẛ', 'a23μ1odss'))"
@@ -158,11 +159,11 @@ def quote_match(spark, sf_dir):
 SELECT a.doc_id, b.doc_id AS neighbour, (b.pos - a.pos)::BIGINT AS off FROM o a JOIN o b ON a.source = b.source AND b.pos - a.pos BETWEEN -2 AND 2 AND a.pos <> b.pos"""
 )
 def neighbours(spark, sf_dir):
-    """Units up to two places before and behind, by shifts within the document instead of a self-join."""
-    order = W.partitionBy("source").orderBy("doc_id")
-    near = F.array(*(F.struct(F.lead("doc_id", k).over(order).alias("neighbour"), F.lit(k).cast("long").alias("off")) for k in (-1, 1, -2, 2)))
-    rows = read(spark, sf_dir, "documents").select("doc_id", near.alias("near")).select("doc_id", F.explode("near").alias("n"))
-    return rows.select("doc_id", "n.neighbour", "n.off").filter("neighbour is not null")
+    """Units up to two places before and behind in their document: places are joined with the places next to them."""
+    rows = placed(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    near = rows.select("doc_id", "source", F.explode(F.array(*(F.lit(k).cast("long") for k in (-1, 1, -2, 2)))).alias("off"), "place")
+    near = near.select("doc_id", "source", "off", (F.col("place") + F.col("off")).alias("place"))
+    return near.join(rows.select("source", "place", F.col("doc_id").alias("neighbour")), ["source", "place"]).select("doc_id", "neighbour", "off")
 
 
 @query("SELECT d.doc_id, l.quality::BIGINT AS quality, 'matched' AS status FROM documents d JOIN labels l USING (doc_id) UNION ALL SELECT doc_id, NULL, 'chunk_missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -241,13 +242,13 @@ def signature_dedup(spark, sf_dir):
 SIMILAR = 0.35
 
 
-def embedding_links(rows: DataFrame, limit: float = SIMILAR, blocks: int = 8) -> DataFrame:
+def embedding_links(rows: DataFrame, limit: float = SIMILAR, size: int = 2048) -> DataFrame:
     """Pairs (a, b), a < b, with a cosine of limit or more: blocks of unit vectors are multiplied block by block.
 
-    Every vector goes to the tasks of its block's row and column, so a task holds two blocks whatever the table's size.
+    Blocks hold size vectors on average. Every vector goes to the tasks of its block's row and column, so a task holds two
+    blocks whatever the table's size.
     """
-    import numpy as np
-
+    blocks = max(1, -(-rows.count() // size))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     units = rows.select("vec_id", "embedding", block.alias("block"))
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
+from lexmill.functions.order import placed, running
 from lexmill.plans.registry import query, read
 
 # Levels with their target in hundredths and share in hundredths.
@@ -45,8 +46,8 @@ def level_pool(spark, sf_dir):
 
 @query("SELECT doc_id, source, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 4)::BIGINT AS pattern FROM documents")
 def round_robin_slots(spark, sf_dir):
-    turn = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select("doc_id", "source", ((turn - 1) % 4).cast("long").alias("pattern"))
+    rows = placed(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+    return rows.select("doc_id", "source", ((F.col("place") - 1) % 4).cast("long").alias("pattern"))
 
 
 @query(
@@ -91,5 +92,4 @@ SELECT source, doc_id, least(940, 20 + 920 * accepted // 20)::BIGINT AS permille
 def progress_ratio(spark, sf_dir):
     """Progress of accepted items to a target of 20, between 2 and 94 %, in thousandths."""
     rows = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id")
-    accepted = F.sum((F.col("quality") == 1).cast("long")).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("accepted", accepted).select("source", "doc_id", F.expr("least(940, 20 + 920 * accepted div 20)").cast("long").alias("permille"))
+    return running(rows, "source", "doc_id", (F.col("quality") == 1).cast("long"), "accepted").select("source", "doc_id", F.expr("least(940, 20 + 920 * accepted div 20)").cast("long").alias("permille"))

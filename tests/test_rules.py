@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import quality, text as T
+from lexmill.functions.order import running
 from lexmill.operators import claims, contexts, rules, units
 from lexmill.plans.shared import with_steps
 
@@ -79,3 +80,11 @@ def test_cleaning_in_place_equals_cleaning_by_join(spark):
     docs = docs.union(docs.limit(1).withColumn("doc_id", F.lit(10**6).cast("long")).withColumn("text", F.lit(None).cast("string")))
     one, two = ({r.doc_id: r.text for r in units.clean_pages_of(docs, few=n).collect()} for n in (10_000, 0))
     assert one == two
+
+
+def test_places_span_by_span(spark):
+    rows = [(k % 3, 7 * k + k % 5, k % 4) for k in range(200)]
+    got = running(spark.createDataFrame(rows, "g long, o long, v long"), "g", "o", F.col("v"), "s", span=50).collect()
+    for r in got:
+        assert r.s == sum(v for g, o, v in rows if g == r.g and o <= r.o)
+    assert len(got) == 200
