@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from lexmill.plans.registry import shared_folder
+
 SLICE = 1 << 21
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -196,12 +198,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def ensure_checkpoints(df: DataFrame) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own is set only where it is unset."""
+    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own is set only where it is unset, and the session local."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from html import unescape
 
 import duckdb
@@ -539,5 +539,40 @@ def test_quality_edges(spark, docs, texts, empty):
     assert quality.quality_scores(empty, labels).count() == 0
 
 
+def test_leader_updates_equal_the_plain_rule():
+    rng = random.Random(3)
+    rows = [([rng.randrange(40) for _ in range(rng.randint(0, 12))], rng.randint(0, 1)) for _ in range(300)]
+    model, z, n = quality.Ftrl(), defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for slots, label in rows:
+        model.learn(np.array(slots, np.int64), label)
+        x = {i: math.sqrt(c / len(slots)) for i, c in Counter(slots).items()}
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, v in x.items():
+            g, w = (p - label) * v, weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w
+            n[i] += g * g
+    assert all(math.isclose(model.z[i], z[i], abs_tol=1e-9) and math.isclose(model.n[i], n[i], abs_tol=1e-9) for i in range(40))
+
+
+def test_quality_by_plain_features_and_any_partitioning(spark):
+    """Scores are the dot products of weights with n-gram shares counted in plain Python; they don't follow the partitioning."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = ({r.doc_id: r.score for r in quality.quality_scores(docs.repartition(n), labels).collect()} for n in (1, 5))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], abs_tol=1e-9) for k in one)
+    weights = np.random.default_rng(1).normal(size=2**quality.BITS).astype(np.float32)
+    got = {r.doc_id: r.own for r in quality.score(docs, weights, ["doc_id", "lang"], "own").collect()}
+    for r in docs.limit(20).collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        slots = Counter(quality.features(raw, np.array([0, len(raw)]))[0].tolist())
+        total = sum(float(weights[i]) * math.sqrt(c / sum(slots.values())) for i, c in slots.items())
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-max(-30, min(30, total)))), rel_tol=1e-4)
+
+
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
