@@ -80,6 +80,36 @@ def kept_warnings(spark, sf_dir):
     return rows.groupBy("slot").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("messages"))
 
 
+_TEXTS = [
+    ["CASE o_orderkey % 3 WHEN 0 THEN 'algebra' WHEN 1 THEN '' ELSE 'graphs, trees' END AS focus", "CASE o_custkey % 2 WHEN 0 THEN 'formal' ELSE '' END AS tone", "o_orderkey % 5 AS a", "o_custkey % 5 AS b", "o_orderkey % 7 AS c", "o_custkey % 7 AS d", "CASE o_orderkey % 4 WHEN 0 THEN 'matrix' WHEN 1 THEN 'graph' WHEN 2 THEN 'truth_table' ELSE 'venn_diagram' END AS kind"],
+    [
+        "concat_ws(chr(10), CASE WHEN focus <> '' THEN '- Focus on: ' || focus END, CASE WHEN tone <> '' THEN '- Tone: ' || tone END, CASE WHEN a = 0 THEN '- Avoid trick questions' END) AS directive",
+        "concat_ws(' | ', CAST(a AS STRING), CAST(b AS STRING)) AS first_row",
+        "concat_ws(' | ', CAST(c AS STRING), CAST(d AS STRING)) AS second_row",
+    ],
+    ["CASE kind WHEN 'matrix' THEN '| ' || first_row || ' |' || chr(10) || '|---|---|' || chr(10) || '| ' || second_row || ' |' WHEN 'graph' THEN 'graph { ' || CAST(a AS STRING) || ' -- ' || CAST(b AS STRING) || '; ' || CAST(c AS STRING) || ' -- ' || CAST(d AS STRING) || '; }' WHEN 'truth_table' THEN '| p | q |' || chr(10) || '|---|---|' || chr(10) || '| ' || CASE WHEN a > b THEN 'T' ELSE 'F' END || ' | ' || CASE WHEN c > d THEN 'T' ELSE 'F' END || ' |' ELSE 'Sets: A (' || CAST(a AS STRING) || '), B (' || CAST(b AS STRING) || ')' END AS markdown"],
+]
+
+
+@query(f"SELECT o_orderkey AS slot, directive, kind, markdown FROM ({steps_sql('SELECT * FROM orders', _TEXTS)})")
+def slot_texts(spark, sf_dir):
+    """What settings ask of a writer, as a list, and a slot's figure as Markdown or as an edge list."""
+    return with_steps(read(spark, sf_dir, "orders"), _TEXTS).select(F.col("o_orderkey").alias("slot"), "directive", "kind", "markdown")
+
+
+_PATHS = [
+    ["CASE o_orderkey % 3 WHEN 0 THEN 'plan.level' WHEN 1 THEN 'plan.quality.score' ELSE 'topic' END AS path", "CAST(o_custkey AS STRING) AS value"],
+    ["split_part(path, '.', 1) AS p1", "split_part(path, '.', 2) AS p2", "split_part(path, '.', 3) AS p3"],
+    ["'{' || chr(34) || p1 || chr(34) || ':' || CASE WHEN p2 = '' THEN chr(34) || value || chr(34) WHEN p3 = '' THEN '{' || chr(34) || p2 || chr(34) || ':' || chr(34) || value || chr(34) || '}' ELSE '{' || chr(34) || p2 || chr(34) || ':{' || chr(34) || p3 || chr(34) || ':' || chr(34) || value || chr(34) || '}}' END || '}' AS document"],
+]
+
+
+@query(f"SELECT o_orderkey AS slot, path, document FROM ({steps_sql('SELECT * FROM orders', _PATHS)})")
+def nested_settings(spark, sf_dir):
+    """A value set at a dotted path, with the objects above it made."""
+    return with_steps(read(spark, sf_dir, "orders"), _PATHS).select(F.col("o_orderkey").alias("slot"), "path", "document")
+
+
 # -- jobs ---------------------------------------------------------------------------------------------------------------
 
 #: Which state a job may go to from which.
