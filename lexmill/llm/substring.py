@@ -108,8 +108,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     or several, are one document and don't remove each other's words; rows without a doc_id lose nothing unless their whole text is a
     copy. Extra columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    kinds = "doc_id long, n_words long, k1 long, k2 long, sha string, anchors array<long>, t long"
+    docs = docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("t"))
+    kinds = "doc_id long, n_words long, k1 long, k2 long, sha string, anchors array<long>, t int"
     rows = stored(docs.mapInArrow(map_slices(profile, "text"), kinds))
     # a copy of a smaller document's whole text: all of it goes, and it tells others nothing new
     small = rows.select("doc_id", "n_words", "k1", "k2").filter(f"n_words >= {WINDOW}")
@@ -119,17 +119,18 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     keys = semi_join(rows.select("doc_id", "t", "k1", "anchors"), copies, ["doc_id", "k1"], "left_anti").select("doc_id", "t", F.explode("anchors").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key"))
     per_doc = cut(might_match(keys, shared, "key").join(shared, "key").groupBy("doc_id", "t").agg(F.collect_list("key").alias("shared")))
-    spots = stored(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c int, t long"))
+    spots = stored(with_texts(docs, per_doc).mapInArrow(map_slices(windows, "text"), "doc_id long, at int, w long, c int, t int"))
     first = spots.groupBy("w", "c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     first = first.filter("least < most").select("w", "c", "least", "n")
     # windows of a very common passage are told their smallest document by broadcast, COMMON at most
     often = max(OFTEN, spots.count() // COMMON)
     common = cut(first.filter(F.col("n") > often).drop("n"))
     told = spots.join(F.broadcast(common), ["w", "c"], "left")
-    rest = told.filter("least is null").drop("least").join(first.filter(F.col("n") <= often).drop("n"), ["w", "c"])
+    rare = first.filter(F.col("n") <= often).drop("n")
+    rest = might_match(told.filter("least is null").drop("least"), rare, "w").join(rare, ["w", "c"])
     found = told.filter("least is not null").unionByName(rest).filter("doc_id > least")
     hits = cut(found.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at")))
-    cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, t long, n_removed long, kept string")
+    cleaned = with_texts(docs, hits).mapInArrow(map_slices(removed, "text"), "doc_id long, t int, n_removed long, kept string")
     out = rows.select("doc_id", "t", "n_words", "sha", "k1").join(cleaned, ["doc_id", "t"], "left")
     marks = copies.select(F.col("doc_id").alias("_doc"), F.col("k1").alias("_k1"), F.lit(True).alias("copy"))
     out = out.join(marks, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("k1") == F.col("_k1")), "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
