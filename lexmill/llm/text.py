@@ -150,6 +150,7 @@ def map_slices(f: Callable, column: str, limit: int = SLICE) -> Callable:
                 out = f(rows, buf, offsets)
                 if out is not None and out.num_rows:
                     yield out
+        tidy()
 
     return run
 
