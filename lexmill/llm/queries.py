@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, exact, html, jaccard, pitmanyor, quality, sentencepieces, substring, suffix
+from . import counts, decontaminate, exact, html, jaccard, pitmanyor, quality, resampling, sentencepieces, substring, suffix
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_token_counts": counts.op9_token_counts,
     "op10_sentencepiece_encoding_decoding": sentencepieces.op10_sentencepiece_encoding_decoding,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact.OP8_SQL,
+    "op13_importance_resampling": resampling.OP13_SQL,
 }
