@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import counts, decontaminate, exact, html, jaccard, pitmanyor, quality, resampling, sentencepieces, substring, suffix
+from . import counts, decontaminate, exact, html, jaccard, pitmanyor, quality, resampling, secrets, sentencepieces, substring, suffix, whitening
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_token_counts": counts.op9_token_counts,
     "op10_sentencepiece_encoding_decoding": sentencepieces.op10_sentencepiece_encoding_decoding,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_secret_scans": secrets.op12_secret_scans,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
