@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.plans.registry import shared_folder
 
@@ -10,11 +10,16 @@ from lexmill.plans.registry import shared_folder
 FEW = 500_000
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Spark's checkpoint folder is the one that spark.checkpoint.dir names; a folder of our own only where a local session has none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(spark))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder, so that lost executors don't repeat what led to them."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 

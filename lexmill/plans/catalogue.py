@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from lexmill.operators import aggregates, candidates, claims, contexts, duplicates, matching, planning, practice, quotes, rating, records, routing, rules, scoring, units, verify
 from lexmill.sources import files
-from lexmill.streaming import status
+from lexmill.streaming import jobs, status
 
 from .registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "claims", "contexts", "duplicates", "files", "matching", "planning", "practice", "quotes", "rating", "records", "routing", "rules", "scoring", "status", "units", "verify"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "claims", "contexts", "duplicates", "files", "jobs", "matching", "planning", "practice", "quotes", "rating", "records", "routing", "rules", "scoring", "status", "units", "verify"]
 
 FLAGSHIP = units.chunk_quality

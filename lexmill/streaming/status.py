@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexmill.plans.registry import query, shared_folder
+from lexmill.functions.shared import ensure_checkpoints
+from lexmill.plans.registry import query
 
 
 def stream(spark, sf_dir: str, table: str) -> DataFrame:
@@ -22,16 +23,23 @@ def _folder(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def finished(df: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a query over what is there now gives, kept in the shared folder."""
+def finished(df: DataFrame, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """All rows that a query over what is there now gives, kept in the shared folder; conf holds while the query starts."""
     spark = df.sparkSession
-    shared = shared_folder(spark)
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    ensure_checkpoints(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         sink = df.writeStream.format("parquet").option("path", f"{out}/rows").outputMode("append")
     else:
         sink = df.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/rows")).outputMode(mode)
-    sink.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        sink.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
 
 
