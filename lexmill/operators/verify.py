@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.plans.registry import query, read
 
+from .numbers import mod_pow
+
 
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's algorithm as a fold; each two steps halve the smaller number, so its bits tell how many are enough."""
@@ -25,14 +27,6 @@ def gcd(a: Column, b: Column) -> Column:
     return F.abs(out.a)
 
 
-def mod_pow(base: Column, exponent: Column, modulus: Column) -> Column:
-    """Square and multiply as a fold over the exponent's bits."""
-    step = lambda s, k: F.struct(
-        F.when(F.shiftright(exponent, 0).bitwiseAND(F.pow(F.lit(2), k).cast("long")) != 0, s.r * s.b % modulus).otherwise(s.r).alias("r"), (s.b * s.b % modulus).alias("b")
-    )
-    return F.aggregate(F.sequence(F.lit(0), F.lit(20)), F.struct((F.lit(1).cast("long") % modulus).alias("r"), F.pmod(base.cast("long"), modulus).alias("b")), step, lambda s: s.r)
-
-
 @query(
     """SELECT o_orderkey AS claim_id, gcd(o_orderkey, o_custkey)::BIGINT AS g, (o_orderkey // gcd(o_orderkey, o_custkey) * o_custkey)::BIGINT AS l, (o_orderkey * o_orderkey % 97 * o_orderkey % 97)::BIGINT AS p,
  (o_orderkey * o_orderkey % 97 * o_orderkey % 97) = o_custkey % 97 AS verified FROM orders"""
@@ -40,7 +34,7 @@ def mod_pow(base: Column, exponent: Column, modulus: Column) -> Column:
 def verify_modular(spark, sf_dir):
     """gcd, lcm and modular powers; the claim is that key**3 equals the customer's number modulo 97."""
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b")).withColumn("g", gcd(F.col("a"), F.col("b")))
-    power = mod_pow(F.col("a"), F.lit(3).cast("long"), F.lit(97).cast("long"))
+    power = F.expr(mod_pow("a", "3L", "97L"))
     return rows.select(F.col("a").alias("claim_id"), "g", F.expr("a div g * b").alias("l"), power.alias("p"), (power == F.col("b") % 97).alias("verified"))
 
 
