@@ -20,12 +20,13 @@ HOT, LARGE = 300, 10_000
 CHUNK = f"(?s).{{{LEAST},{MOST}}}?(?:{BOUNDARY})|.{{1,{MOST}}}"
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, text_sha256, and the fingerprints and digests of its chunks in order."""
+def recipes(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Per row: doc_id, n_chars, text_sha256, the columns to carry, and the fingerprints and digests of its chunks in order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = docs.select("doc_id", F.char_length(text).alias("n_chars"), F.regexp_replace(text, WORD_SPACE, "").alias("norm"))
+    norm = docs.select("doc_id", *carry, F.char_length(text).alias("n_chars"), F.regexp_replace(text, WORD_SPACE, "").alias("norm"))
     return norm.select(
         "doc_id",
+        *carry,
         "n_chars",
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         F.transform(
@@ -53,23 +54,27 @@ def with_identifiers(rows: DataFrame) -> DataFrame:
     return hit.join(ids, "row", "left").withColumn("ids", F.coalesce("ids", empty)).drop("row", "chunks")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
+def exact_dedup(docs: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars, and the columns to carry.
 
     Of equal texts the row with the most code points stays, then the one with the smallest doc_id. A null text counts
-    as empty, and empty texts are equal. Rows that repeat a doc_id with the same text share the verdict of that doc_id.
-    A null doc_id loses against any other. Extra columns of docs are ignored; an empty table gives no rows. Groups are
-    summed before they are shuffled; the verdicts of the largest ones, LARGE at most, go to their rows by broadcast.
+    as empty, and empty texts are equal. Rows that repeat a doc_id with the same text share the verdict of that doc_id,
+    unless columns to carry tell rows apart: then the first row by these stays. A null doc_id loses against any other.
+    Extra columns of docs are ignored; an empty table gives no rows. Groups are summed before they are shuffled; the
+    verdicts of the largest ones, LARGE at most, go to their rows by broadcast.
     """
-    rows = cut(with_identifiers(cut(recipes(docs.select("doc_id", "text")))))
-    groups = rows.groupBy("ids").agg(F.max(F.struct(F.col("n_chars").alias("n"), (-F.col("doc_id")).alias("d"))).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("ids", (-F.col("best.d")).alias("keep_id"), "group_size")
+    rows = cut(with_identifiers(cut(recipes(docs.select("doc_id", "text", *carry), carry))))
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("d"), *carry))
+    groups = rows.groupBy("ids").agg(best.alias("best"), F.count("*").alias("group_size"))
     least = max(HOT, rows.count() // LARGE)
     large = cut(groups.filter(F.col("group_size") > least))
     told = rows.join(F.broadcast(large), "ids", "left")
-    rest = told.filter("group_size is null").drop("keep_id", "group_size").join(groups.filter(F.col("group_size") <= least), "ids")
+    rest = told.filter("group_size is null").drop("best", "group_size").join(groups.filter(F.col("group_size") <= least), "ids")
     out = told.filter("group_size is not null").unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.d"))
+    for c in carry:
+        kept = kept & F.col(c).eqNullSafe(F.col(f"best.{c}"))
+    return out.select("doc_id", F.col("best.d").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "n_chars", *carry)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

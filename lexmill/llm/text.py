@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.plans.registry import shared_folder
@@ -221,6 +222,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_places(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two numbers that tell its rows apart and stay the same when it is read again: a file's hash, and the row's place in it.
+
+    A frame that isn't read from files is written to the shared folder first.
+    """
+    names = [unused(df, "_file"), unused(df, "_place")]
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+    except AnalysisException:
+        return with_places(stored(df))
+
+
 #: Rows of ids that semi_join() may broadcast (16 bytes each, so 16 MB).
 BROADCAST_IDS = 1_000_000
 
