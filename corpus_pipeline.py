@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of documents. SQL can't express the trained classifier or the segmentation, so there is no ORACLE_SQL; the tests
 compare the stages with brute force.
 
-A null text counts as an empty one throughout; empty texts are equal to each other, so one of them stays. Rows that
-repeat a doc_id share the verdicts of that doc_id. Documents without a doc_id are judged by the classifier, and stay in
-the stages behind it. Extra columns, whatever their names, go along up to the last stage. Empty tables give no rows.
+A null text counts as an empty one throughout; empty texts are equal to each other, so one of them stays. Duplicates are
+told and dropped row by row, so rows that repeat a doc_id with other texts stay and those with the same text don't. A row
+without a doc_id is a document like others, but in the decontamination stage, which it passes. Extra columns, whatever their names, go along up to the last stage. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.llm import decontaminate, exact, jaccard, quality, sentencepieces
-from lexmill.llm.text import cut, documents, ensure_checkpoints, semi_join
+from lexmill.llm.text import cut, documents, ensure_checkpoints, semi_join, with_places
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    gone = cut(exact.exact_dedup(docs).filter("not kept").select("doc_id"))
-    return semi_join(docs, gone, "doc_id", "left_anti")
+    rows, places = with_places(docs)
+    gone = cut(exact.exact_dedup(rows, places).filter("not kept").select(*places))
+    return semi_join(rows, gone, places, "left_anti").drop(*places)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates."""
-    gone = cut(jaccard.jaccard_components(docs).filter("doc_id != component_id").select("doc_id"))
-    return semi_join(docs, gone, "doc_id", "left_anti")
+    """The document with the smallest doc_id of each group of near duplicates."""
+    rows, places = with_places(docs)
+    gone = cut(jaccard.clustered(rows, places).filter("not kept").select(*places))
+    return semi_join(rows, gone, places, "left_anti").drop(*places)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
