@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lexmill.operators import aggregates, candidates, claims, cleaning, contexts, duplicates, expressions, matching, numbers, planning, practice, quotes, rating, records, routing, rules, scoring, units, verify
+from lexmill.operators import aggregates, candidates, claims, cleaning, contexts, duplicates, expressions, matching, numbers, planning, practice, quotes, rating, records, routing, rules, scoring, units, verify, widening
 from lexmill.sources import files
 from lexmill.streaming import jobs, status
 
 from .registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "claims", "cleaning", "contexts", "duplicates", "expressions", "files", "jobs", "matching", "numbers", "planning", "practice", "quotes", "rating", "records", "routing", "rules", "scoring", "status", "units", "verify"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "aggregates", "candidates", "claims", "cleaning", "contexts", "duplicates", "expressions", "files", "jobs", "matching", "numbers", "planning", "practice", "quotes", "rating", "records", "routing", "rules", "scoring", "status", "units", "verify", "widening"]
 
 FLAGSHIP = units.chunk_quality
