@@ -6,7 +6,7 @@ The join is a blocked sparse product of the document-by-shingle incidence matrix
 2. Only the columns that a row needs are multiplied: of two linked rows, the first ``n - ceil(0.8 n) + 1`` shingles of
    each, in any order that holds for all rows, share one. The order puts shingles known to be frequent last; that list
    has a fixed size and only saves work.
-3. A column's rows (its bucket) are all multiplied with one pivot row, the smallest node, but for pairs that sizes
+3. A column's rows (its bucket) are all multiplied with one pivot row, that of the smallest doc_id, but for pairs that sizes
    or 1024-bit parity sketches (whose Hamming distance never exceeds the symmetric difference) put below the bound.
    Overlap counts are accumulated over whole sets in blocks of at most ``BLOCK`` rows for a pivot. Jaccard distance is a metric, so most
    other pairs of a bucket are settled: rows of one component need no further link.
@@ -178,9 +178,9 @@ def clustered(docs: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B00
     copies = cut(told(filled.select("row", *SET), groups.filter("copies > 1"), ["node"]).filter("row != node").select("row"))
     alone = semi_join(filled, copies, "row", "left_anti").withColumnRenamed("row", "node")
 
-    keys = alone.select(F.explode("prefix").alias("key"), "node")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1").drop("size")
-    members = stored(keys.join(buckets, "key").filter("node != pivot"))
+    keys = alone.select(F.explode("prefix").alias("key"), "node", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node").alias("order"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("order").alias("pivot")).filter("size > 1").select("key", F.col("pivot.node").alias("pivot"))
+    members = stored(keys.drop("order").join(buckets, "key").filter("node != pivot"))
     profiles = cut(alone.select("node", "n", *(f"b{j}" for j in range(SKETCH))))
     star = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     star = star.alias("p").join(profiles.alias("x"), F.expr("p.a = x.node")).join(profiles.alias("y"), F.expr("p.b = y.node")).filter(POSSIBLE).select("a", "b")
