@@ -13,8 +13,12 @@ NUMERIC = r"^ *-?[0-9]+(?:[.,][0-9]+)? *$"
 MATHS_VALUE = r"^ *(?:-?[0-9]+(?:[.,][0-9]+)?|[+-]? *(?:∞|inf|infty)|undefined|dne) *$"
 
 
-def items(lineitem: DataFrame) -> DataFrame:
-    """Items of four options from the first four lines of each order: an answer and three distractors, some of them flawed."""
+#: Numbers of items of one order.
+GROUP = 1000
+
+
+def options_of(lineitem: DataFrame) -> DataFrame:
+    """(item_id, options): each four lines of an order, in order, are an item's answer and distractors; a rest has fewer."""
     line = F.col("l_linenumber")
     option = (
         F.when(F.col("l_returnflag") == "A", F.col("l_quantity").cast("int").cast("string"))
@@ -23,13 +27,21 @@ def items(lineitem: DataFrame) -> DataFrame:
         .when(F.col("l_partkey") % 19 == 0, "all of the above")
         .otherwise(F.col("l_suppkey").cast("string"))
     )
-    rows = lineitem.filter(line <= 4).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(line.alias("pos"), option.alias("o")))).alias("o"))
-    return rows.filter("n = 4").select(F.col("l_orderkey").alias("item_id"), F.transform("o", lambda x: x.o).alias("options"))
+    rows = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(line.alias("pos"), option.alias("o")))).alias("o"))
+    parts = F.explode(F.transform(F.sequence(F.lit(0), F.size("o") - 1, F.lit(4)), lambda k: F.struct((k / 4).cast("long").alias("k"), F.slice("o", k + 1, 4).alias("o"))))
+    return rows.select("l_orderkey", parts.alias("p")).select((F.col("l_orderkey") * GROUP + F.col("p.k")).alias("item_id"), F.transform("p.o", lambda x: x.o).alias("options"))
+
+
+def items(lineitem: DataFrame) -> DataFrame:
+    """The items that have all four options; candidate_issues() tells which others there are."""
+    return options_of(lineitem).filter(F.size("options") == 4)
 
 
-_ITEMS = """WITH x AS (SELECT l_orderkey AS item_id, l_linenumber AS pos, CASE WHEN l_returnflag = 'A' THEN l_quantity::INT::VARCHAR WHEN l_returnflag = 'R' THEN 'about ' || l_quantity::INT || ' units of it'
- WHEN l_partkey % 17 = 0 THEN 'never more than this' WHEN l_partkey % 19 = 0 THEN 'all of the above' ELSE l_suppkey::VARCHAR END AS o FROM lineitem WHERE l_linenumber <= 4),
-i AS (SELECT item_id, list(o ORDER BY pos, o) AS o FROM x GROUP BY item_id HAVING count(*) = 4)"""
+_PARTS = f"""WITH x AS (SELECT l_orderkey, l_linenumber AS pos, CASE WHEN l_returnflag = 'A' THEN l_quantity::INT::VARCHAR WHEN l_returnflag = 'R' THEN 'about ' || l_quantity::INT || ' units of it'
+ WHEN l_partkey % 17 = 0 THEN 'never more than this' WHEN l_partkey % 19 = 0 THEN 'all of the above' ELSE l_suppkey::VARCHAR END AS o FROM lineitem),
+y AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY pos, o) - 1) // 4 AS k FROM x),
+j AS (SELECT l_orderkey * {GROUP} + k AS item_id, list(o ORDER BY pos, o) AS o FROM y GROUP BY l_orderkey, k)"""
+_ITEMS = _PARTS + ", i AS (SELECT * FROM j WHERE len(o) = 4)"
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -95,9 +107,12 @@ _ISSUES = (
 )
 
 
-@query(_ISSUES + " SELECT item_id, array_to_string(issues, ',') AS issues, len(issues)::BIGINT AS n FROM e")
+@query(_ISSUES + " SELECT item_id, array_to_string(issues, ',') AS issues, len(issues)::BIGINT AS n FROM e UNION ALL SELECT item_id, 'distractor_count', 1 FROM j WHERE len(o) < 4")
 def candidate_issues(spark, sf_dir):
-    rows = items(read(spark, sf_dir, "lineitem")).select("item_id", issues(F.col("options")).alias("issues"))
+    """What is wrong with each item of all lines; one with fewer than four options isn't looked at further."""
+    rows = options_of(read(spark, sf_dir, "lineitem"))
+    found = F.when(F.size("options") < 4, F.array(F.lit("distractor_count"))).otherwise(issues(F.col("options")))
+    rows = rows.select("item_id", found.alias("issues"))
     return rows.select("item_id", F.array_join("issues", ",").alias("issues"), F.size("issues").cast("long").alias("n"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from lexmill.functions import text as T
 from lexmill.functions.order import placed
-from lexmill.plans.registry import query, read, shared_folder
+from lexmill.functions.shared import cut, few_or_all
+from lexmill.plans.registry import query, read
 
 _FOLD = "strip_accents(translate(lower({}), 'ª²³µ¹ºđſẛ', 'a23μ1odss'))"
 _TOKENS = "regexp_extract_all(" + _FOLD + ", '[a-z0-9]{{3,}}')"
@@ -28,16 +29,31 @@ def shared_tokens(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return x.join(y, "token").groupBy(a, b).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.count("*").alias("shared_n"))
 
 
+#: Looked-up tokens that covering_pairs() sends to all tasks.
+BROADCAST_KEYS = 50_000
+
+
 def covering_pairs(left: DataFrame, right: DataFrame, a: str, b: str, need: str) -> DataFrame:
     """(a, b, n_a, n_b, shared_n) of the pairs that share need tokens of right's n_b at least.
 
-    Such a pair shares one of any n_b - need + 1 tokens of b. Only b's longest ones are looked up, so common short words
-    never meet; the pairs found are counted over whole sets.
+    Such a pair shares one of any n_b - need + 1 tokens of b. Only those that fewest of left's rows have are looked up, so
+    common words never meet. If they are counted to be few, left's rows are told which of them they have and nothing of
+    left is shuffled; else tokens are joined. The pairs found are counted over whole sets.
     """
     x = left.select(a, T.token_set(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    y = right.select(b, T.token_set(F.col("text")).alias("t")).withColumn("n_b", F.size("t").cast("long")).filter("n_b > 0")
-    rare = F.slice(F.array_sort(F.transform("t", lambda t: F.struct((-F.char_length(t)).alias("k"), t.alias("t")))), F.lit(1), (F.col("n_b") - F.expr(need) + 1).cast("int"))
-    keys = y.select(b, F.explode(F.transform(rare, lambda r: r.t)).alias("token"))
+    y = cut(right.select(b, T.token_set(F.col("text")).alias("t")).withColumn("n_b", F.size("t").cast("long")).filter("n_b > 0"))
+    each = y.select(b, "n_b", F.explode("t").alias("token"))
+    tokens = cut(each.select("token").distinct())
+    df = x.select(F.explode("s").alias("token")).join(few_or_all(tokens), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy(b).orderBy(F.coalesce("df", F.lit(0)), "token"))
+    keys = cut(each.join(df, "token", "left").withColumn("place", place).filter(F.col("place") <= F.col("n_b") - F.expr(need) + 1).select(b, "token"))
+    some = keys.select("token").distinct().limit(BROADCAST_KEYS + 1).collect()
+    if len(some) <= BROADCAST_KEYS:
+        # tokens are letters and digits only
+        known = F.split(F.lit(" ".join(sorted(r[0] for r in some))), " ")
+        hits = x.withColumn("token", F.explode(F.array_intersect("s", known)))
+        found = hits.join(few_or_all(keys), "token").join(few_or_all(y), b).select(a, b, F.size("s").cast("long").alias("n_a"), "n_b", T.overlap(F.col("s"), F.col("t")).alias("shared_n"))
+        return found.filter(f"shared_n >= {need}").distinct()
     found = x.select(a, F.explode("s").alias("token")).join(keys, "token").select(a, b).distinct()
     return found.join(x, a).join(y, b).select(a, b, F.size("s").cast("long").alias("n_a"), "n_b", T.overlap(F.col("s"), F.col("t")).alias("shared_n")).filter(f"shared_n >= {need}")
 
@@ -199,13 +215,11 @@ FROM r LEFT JOIN s a ON a.slot = regexp_replace(r.raw, '_r[0-9]+$', '')::BIGINT
 )
 def batch_response_slots(spark, sf_dir):
     """Responses find their slot by base id (the retry suffix stripped), else by position."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("conv_id", F.lit("_r"), "turn").alias("raw"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).alias("pos"))
-    # positions are few: as many as the longest batch
-    most = rows.agg(F.max("pos")).first()[0] or 0
+    rows = placed(read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("conv_id", F.lit("_r"), "turn").alias("raw")), "conv_id", "turn").withColumnRenamed("place", "pos")
     slots = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("slot"))
-    first = slots.orderBy("slot").limit(int(most)).withColumn("pos", F.row_number().over(W.orderBy("slot")))
+    order = placed(slots.withColumn("all", F.lit(0)), "all", "slot").select(F.col("place").alias("pos"), F.col("slot").alias("b"))
     base = rows.withColumn("want", F.regexp_replace("raw", "_r[0-9]+$", "").cast("long") * 3)
-    out = base.join(slots.select(F.col("slot").alias("want"), F.col("slot").alias("a")), "want", "left").join(F.broadcast(first.select("pos", F.col("slot").alias("b"))), "pos", "left")
+    out = base.join(slots.select(F.col("slot").alias("want"), F.col("slot").alias("a")), "want", "left").join(order, "pos", "left")
     return out.select("conv_id", "turn", F.coalesce("a", "b").alias("slot"), F.when(F.col("a").isNotNull(), "base").when(F.col("b").isNotNull(), "position").otherwise("none").alias("via"))
 
 
@@ -239,7 +253,8 @@ def signature_dedup(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(sig.cast("binary"), 256).alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("sig")
 
 
-SIMILAR = 0.35
+#: Fixed value: the cosine from which two questions are one. The given vectors have few pairs as close, so queries take less.
+SIMILAR, QUERY_SIMILAR = 0.8, 0.35
 
 
 def embedding_links(rows: DataFrame, limit: float = SIMILAR, size: int = 2048) -> DataFrame:
@@ -269,9 +284,9 @@ def embedding_links(rows: DataFrame, limit: float = SIMILAR, size: int = 2048) -
     return dealt.groupBy("i", "j").applyInPandas(product, "a long, b long")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= {SIMILAR}")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= {QUERY_SIMILAR}")
 def embedding_pairs(spark, sf_dir):
-    return embedding_links(read(spark, sf_dir, "embeddings"))
+    return embedding_links(read(spark, sf_dir, "embeddings"), QUERY_SIMILAR)
 
 
 def greedy_keep(ids: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -285,20 +300,13 @@ def greedy_keep(ids: DataFrame, links: DataFrame, key: str) -> DataFrame:
         view = earlier.groupBy("id").agg(F.bool_or(F.coalesce("was", F.lit(False))).alias("hit"), F.bool_or(F.col("was").isNull()).alias("waits"))
         step = state.join(view, "id", "left")
         kept = F.coalesce(F.col("kept"), F.when(F.col("hit"), False).when(~F.coalesce("waits", F.lit(False)), True))
-        state = _cut(step.select("id", kept.alias("kept")))
+        state = cut(step.select("id", kept.alias("kept")))
         if state.filter("kept is null").isEmpty():
             return state.filter("kept").select(F.col("id").alias(key))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 _GREEDY = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS pos FROM embeddings),
-k(pos, ids) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k.pos + 1, CASE WHEN EXISTS (SELECT 1 FROM v w WHERE list_contains(k.ids, w.vec_id) AND list_cosine_similarity(w.embedding, v.embedding) >= {SIMILAR}) THEN k.ids ELSE list_append(k.ids, v.vec_id) END
+k(pos, ids) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k.pos + 1, CASE WHEN EXISTS (SELECT 1 FROM v w WHERE list_contains(k.ids, w.vec_id) AND list_cosine_similarity(w.embedding, v.embedding) >= {QUERY_SIMILAR}) THEN k.ids ELSE list_append(k.ids, v.vec_id) END
  FROM k JOIN v ON v.pos = k.pos + 1)
 SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM k ORDER BY pos DESC LIMIT 1)"""
 
@@ -307,7 +315,7 @@ SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM k ORDER BY pos DESC LIMIT 1)"
 def embedding_dedup(spark, sf_dir):
     """Greedy: a vector stays iff it is unlike all that stayed before it."""
     rows = read(spark, sf_dir, "embeddings")
-    return greedy_keep(rows, _cut(embedding_links(rows)), "vec_id")
+    return greedy_keep(rows, cut(embedding_links(rows, QUERY_SIMILAR)), "vec_id")
 
 
 @query(f"WITH s AS (SELECT doc_id, list_distinct({_TOKENS.format('text')}) AS s FROM documents), b AS (SELECT list_distinct(flatten(list({_TOKENS.format('text')}))) AS t FROM benchmark) SELECT doc_id, len(list_intersect(s, t))::BIGINT AS shared, (len(s) - len(list_intersect(s, t)))::BIGINT AS own FROM s, b")

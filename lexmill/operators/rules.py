@@ -11,6 +11,7 @@ import string
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexmill.functions.shared import cut
 from lexmill.plans.registry import query, read
 from lexmill.plans.shared import steps_sql, values, with_steps
 
@@ -109,7 +110,7 @@ PARAPHRASE = (
     "size_stem >= 6 AND size_span >= 6 AND (common >= 0.48 * (size_stem + size_span - common)"
     " OR common >= 0.7 * size_stem AND @size(num_stem) > 0 AND @size(@both(num_stem, num_span)) = @size(num_stem) OR contains(run, '111111111'))"
 )
-_EXERCISE = f"@rx(f_quote, '{_word('cau', 'bai', 'question', 'exercise')[:-len('($|[^a-z0-9_])')]}{GAP}*[0-9]') OR @rx(f_quote, '{_word('chon', 'dap an', 'phuong an', 'trac nghiem', 'hoi', 'bao nhieu', 'khang dinh', 'dung sai')}')"
+_EXERCISE = f"@rx(f_quote, '(^|[^a-z0-9_])(cau|bai|question|exercise){GAP}*[0-9]') OR @rx(f_quote, '{_word('chon', 'dap an', 'phuong an', 'trac nghiem', 'hoi', 'bao nhieu', 'khang dinh', 'dung sai')}')"
 QUOTE = [
     f"CASE WHEN @rx(lower(quote), '^(topic|chunk type|context type|title){GAP}*:') THEN 'quote_mismatch:source_quote_is_metadata' END",
     f"CASE WHEN lower(source_type) <> 'exercise' AND NOT (@size(t_quote) >= 3 AND @size(t_qa) > 0 AND NOT (asks_integral AND NOT has_integral) AND (shared_quote >= 2 OR shared_quote >= 1 AND {_formula('quote')} AND {_formula('qa')})) THEN 'quote_mismatch:source_quote_not_relevant' END",
@@ -277,7 +278,8 @@ def repeated_signatures(spark, sf_dir):
 
     Only the first item of a signature is looked up, so large groups make no pairs.
     """
-    rows = with_steps(candidates(spark, sf_dir), SIGNATURES).select("item_id", "core", "expression", "value", "family")
+    # signatures are made once, before they are grouped three times
+    rows = cut(with_steps(candidates(spark, sf_dir), SIGNATURES).select("item_id", "core", "expression", "value", "family"))
     plain = F.expr("expression = '' and value = ''")
     e = rows.filter("expression <> ''").groupBy("expression").agg(F.min("item_id").alias("e"))
     v = rows.filter("value <> '' and family <> ''").groupBy("value", "family").agg(F.min("item_id").alias("v"))
