@@ -21,3 +21,15 @@ def running(rows: DataFrame, key: str, order: str, value: Column, name: str, spa
     before = F.coalesce(F.sum("_all").over(W.partitionBy(key).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     spans = spans.select(key, "_span", before.alias("_before"))
     return rows.join(spans, [key, "_span"]).withColumn(name, F.col(name) + F.col("_before")).drop("_span", "_before")
+
+
+def lagged(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
+    """rows with the value of the row before each of them within key, in order of a whole number that a key has once; null for the first.
+
+    Spans look back on their own, and their first rows at what the span before ends with.
+    """
+    own = W.partitionBy(key, "_span").orderBy(order)
+    rows = rows.withColumn("_span", F.floor(F.col(order) / span)).withColumn(name, F.lag(value).over(own)).withColumn("_first", F.row_number().over(own) == 1)
+    ends = rows.groupBy(key, "_span").agg(F.max_by(value, order).alias("_end"))
+    ends = ends.select(key, "_span", F.lag("_end").over(W.partitionBy(key).orderBy("_span")).alias("_edge"))
+    return rows.join(ends, [key, "_span"]).withColumn(name, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(name))).drop("_span", "_first", "_edge")

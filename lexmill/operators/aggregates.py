@@ -38,10 +38,9 @@ def document_class(spark, sf_dir):
 @query("SELECT lang, source, grouping(lang, source)::BIGINT AS grain, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
 def plan_distribution(spark, sf_dir):
     """Three groupings and the total in one pass."""
-    read(spark, sf_dir, "documents").createOrReplaceTempView("_plan_documents")
-    return spark.sql(
-        "SELECT lang, source, CAST(grouping_id(lang, source) AS BIGINT) AS grain, count(*) AS n, sum(n_chars) AS chars FROM _plan_documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())"
-    )
+    docs = read(spark, sf_dir, "documents")
+    sets = docs.groupingSets([[docs.lang], [docs.source], [docs.lang, docs.source], []], docs.lang, docs.source)
+    return sets.agg(F.grouping_id().cast("long").alias("grain"), F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query(
@@ -119,8 +118,7 @@ def _metrics(div: str, by: str = "") -> str:
 @query(f"WITH m AS (SELECT {_metrics('//')} FROM events) UNPIVOT m ON COLUMNS(*) INTO NAME metric VALUE value")
 def benchmark_metrics(spark, sf_dir):
     """The metrics of a run, one a row; an average over nothing is null."""
-    read(spark, sf_dir, "events").createOrReplaceTempView("_metric_events")
-    wide = spark.sql(f"SELECT {_metrics('div')} FROM _metric_events")
+    wide = read(spark, sf_dir, "events").agg(*(F.expr(v.format(div="div")).alias(k) for k, v in _METRICS.items()))
     return wide.unpivot([], list(_METRICS), "metric", "value").filter("value is not null")
 
 
@@ -130,8 +128,7 @@ SELECT metric, max(value) FILTER (WHERE run = 0) AS run_a, max(value) FILTER (WH
 )
 def benchmark_compare(spark, sf_dir):
     """Two runs side by side, with the difference of the last to the first."""
-    read(spark, sf_dir, "events").createOrReplaceTempView("_compare_events")
-    wide = spark.sql(f"SELECT user_id % 2 AS run, {_metrics('div')} FROM _compare_events GROUP BY 1")
+    wide = read(spark, sf_dir, "events").groupBy(F.expr("user_id % 2").alias("run")).agg(*(F.expr(v.format(div="div")).alias(k) for k, v in _METRICS.items()))
     rows = wide.unpivot("run", list(_METRICS), "metric", "value")
     both = rows.groupBy("metric").pivot("run", [0, 1]).agg(F.max("value"))
     return both.select("metric", F.col("0").alias("run_a"), F.col("1").alias("run_b"), (F.col("1") - F.col("0")).alias("delta"))

@@ -71,9 +71,8 @@ def section_suggestions(spark, sf_dir):
 
 def attempts(events: DataFrame) -> DataFrame:
     """(user_id, event_id, slot) of all error events."""
-    attempt = F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = events.filter("event_type = 'error'").select("user_id", "event_id", attempt.alias("attempt"))
-    return rows.select("user_id", "event_id", F.concat("user_id", F.lit("_r"), F.format_string("%02d", "attempt")).alias("slot"))
+    rows = placed(events.filter("event_type = 'error'").select("user_id", "event_id"), "user_id", "event_id")
+    return rows.select("user_id", "event_id", F.concat("user_id", F.lit("_r"), F.format_string("%02d", "place")).alias("slot"))
 
 
 @query(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
+from lexmill.functions.order import lagged, running
 from lexmill.plans.registry import query, read
 
 
@@ -18,8 +19,7 @@ i AS (SELECT *, sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER (PARTITION BY usr
 
 def islands(events: DataFrame) -> DataFrame:
     """Answers with the number of wrong ones up to each: right answers of one number are a streak."""
-    misses = F.sum((~F.col("correct")).cast("long")).over(W.partitionBy("user").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return answers(events).withColumn("island", misses)
+    return running(answers(events), "user", "pos", (~F.col("correct")).cast("long"), "island")
 
 
 @query(
@@ -70,6 +70,6 @@ SELECT coalesce(before, 'start') AS before, role, count(*) AS n FROM o GROUP BY
 )
 def turn_transitions(spark, sf_dir):
     """How often each role follows another in a session."""
-    before = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = read(spark, sf_dir, "conversations").select(F.coalesce(before, F.lit("start")).alias("before"), "role")
+    rows = lagged(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role", "before")
+    rows = rows.select(F.coalesce("before", F.lit("start")).alias("before"), "role")
     return rows.groupBy("before", "role").agg(F.count("*").alias("n"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import functions as F
 
+from lexmill.functions.order import lagged
 from lexmill.operators import rules
 from lexmill.operators.verify import verdicts
 from lexmill.plans.registry import query, read
@@ -120,8 +121,7 @@ _ALLOWED = " OR ".join(f"before = '{a}' AND event_type = '{b}'" for a, b in MOVE
 @query(f"WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, event_id, before IS NULL OR {_ALLOWED} AS allowed FROM e")
 def job_moves(spark, sf_dir):
     """Whether each change of a job's state is one of its machine's moves."""
-    before = F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", before.alias("before"))
+    rows = lagged(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", "before")
     return rows.select("user_id", "event_id", F.expr(f"before is null or {_ALLOWED}").alias("allowed"))
 
 

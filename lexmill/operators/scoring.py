@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, Window as W
 
 from lexmill.functions import text as T
+from lexmill.functions.order import placed
 from lexmill.plans.registry import query, read
 
 _STRIP = r"regexp_replace({}, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
@@ -164,14 +165,15 @@ def topic_tiers(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT source, list(doc_id ORDER BY doc_id)[1:7] AS ids FROM documents GROUP BY source), n AS (SELECT source, ids, len(ids) AS n, source[4:]::BIGINT AS i FROM p)
+    """WITH p AS (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY source), n AS (SELECT source, ids, len(ids) AS n, source[4:]::BIGINT AS i FROM p)
 SELECT source, array_to_string(list_transform(range(5), lambda k: ids[((2 * i + k) % n + 1)::BIGINT]), ',') AS five FROM n WHERE n > 5"""
 )
 def rotated_lists(spark, sf_dir):
-    """Five of more than five entries, begun at twice the list's number."""
-    rank = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    few = read(spark, sf_dir, "documents").select("source", "doc_id", rank.alias("k")).filter("k <= 7")
-    rows = few.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).filter(F.size("ids") > 5)
-    first = F.substring("source", 4, 10).cast("int") * 2
-    five = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.get("ids", (first + k) % F.size("ids")))
-    return rows.select("source", F.array_join(five.cast("array<string>"), ",").alias("five"))
+    """Five of more than five entries, begun at twice the list's number; entries are looked up by place, no list is made whole."""
+    rows = placed(read(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    sizes = rows.groupBy("source").agg(F.count("*").alias("n")).filter("n > 5")
+    first = F.substring("source", 4, 10).cast("long") * 2
+    wanted = sizes.select("source", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(k.alias("k"), ((first + k) % F.col("n") + 1).alias("place")))).alias("w"))
+    found = wanted.select("source", "w.k", "w.place").join(rows, ["source", "place"])
+    five = F.transform(F.array_sort(F.collect_list(F.struct("k", "doc_id"))), lambda x: x.doc_id.cast("string"))
+    return found.groupBy("source").agg(F.array_join(five, ",").alias("five"))

@@ -8,7 +8,7 @@ from lexmill.sources import files
 
 
 def test_document_units():
-    paras = ["Chapter 1 Start", "a" * 590, "2.1 A heading that is long", "b" * 3400, "c" * 200, "d. " * 3000]
+    paras = ["Chapter 1 Start", "a" * 590, "2.1 A heading that is long", "b" * 3480, "c" * 200, "d. " * 3000]
     units = cleaning.split_document("\n\n".join(paras))
     assert [u for _, u, _ in units[:3]] == ["\n\n".join(paras[:2]), "\n\n".join(paras[2:4]), paras[4]]
     assert [h for _, _, h in units[:3]] == ["Chapter 1 Start", "2.1 A heading that is long", ""]
