@@ -34,9 +34,9 @@ LEAST_VALUE = 6
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 CANDIDATE, SAMPLE = 20, 8
 _RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{}}}(?![A-Za-z0-9+/_=-])"
-#: Log-likelihood ratio, in nats, from which a candidate is a span: odds of a million to one, and e to one for each step on
+#: Log-likelihood ratio, in nats, from which a candidate is a span: odds of a million to one, and this for each step on
 #: average; and the different characters that it has at least.
-LEAST, LEAST_STEP, LEAST_DISTINCT = math.log(1e6), 1.0, 8
+LEAST, LEAST_STEP, LEAST_DISTINCT = math.log(1e6), 0.4, 8
 DRAWN = 2000
 #: Ways of writing random strings, by the first pattern that a string matches.
 WRITTEN = {"lower": "^[0-9a-f]+$", "upper": "^[0-9A-Z]+$", "mixed": ""}

@@ -133,6 +133,27 @@ def test_chains_equal_plain_counts(spark):
         assert r == pytest.approx(max(sum(t[at(a) * 67 + at(b)] for a, b in zip(s, s[1:], strict=False)) for p, t in zip(secrets.WRITTEN.values(), tables, strict=True) if re.search(p, s)) - math.log(3), abs=1e-9)
 
 
+def test_held_out_strings(spark):
+    """Random strings that no pattern catches, and identifiers of corpus words that the models haven't seen."""
+    rng = random.Random(11)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    words = [w for _, t in docs for w in re.findall("[a-z]{4,9}", t)]
+    chars = secrets.ALPHABET[:62]
+    planted, plain = {}, {}
+    for i, _ in docs:
+        if i % 2:
+            planted[i] = rng.choice([base64.b64encode(rng.randbytes(24)).decode(), rng.randbytes(16).hex().upper(), "".join(rng.choices(chars, k=36)), rng.randbytes(11).hex()])
+        else:
+            own = rng.sample(words, 5)
+            plain[i] = rng.choice(["_".join(own), own[0] + "".join(w.title() for w in own[1:]), "/".join(own), "".join(own)])
+    rows = [(i, f"{t}\nSee {(planted | plain)[i]} there.") for i, t in docs]
+    got = {r["doc_id"]: r for r in secrets.scan(frame(spark, rows)).collect()}
+    text = dict(rows)
+    found = sum(any(text[i][int(a) : int(b)] == s for k, a, b in (x.split(":") for x in got[i]["spans"].split(",") if x) if k == "random") for i, s in planted.items())
+    assert found >= 0.95 * len(planted)
+    assert sum(got[i]["n_random"] for i in plain) <= 0.02 * len(plain)
+
+
 # -- whitening --------------------------------------------------------------------------------------------------------
 
 
