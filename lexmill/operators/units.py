@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as S, Window as W
 
 from lexmill.functions import quality as Q, text as T
+from lexmill.functions.folds import SPACE, fold_texts
 from lexmill.plans.registry import query, read
 
+from .cleaning import FORMULA
+
 MIN_RATIO = 0.05
 _WS = r"[ \t\n\x0b\f\r]"
 _SQL_STRIP = r"regexp_replace({}, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
@@ -211,49 +217,106 @@ def section_filter(spark, sf_dir):
     return docs.filter(F.char_length(F.trim("text")) >= 120).crossJoin(F.broadcast(some)).filter(hit | ~F.col("some")).drop("some")
 
 
-def chunks_of(docs: DataFrame, target: int = 1000, least: int = 200, most: int = 1800) -> DataFrame:
-    """Paragraphs packed in order into chunks: a new one at a heading, before most, at target; a last one under least joins the one before."""
-    paragraphs = F.filter(F.transform(F.split("text", r"\n[ \t]*\n|\n"), T.strip), lambda p: p != "")
-    heading = lambda p: p.rlike(r"^(?:#{1,4} |[0-9]+(?:\.[0-9]+)*\.? [A-ZÀ-Ý])") & (F.char_length(p) <= 140)
-    empty = F.array().cast("array<string>")
-    size = lambda b: F.aggregate(b, F.lit(0), lambda s, p: s + F.char_length(p))
+# Characters at which a chunk is full, under which it joins the one before, and that it has at most; what a heading is.
+FULL, LEAST, MOST, HEADING_CHARS = 1000, 200, 1800, 140
+_HEADING = "^(#{1,4} |[0-9]+([.][0-9]+)*[.]? [A-ZÀ-Ý])"
 
-    def flush(done: Column, buffer: Column) -> Column:
-        text = F.array_join(buffer, "\n\n")
-        short = (F.char_length(text) < least) & (F.size(done) > 0)
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws("\n\n", F.try_element_at(done, F.greatest(F.size(done), F.lit(1))), text)))
-        return F.when(F.size(buffer) == 0, done).when(short, joined).otherwise(F.concat(done, F.array(text)))
 
-    def step(s: Column, p: Column) -> Column:
-        before = (heading(p) & (F.size(s.buffer) > 0)) | (size(s.buffer) + F.char_length(p) > most)
-        done = F.when(before, flush(s.done, s.buffer)).otherwise(s.done)
-        buffer = F.concat(F.when(before, empty).otherwise(s.buffer), F.array(p))
-        full = size(buffer) >= target
-        return F.struct(F.when(full, flush(done, buffer)).otherwise(done).alias("done"), F.when(full, empty).otherwise(buffer).alias("buffer"))
+def packed_chunks(text: str, target: int = FULL, least: int = LEAST, most: int = MOST) -> list[tuple[int, str, str]]:
+    """Numbered chunks of a text's lines: a new one at a heading, before most, at target; one under least joins the one before.
 
-    packed = F.aggregate(paragraphs, F.struct(empty.alias("done"), empty.alias("buffer")), step, lambda s: flush(s.done, s.buffer))
-    return docs.select("doc_id", F.posexplode(packed).alias("chunk_no", "context"))
+    Each has the last heading up to its first line, or an empty text.
+    """
+    rule, chunks = re.compile(_HEADING), []
+    held, size, heading, at_start = [], 0, "", ""
+
+    def flush() -> None:
+        body = "\n\n".join(held)
+        if held and chunks and len(body) < least:
+            chunks[-1][0].append(body)
+        elif held:
+            chunks.append(([body], at_start))
+
+    for line in filter(None, (p.strip(SPACE) for p in text.split("\n"))):
+        heads = len(line) <= HEADING_CHARS and rule.search(line)
+        if held and (heads or size + len(line) > most):
+            flush()
+            held, size = [], 0
+        heading = line if heads else heading
+        at_start = at_start if held else heading
+        held.append(line)
+        size += len(line)
+        if size >= target:
+            flush()
+            held, size = [], 0
+    flush()
+    return [(k, "\n\n".join(parts), head) for k, (parts, head) in enumerate(chunks)]
+
+
+def chunks_of(docs: DataFrame, target: int = FULL, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(doc_id, chunk_no, context, heading) of whole texts, linear in their length."""
+    return fold_texts(docs, "doc_id", "text", lambda t: packed_chunks(t, target, least, most), {"chunk_no": "bigint", "context": "string", "heading": "string"})
+
+
+_LINE = r"regexp_replace({}, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
+_LINES_SQL = rf"""l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l1 AS (SELECT doc_id, unnest(range(len(ls))) AS k, {_LINE.format('unnest(ls)')} AS line FROM l0),
+l AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS pos, line FROM l1 WHERE line <> '')"""
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {_LINES_SQL}, h AS MATERIALIZED (SELECT *, length(line) AS n, length(line) <= {HEADING_CHARS} AND regexp_matches(line, '{_HEADING}') AS head FROM l),
+r(doc_id, pos, part, size, heading, at_start) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', '' FROM (SELECT DISTINCT doc_id FROM h)
+ UNION ALL SELECT doc_id, pos, part + fresh::INT, CASE WHEN fresh THEN n ELSE size + n END, CASE WHEN head THEN line ELSE heading END, CASE WHEN fresh THEN CASE WHEN head THEN line ELSE heading END ELSE at_start END
+ FROM (SELECT r.doc_id, h.pos, r.part, r.size, r.heading, r.at_start, h.line, h.n, h.head, r.size = 0 OR r.size >= {FULL} OR h.head OR r.size + h.n > {MOST} AS fresh FROM r JOIN h ON h.doc_id = r.doc_id AND h.pos = r.pos + 1)),
+p AS (SELECT doc_id, part, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS body, min(at_start) AS heading FROM r JOIN h USING (doc_id, pos) GROUP BY ALL),
+m AS (SELECT *, sum(CASE WHEN length(body) >= {LEAST} OR part = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY part) - 1 AS chunk_no FROM p),
+c AS (SELECT doc_id, chunk_no, string_agg(body, chr(10) || chr(10) ORDER BY part) AS context, min_by(heading, part) AS heading FROM m GROUP BY ALL)
+SELECT doc_id, chunk_no::BIGINT AS chunk_no, length(context)::BIGINT AS n_chars, md5(context) AS digest, heading FROM c"""
+)
 def chunk_text(spark, sf_dir):
-    return chunks_of(read(spark, sf_dir, "documents").filter(F.col("text").isNotNull())).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.char_length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"))
+    """Whole texts as chunks of about a thousand characters, with the heading that each stands under."""
+    chunks = chunks_of(read(spark, sf_dir, "documents").filter(F.col("text").isNotNull()))
+    return chunks.select("doc_id", "chunk_no", F.char_length("context").cast("long").alias("n_chars"), F.md5("context").alias("digest"), "heading")
+
+
+# A line that is short and has no end, a formula that goes on, and a line that begins with an operator join.
+SHORT_LINE, SHORT_FORMULA, _END, _OPERATOR = 120, 100, "[.!?:;)]$", "^[-,.;:=+*/^≤≥<>)]"
+
+
+def join_lines(text: str) -> list[str]:
+    """The lines of a text without blank ones, where a line that goes on takes the next one in."""
+    end, operator, formula = re.compile(_END), re.compile(_OPERATOR), re.compile(FORMULA)
+    done: list[str] = []
+    for line in filter(None, (p.strip(SPACE) for p in text.split("\n"))):
+        last = done[-1] if done else None
+        goes_on = last is not None and (len(last) < SHORT_LINE and not end.search(last) or operator.search(line) or len(line) < SHORT_FORMULA and formula.search(line) and formula.search(last))
+        if goes_on:
+            done[-1] = f"{last} {line}"
+        else:
+            done.append(line)
+    return done
 
 
 def joined_lines(c: Column) -> Column:
-    """Lines without end punctuation and under 120 characters take the next line in."""
+    """join_lines() of a column; a null text has no lines."""
 
-    def step(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        join = last.isNotNull() & (F.char_length(last) < 120) & ~last.rlike("[.!?:;]$")
-        return F.when(join, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, line)))).otherwise(F.concat(done, F.array(line)))
+    def joined(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: join_lines(t or ""))
 
-    bare = F.filter(F.transform(T.lines(c), T.strip), lambda s: s != "")
-    return F.aggregate(bare, F.array().cast("array<string>"), step)
+    return F.pandas_udf(joined, S.ArrayType(S.StringType()))(c)
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {_LINES_SQL},
+r(doc_id, pos, part, body) AS (SELECT doc_id, pos, 0::BIGINT, line FROM l WHERE pos = 1
+ UNION ALL SELECT doc_id, pos, CASE WHEN goes_on THEN part ELSE part + 1 END, CASE WHEN goes_on THEN body || ' ' || line ELSE line END
+ FROM (SELECT r.doc_id, l.pos, r.part, r.body, l.line, length(r.body) < {SHORT_LINE} AND NOT regexp_matches(r.body, '{_END}') OR regexp_matches(l.line, '{_OPERATOR}') OR length(l.line) < {SHORT_FORMULA} AND regexp_matches(l.line, '{FORMULA}') AND regexp_matches(r.body, '{FORMULA}') AS goes_on
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.pos = r.pos + 1)),
+w AS (SELECT doc_id, part, max_by(body, pos) AS body FROM r GROUP BY ALL)
+SELECT doc_id, count(part) AS n_lines, md5(coalesce(string_agg(body, chr(10) ORDER BY part), '')) AS digest FROM documents LEFT JOIN w USING (doc_id) GROUP BY doc_id"""
+)
 def line_joins(spark, sf_dir):
+    """Lines that go on take the next one in: by their end, an operator, or a formula."""
     own = read(spark, sf_dir, "documents").select("doc_id", joined_lines(F.col("text")).alias("ls"))
     return own.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.md5(F.array_join("ls", "\n")).alias("digest"))
 
