@@ -92,3 +92,42 @@ def test_corrupt_results_are_left_out(spark, tmp_path):
     assert got.count() == 1 and got.first()["metadata"]["cost"]["tokens"] == 3 and got.first()["rejected"] is None
     path = files.written(spark.createDataFrame([("x", "---\nname: n\n---\nbody\n"), ("y", "plain")], "file string, text string"), "file", "text")
     assert sorted(r["body"] for r in files.instructions(spark, path).collect()) == ["body", "plain"]
+
+
+def plain_trim(text, words, limit=200):
+    from lexmill.operators.quotes import split_units
+
+    text = text.strip()
+    if len(text) <= limit:
+        return text
+    units = [u for _, u in split_units(text)]
+
+    def points(u):
+        digits, operators = sum(c.isdigit() for c in u), sum(c in "=<>^" for c in u)
+        return 20 * len(words & set(u.lower().replace(".", " ").split())) + 12 * ("formula" in u.lower()) + min(16, 4 * operators) + min(8, digits) + (2 if 60 <= len(u) <= 420 else 0)
+
+    kept, used = [], 0
+    for order in (sorted(range(len(units)), key=lambda k: (-points(units[k]), k)), range(len(units))):
+        if order == range(len(units)) and used >= 0.45 * limit:
+            break
+        for k in order:
+            extra = len(units[k]) + (2 if kept else 0)
+            wanted = order == range(len(units)) or points(units[k]) > 0 or not kept
+            if used < 0.85 * limit and used + extra <= limit and k not in kept and wanted:
+                kept.append(k)
+                used += extra
+    return "\n\n".join(units[k] for k in sorted(kept)) if kept else text[:limit].rstrip()
+
+
+def test_trimmed_texts(spark):
+    from lexmill.operators import trimming
+
+    rng = random.Random(9)
+    words = {0: {"alpha", "beta"}, 1: {"gamma"}}
+    rows = [(1, 0, "short"), (2, 1, "x" * 900), (3, 0, ""), (4, 5, "y. " * 300)]
+    for k in range(40):
+        paras = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "formula", "12", "x = 3", "plain words here"], k=rng.randint(1, 12))) + "." for _ in range(rng.randint(1, 9))]
+        rows.append((10 + k, k % 3, "\n\n".join(paras)))
+    docs = spark.createDataFrame([*rows, (99, 0, None)], "doc_id long, topic long, text string")
+    got = trimming.trimmed_texts(docs, spark.createDataFrame([(t, sorted(w)) for t, w in words.items()], "topic long, words array<string>"), 200)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {**{i: plain_trim(t, words.get(k, set())) for i, k, t in rows}, 99: ""}
