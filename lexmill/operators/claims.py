@@ -103,6 +103,7 @@ REPLIES = [
 _JSON_SOURCE = f"SELECT reply_id, reply FROM ({values(REPLIES, _JSON_NAMES)}) UNION ALL SELECT 100 + event_id AS reply_id, 'reply ' || props || ' end' AS reply FROM events"
 _FENCE = "^[ \n]*```(json)?[ \n]*|[ \n]*```[ \n]*$"
 #: Commands whose backslash is doubled before parsing, so that the parser takes it as itself.
+# Commands of LaTeX.
 _LATEX = "frac|sqrt|binom|int|sum|prod|lim|sin|cos|tan|cot|sec|csc|log|ln|exp|left|right|cdot|times|mathrm|text|operatorname|[(),;!]"
 _PARSE = [
     [f"regexp_replace(trim(reply), '{_FENCE}', ''@g) AS bare"],

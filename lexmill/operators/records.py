@@ -12,7 +12,7 @@ from lexmill.plans.shared import steps_sql, values, with_steps
 
 # -- candidates as JSON --------------------------------------------------------------------------------------------------
 
-#: The names under which replies give a field, the first that is there counts.
+# The names under which replies give a field, the first that is there counts.
 ALIASES = {"stem": ["question_text", "question", "stem"], "answer": ["answer_text", "correct_answer", "answer"], "quote": ["source_quote_text", "source_quote", "quote"]}
 _JSON = [
     ["replace(replace(replace(stem, chr(92), '/'), chr(34), ''), chr(10), ' ') AS s", "replace(replace(replace(answer, chr(92), '/'), chr(34), ''), chr(10), ' ') AS a", "CASE item_id % 3 WHEN 0 THEN 'question_text' WHEN 1 THEN 'question' ELSE 'stem' END AS k1", "CASE item_id % 2 WHEN 0 THEN 'answer_text' ELSE 'correct_answer' END AS k2"],
@@ -54,6 +54,7 @@ def plan_slots(spark, sf_dir):
     return rows.select("slot", "topic", F.col("final").alias("pattern"), F.col("wanted").cast("long").alias("wanted"))
 
 
+# Settings and what they are without a choice.
 DEFAULTS = [("language", "vi"), ("level", "Thông hiểu"), ("count", "12"), ("mode", "fast")]
 _GIVEN = "SELECT o_custkey AS job, CASE o_orderkey % 5 WHEN 0 THEN 'language' WHEN 1 THEN 'level' WHEN 2 THEN 'count' WHEN 3 THEN 'mode' ELSE 'odd' END AS name, CASE o_orderkey % 3 WHEN 0 THEN '' ELSE CAST(o_orderkey % 40 AS STRING) END AS value, o_orderkey AS turn FROM orders"
 

@@ -186,6 +186,7 @@ def distractor_traces(spark, sf_dir):
 
 # -- rules on contexts --------------------------------------------------------------------------------------------------
 
+# Words of concepts.
 _CONCEPT = "nguyên hàm|nguyen ham|tích phân|tich phan|diện tích|dien tich|vận tốc|van toc|lưu lượng|luu luong|điện lượng|dien luong|[=<>∫]"
 _QUOTES = [
     [f"trim(regexp_replace(clean, '{GAP}+', ' '@g)) AS line"],
@@ -201,6 +202,7 @@ def quote_candidates(spark, sf_dir):
     return with_steps(contexts.contexts(spark, sf_dir), _QUOTES).select("context_id", F.size("good").cast("long").alias("n"), "quotes")
 
 
+# Mathematical objects.
 OBJECTS = ["ma trận", "đồ thị", "cây", "tập hợp", "hoán vị", "chỉnh hợp", "tổ hợp", "xác suất", "mệnh đề", "hàm số", "phương trình", "vector", "không gian"]
 _LABELS = [
     ["lower(clean) AS low"],
@@ -292,6 +294,7 @@ def latex_forms(spark, sf_dir):
     return with_steps(rules.candidates(spark, sf_dir), _groups(_LATEX, "$")).select("item_id", "latex")
 
 
+# Labels that a reply leaks.
 _LEAK = "(answer explanation|reasoning|explanation|lời giải|giải thích) *:"
 _SHOWN = [
     ["stem || CASE item_id % 3 WHEN 0 THEN ' Reasoning: because' WHEN 1 THEN ' ,' ELSE '' END AS raw"],

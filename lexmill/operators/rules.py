@@ -192,6 +192,7 @@ def issue_codes(spark, sf_dir):
 
 _KEYS = ["chr(CAST(65 + (item_id + {0}) % (4 + CASE item_id % 11 WHEN 0 THEN 1 ELSE 0 END) AS INT)) AS k{0}".format(k) for k in range(4)]
 _KEYS.append("CASE item_id % 13 WHEN 0 THEN 'E' WHEN 1 THEN '' ELSE chr(CAST(65 + item_id % 4 AS INT)) END AS answer_key")
+# Names of what is wrong with a record, in order.
 RECORD = [
     "CASE WHEN NOT (array_contains(@list(k0, k1, k2, k3), 'A') AND array_contains(@list(k0, k1, k2, k3), 'B') AND array_contains(@list(k0, k1, k2, k3), 'C') AND array_contains(@list(k0, k1, k2, k3), 'D')) THEN 'option_keys_invalid' END",
     "CASE WHEN answer_key NOT IN ('A', 'B', 'C', 'D') THEN 'answer_key_invalid' END",
@@ -236,7 +237,9 @@ def stem_numbers(spark, sf_dir):
 _NONNEG = "contains(c_text, 'khongam') OR @rx(c_raw, '[fg][(]x[)](>=|≥)0|0(<=|≤)[fg][(]x[)]') OR contains(c_raw, 'x)' || chr(92) || 'ge0')"
 _START = "@rx(raw, '[fsvFSV] *[(] *0 *[)]')"
 #: An integral from a letter to the same letter; powers are written with ~.
+# The letters are listed, as one of the engines has no back references.
 _ZERO = "∫ *_ *(" + "|".join(f"[{{]? *{x} *[}}]? *~ *[{{]? *{x}" for x in string.ascii_letters) + ")"
+# The cores' names and words, in the order in which they decide.
 CORE = f"""CASE WHEN integral AND ({_NONNEG}) AND ({_in('text', 'khong am', 'khong duong', 'khong nho hon 0', '>= 0', 'ge 0', '≥ 0')} OR {_in('c_text', '>=0', '≥0', '0<=', '0≤')}) THEN 'integral_positivity_property'
  WHEN integral AND @rx(replace(raw, '^', '~'), '{_ZERO}') THEN 'integral_zero_interval_property'
  WHEN contains(text, 'dien tich') AND {_in('text', 'do thi', 'hinh phang')} THEN 'area_between_graphs'
