@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F, Window as W
 
 from lexmill.functions import text as T
 from lexmill.functions.order import placed
+from lexmill.functions.shared import cut
 from lexmill.plans.registry import query, read
 
 _STRIP = r"regexp_replace({}, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')"
@@ -148,6 +149,10 @@ def exercise_stripping(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count_if(~F.col("skip") & (F.col("line") != "")).alias("kept"), F.count_if("skip").alias("dropped"))
 
 
+#: Topics that a plan may name.
+MOST_TOPICS = 10_000
+
+
 @query(
     """WITH w AS (SELECT c_custkey, lower(CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN substr(c_mktsegment, 1, 4) ELSE 'nothing like it' END) AS want FROM customer), t AS (SELECT DISTINCT lower(c_mktsegment) AS topic FROM customer)
 SELECT c_custkey, coalesce((SELECT topic FROM t WHERE topic = want), (SELECT min(topic) FROM t WHERE contains(topic, want) OR contains(want, topic)), (SELECT min(topic) FROM t)) AS topic FROM w"""
@@ -157,9 +162,11 @@ def topic_tiers(spark, sf_dir):
     rows = read(spark, sf_dir, "customer")
     want = F.lower(F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.substring("c_mktsegment", 1, 4)).otherwise("nothing like it"))
     rows_ = rows.select("c_custkey", want.alias("want"))
-    # topics and wants are few: they are joined once each, then looked up by equality
-    topics = rows.select(F.lower("c_mktsegment").alias("topic")).distinct()
-    near = rows_.select("want").distinct().crossJoin(topics)
+    # topics are counted to be few; each distinct want meets them once, and rows look their want up by equality
+    topics = cut(rows.select(F.lower("c_mktsegment").alias("topic")).distinct())
+    if topics.limit(MOST_TOPICS + 1).count() > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} topics")
+    near = rows_.select("want").distinct().crossJoin(F.broadcast(topics))
     best = near.groupBy("want").agg(F.max(F.when(F.col("topic") == F.col("want"), F.col("topic"))).alias("same"), F.min(F.when(F.contains("topic", "want") | F.contains("want", "topic"), F.col("topic"))).alias("part"), F.min("topic").alias("first"))
     return rows_.join(best, "want").select("c_custkey", F.coalesce("same", "part", "first").alias("topic"))
 
