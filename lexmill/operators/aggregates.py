@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
+from lexmill.functions.shared import cut
 from lexmill.plans.registry import query, read
 
 LONG, TOO_LONG = 30_000, 120_000
@@ -179,3 +180,69 @@ def attach_contexts(spark, sf_dir):
     """Cached values on their units, with a default where there are none."""
     rows = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return rows.select("doc_id", F.coalesce("quality", F.lit(-1)).cast("long").alias("quality"), F.col("quality").isNotNull().alias("labelled"))
+
+
+# What a user is told for the reasons that lead, and how much of a report there is.
+HINTS = {
+    "Grounding/quote nhiều lần fail — thử expand context hoặc chọn chunk khác bám sát chủ đề slot.": ["grounding_low", "quote_mismatch"],
+    "Tài liệu thiếu căn cứ cho slot — bỏ slot này hoặc đổi sang chủ đề có trong PDF.": ["context_missing"],
+    "Verifier reject nhiều — thử tăng num_samples hoặc kiểm verifier_hint payload.": ["verifier_failed"],
+    "Distractor yếu — kiểm misconception list trong plan, hoặc giảm độ khó.": ["bad_distractors", "distractor_validator_failed"],
+    "Trùng câu — giảm num_questions hoặc thêm chủ đề khác.": ["duplicate", "duplicate_question"],
+    "Quality liên tục thấp — xem traits/critique và cân nhắc đổi JUDGE_MODEL mạnh hơn.": ["quality_low"],
+    "User instruction không khớp — chỉnh focus_topics/style hoặc giảm strict_grounding.": ["customization_mismatch"],
+}
+RECENT, TOP_SLOTS, TOP_REASONS = 12, 8, 3
+_HINT = "CASE " + " ".join(f"WHEN code IN ({', '.join(map(repr, codes))}) THEN '{text}'" for text, codes in HINTS.items()) + " END"
+
+
+def reject_summary_of(logs: DataFrame) -> DataFrame:
+    """(part, place, name, n) of log entries (record, slot, pos, code, stage): a report in five parts.
+
+    Counts by reason and by stage (place null), the last records in order with their last reason and their entries, the slots with most
+    records, and hints for the leading reasons, each once. The limits of the last three are the report's own; no part is
+    gathered in one task before it is cut to them.
+    """
+    none = F.lit(None).cast("long")
+    reasons = cut(logs.groupBy("code").agg(F.count("*").alias("n")))
+    stages = logs.filter("stage is not null").groupBy("stage").agg(F.count("*").alias("n"))
+    records = cut(logs.groupBy("record").agg(F.max("pos").alias("pos"), F.max_by("code", "pos").alias("code"), F.max_by("slot", "pos").alias("slot"), F.count("*").alias("n")))
+    numbered = lambda rows, *order: rows.orderBy(*order).withColumn("place", F.row_number().over(W.orderBy(*order)).cast("long"))
+    recent = numbered(records.orderBy(F.desc("pos")).limit(RECENT), "pos")
+    slots = numbered(records.groupBy("slot").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "slot").limit(TOP_SLOTS), F.desc("n"), "slot")
+    leading = numbered(reasons.orderBy(F.desc("n"), "code").limit(TOP_REASONS), F.desc("n"), "code").withColumn("hint", F.expr(_HINT)).filter("hint is not null")
+    hints = leading.groupBy("hint").agg(F.min("place").alias("place"), F.max_by("n", "n").alias("n"))
+    parts = [
+        reasons.select(F.lit("reason").alias("part"), none.alias("place"), F.col("code").alias("name"), "n"),
+        stages.select(F.lit("stage"), none, "stage", "n"),
+        recent.select(F.lit("recent"), "place", F.concat_ws(":", "record", "code"), "n"),
+        slots.select(F.lit("slot"), "place", F.col("slot").cast("string"), "n"),
+        hints.select(F.lit("hint"), "place", "hint", "n"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+_LOG = {
+    "record": "user_id",
+    "slot": "user_id % 40",
+    "pos": "event_id",
+    "code": "CASE event_type WHEN 'error' THEN 'verifier_failed' WHEN 'signup' THEN 'quality_low' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'duplicate' ELSE 'duplicate_question' END WHEN 'click' THEN 'grounding_low' ELSE 'format_error' END",
+    "stage": "CASE event_id % 4 WHEN 0 THEN 'critic' WHEN 1 THEN 'verifier' WHEN 2 THEN 'final' END",
+}
+
+
+@query(
+    f"""WITH l AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _LOG.items())} FROM events), c AS (SELECT code, count(*) AS n FROM l GROUP BY code),
+r AS (SELECT record, max(pos) AS pos, max_by(code, pos) AS code, max_by(slot, pos) AS slot, count(*) AS n FROM l GROUP BY record),
+h AS (SELECT *, row_number() OVER (ORDER BY n DESC, code) AS place FROM c QUALIFY place <= {TOP_REASONS}), t AS (SELECT *, {_HINT} AS hint FROM h)
+SELECT 'reason' AS part, NULL::BIGINT AS place, code AS name, n FROM c UNION ALL SELECT 'stage', NULL, stage, count(*) FROM l WHERE stage IS NOT NULL GROUP BY stage
+UNION ALL SELECT 'recent', row_number() OVER (ORDER BY pos), record || ':' || code, n FROM (SELECT * FROM r ORDER BY pos DESC LIMIT {RECENT})
+UNION ALL SELECT 'slot', row_number() OVER (ORDER BY n DESC, slot), slot::VARCHAR, n FROM (SELECT slot, count(*) AS n FROM r GROUP BY slot ORDER BY n DESC, slot LIMIT {TOP_SLOTS})
+UNION ALL SELECT 'hint', min(place), hint, max(n) FROM t WHERE hint IS NOT NULL GROUP BY hint"""
+)
+def reject_report(spark, sf_dir):
+    """The whole report of a job's rejects: reasons, stages, the last twelve, the worst slots, and what to try."""
+    return reject_summary_of(read(spark, sf_dir, "events").selectExpr(*(f"{x} AS {n}" for n, x in _LOG.items())))
