@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .text import Words, documents, map_slices, mix, slices, stored, training_rows, unused
@@ -19,6 +20,8 @@ BITS = 18
 TRAIN_ROWS = 12_000
 SHARDS = 6
 ROUNDS = 3
+#: Slots whose updates are one row.
+BLOCK = 1 << 12
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.001, 0.01
 
 _CLASS = np.full(256, 4, np.uint8)
@@ -85,6 +88,35 @@ class Ftrl:
         self.n[i] += g * g
 
 
+def updates(shares: DataFrame, given: Broadcast) -> DataFrame:
+    """(block, sums) of a round: the updates that all shares make to a broadcast state, as packed z and n of each BLOCK slots."""
+
+    def learn(batches):
+        model = Ftrl(given.value)
+        for batch in batches:
+            for part, buf, offsets in slices(batch, "text"):
+                slots, first = features(buf, offsets)
+                for i, label in enumerate(part.column("label").to_pylist()):
+                    model.learn(slots[first[i] : first[i + 1]], label)
+        moved = np.flatnonzero((model.z != given.value[0]) | (model.n != given.value[1]))
+        block, first = np.unique(moved // BLOCK, return_index=True)
+        share, sent = TaskContext.get().partitionId(), []
+        for own in np.split(moved, first[1:]) if len(moved) else []:
+            sent.append((own % BLOCK).tobytes() + (model.z[own] - given.value[0][own]).tobytes() + (model.n[own] - given.value[1][own]).tobytes())
+        yield pa.record_batch({"block": pa.array(block, pa.int64()), "share": pa.array([share] * len(sent), pa.int64()), "sent": pa.array(sent, pa.binary())})
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.zeros((2, BLOCK))
+        # in the shares' order, so that rounding doesn't follow that of arrival
+        for _, sent in sorted(zip(group.column("share").to_pylist(), group.column("sent").to_pylist(), strict=True)):
+            at, (z, n) = np.frombuffer(sent, np.int64, len(sent) // 24), np.frombuffer(sent, np.float64, offset=len(sent) // 3).reshape(2, -1)
+            total[0][at] += z
+            total[1][at] += n
+        return pa.table({"block": group.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return shares.mapInArrow(learn, "block long, share long, sent binary").groupBy("block").applyInArrow(added, "block long, sums binary")
+
+
 def train(rows: DataFrame) -> np.ndarray:
     """Weights from rows (doc_id, text, label): SHARDS tasks learn from their share, the sum of their updates begins the next round.
 
@@ -95,21 +127,11 @@ def train(rows: DataFrame) -> np.ndarray:
     shares = stored(rows).repartition(SHARDS, deal).sortWithinPartitions(deal, "doc_id", F.xxhash64("text")).select("text", "label")
     for _ in range(ROUNDS):
         given = spark.sparkContext.broadcast(state)
-
-        def learn(batches, given=given):
-            model = Ftrl(given.value)
-            for batch in batches:
-                for part, buf, offsets in slices(batch, "text"):
-                    slots, first = features(buf, offsets)
-                    for i, label in enumerate(part.column("label").to_pylist()):
-                        model.learn(slots[first[i] : first[i + 1]], label)
-            moved = np.flatnonzero((model.z != given.value[0]) | (model.n != given.value[1]))
-            yield pa.record_batch({"slot": pa.array(moved, pa.int64()), "z": model.z[moved] - given.value[0][moved], "n": model.n[moved] - given.value[1][moved]})
-
-        # at most 2**BITS rows, whatever the input
-        step = shares.mapInArrow(learn, "slot long, z double, n double").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
-        state[0][step["slot"]] += step["z"]
-        state[1][step["slot"]] += step["n"]
+        # 2**BITS / BLOCK rows at most, whatever the input
+        step = updates(shares, given).collect()
+        for r in step:
+            state[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["sums"]).reshape(2, -1)
+        given.destroy()
     return Ftrl(state).weights(np.arange(2**BITS))
 
 

@@ -574,5 +574,26 @@ def test_quality_by_plain_features_and_any_partitioning(spark):
         assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-max(-30, min(30, total)))), rel_tol=1e-4)
 
 
+def test_updates_reach_the_driver_in_blocks(spark):
+    """A round's updates are the plain sum of the shares', in a few packed rows and not one for each slot."""
+    rng = random.Random(11)
+    rows = [(" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)), rng.randint(0, 1)) for _ in range(300)]
+    shares = [rows[0::3], rows[1::3], rows[2::3]]
+    state = np.abs(np.random.default_rng(2).normal(size=(2, 2**quality.BITS)))
+    plain = np.zeros_like(state)
+    for share in shares:
+        model = quality.Ftrl(state)
+        for text, label in share:
+            model.learn(quality.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0], label)
+        plain += np.stack([model.z, model.n]) - state
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(shares, 3).flatMap(lambda x: x), "text string, label int")
+    got = quality.updates(frame, spark.sparkContext.broadcast(state)).collect()
+    assert len(got) == 2**quality.BITS // quality.BLOCK and np.count_nonzero(plain[1]) > 50_000
+    summed = np.zeros_like(state)
+    for r in got:
+        summed[:, r.block * quality.BLOCK : (r.block + 1) * quality.BLOCK] = np.frombuffer(r.sums).reshape(2, -1)
+    assert np.allclose(summed, plain, atol=1e-12)
+
+
 def test_all_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
