@@ -28,6 +28,8 @@ from .text import Words, documents, mix, numbered, slices, stored, tidy, trainin
 
 #: Bytes of texts in a slice.
 SLICE_BYTES = 32 << 20
+#: Bytes of names that are hashed together, and tokens that are added up together.
+NAMES_BYTES, TOKENS = 1 << 19, 1 << 20
 #: Customers of the contexts of a part, on average, and words that slices send to a bucket.
 PART_TOKENS, BUCKET_WORDS = 3 << 20, 1 << 19
 #: Customers from which a context is dealt in pieces: so many, or a hundred thousandth of all, so 100,000 words are hot at most.
@@ -44,9 +46,12 @@ _ZSTD = pa.Codec("zstd", compression_level=7)
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers in one compressed block, byte by byte of their places."""
-    planes = [np.array([len(a) for a in arrays], np.int64).tobytes()]
-    planes += [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
-    raw = b"".join(planes)
+    head = np.array([len(a) for a in arrays], np.int64).view(np.uint8)
+    raw, at = np.empty(len(head) + sum(a.nbytes for a in arrays), np.uint8), len(head)
+    raw[:at] = head
+    for a in arrays:
+        raw[at : at + a.nbytes].reshape(a.itemsize, len(a))[:] = a.view(np.uint8).reshape(len(a), a.itemsize).T
+        at += a.nbytes
     return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
@@ -74,18 +79,23 @@ def sliced(docs: DataFrame) -> DataFrame:
 
     def made(held: list[tuple]) -> pa.RecordBatch:
         ids, keys, names, at, sizes, learn = map(list, zip(*held, strict=True))
+        held.clear()
         start = np.cumsum([0, *map(len, keys)])
         distinct, rep, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         for k, x in enumerate(at):
             at[k] = np.append(which[start[k] : start[k + 1]], len(distinct)).astype(np.int32)[x]
         tokens = np.concatenate(at)
         at.clear()
+        del keys, which
         # the distinct words by how often they stand here, then the end
         order = np.argsort(-np.bincount(tokens, minlength=len(distinct) + 1)[:-1], kind="stable")
         rank = np.empty(len(distinct) + 1, np.uint32)
         rank[order], rank[-1] = np.arange(len(distinct)), len(distinct)
         words = pa.concat_arrays(names).take(pa.array(rep[order]))
-        blob = pack(np.frombuffer(b" ".join([*words.to_pylist(), MARK]), np.uint8)), pack(rank[tokens], np.concatenate(sizes).astype(np.uint32), np.concatenate(learn))
+        names.clear()
+        words = np.frombuffer(b" ".join([*words.to_pylist(), MARK]), np.uint8)
+        tokens = rank[tokens]
+        blob = pack(words), pack(tokens, np.concatenate(sizes).astype(np.uint32), np.concatenate(learn))
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
         row = [uuid.uuid4().int >> 65, [i for x in ids for i in x], len(distinct) + 1, *blob]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SLICES.split(", ")])
@@ -96,7 +106,7 @@ def sliced(docs: DataFrame) -> DataFrame:
             for rows, buf, offsets in slices(batch, "text"):
                 if held and size + len(buf) > SLICE_BYTES:
                     yield made(held)
-                    held, size = [], 0
+                    size = 0
                 found = Words(buf, offsets, lower=True)
                 keys, rep, which = np.unique(found.hash, return_index=True, return_inverse=True)
                 names = pa.array([found.buf[a:b].tobytes() for a, b in zip(found.start[rep], found.end[rep], strict=True)], pa.binary())
@@ -105,15 +115,22 @@ def sliced(docs: DataFrame) -> DataFrame:
                 size += len(buf)
         if held:
             yield made(held)
-        held.clear()
         tidy()
 
     rows = docs.select("doc_id", "text", training_rows(5).alias("learn"))
     return rows.mapInArrow(run, SLICES)
 
 
-def hashes(names: np.ndarray) -> np.ndarray:
-    return Words(names, np.array([0, len(names)])).hash
+def hashes(names: np.ndarray, step: int = NAMES_BYTES) -> np.ndarray:
+    """Hashes of words with a space between each two; step bytes, to the end of a word, are looked at together."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(names):
+        to = min(len(names), at + step)
+        while to < len(names) and names[to] != 0x20:
+            to += 1
+        out.append(Words(names[at:to], np.array([0, to - at])).hash)
+        at = to
+    return np.concatenate(out)
 
 
 class Slice:
@@ -144,24 +161,31 @@ class Pairs:
     def __init__(self, own: Slice, parts: int, hot: tuple[np.ndarray, np.ndarray]):
         n = len(own.h)
         # the end of a text stands before the next one, and the last one's before the first
-        code = np.roll(own.at, 1).astype(np.int64)
+        code = np.empty(len(own.at), np.int64)
+        code[:1], code[1:] = own.at[-1:], own.at[:-1]
         code *= n
         code += own.at
         code, self.which = numbered(code)
-        self.times = np.bincount(self.which[own.taught], minlength=len(code)).astype(np.uint32)
-        self.u, self.w = (code // n).astype(np.int32), (code % n).astype(np.int32)
+        self.u, self.w, self.times = np.empty(len(code), np.int32), np.empty(len(code), np.int32), np.zeros(len(code), np.uint32)
+        np.floor_divide(code, n, out=self.u, casting="unsafe")
+        np.remainder(code, n, out=self.w, casting="unsafe")
         del code
-        pieces = np.ones(n, np.uint64)
+        for a in range(0, len(self.which), TOKENS):
+            np.add.at(self.times, self.which[a : a + TOKENS][own.taught[a : a + TOKENS]], np.uint32(1))
+        part = (mix(own.h) % np.uint64(parts)).astype(np.int32)[self.u]
         keys, several = hot
         if len(keys):
             k = np.minimum(np.searchsorted(keys, own.h), len(keys) - 1)
             pieces = np.where(keys[k] == own.h, several[k], 1).astype(np.uint64)
-        piece = mix(own.h >> _TOLD << _TOLD)[self.w] % pieces[self.u] * np.uint64(0x9E3779B97F4A7C15)
-        part = (mix(own.h[self.u] + piece) % np.uint64(parts)).astype(np.int32)
-        del piece
+            dealt, told = np.flatnonzero((pieces > 1)[self.u]), mix(own.h >> _TOLD << _TOLD)
+            for a in range(0, len(dealt), TOKENS):
+                some = dealt[a : a + TOKENS]
+                piece = told[self.w[some]] % pieces[self.u[some]] * np.uint64(0x9E3779B97F4A7C15)
+                part[some] = mix(own.h[self.u[some]] + piece) % np.uint64(parts)
         self.order = np.argsort(part, kind="stable").astype(np.int32)
-        self.parts, first = np.unique(part[self.order], return_index=True)
-        self.bounds = np.append(first, len(part))
+        bounds = np.searchsorted(part[self.order], np.arange(parts + 1, dtype=np.int32))
+        self.parts = np.flatnonzero(np.diff(bounds))
+        self.bounds = np.append(bounds[self.parts], len(part))
 
     def dealt(self):
         """(part, the places of its pairs, its first words, and how many pairs each of these has)."""
@@ -364,34 +388,42 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def rate(texts: pa.Table, known: pa.Table) -> pa.Table:
         own = Slice(texts.column("words")[0].as_py(), texts.column("tokens")[0].as_py())
-        block = dict(zip(zip(known.column("part").to_pylist(), known.column("bucket").to_pylist(), strict=True), known.column("answer").to_pylist(), strict=True))
+        # answers are read one by one, when they are needed
+        place = {k: i for i, k in enumerate(zip(known.column("part").to_pylist(), known.column("bucket").to_pylist(), strict=True))}
+        block = lambda *k: known.column("answer")[place[k]].as_py()
         n, lp = np.zeros(len(own.h), np.int64), np.zeros(len(own.h))
         for bucket, at in own.by_bucket(buckets):
-            n[at], lp[at] = unpack(block[None, bucket], np.int64, np.float32)
-        pairs = Pairs(own, parts, given.value)
-        held, back, back_of = np.zeros(len(pairs.u)), np.zeros(len(pairs.u)), np.zeros(len(own.h))
-        for part, at, u, _ in pairs.dealt():
-            c, sent, room = unpack(block[part, None], np.uint32, np.uint32, np.uint64)
-            held[at] = np.maximum(c - DISCOUNT * sent / KEPT, 0)
-            back_of[u] = room / KEPT
-            back[at] = back_of[pairs.u[at]]
-        keys = given.value[0]
+            n[at], lp[at] = unpack(block(None, bucket), np.int64, np.float32)
+        lp *= LN10
+        pairs, keys = Pairs(own, parts, given.value), given.value[0]
+        score, back_of = np.zeros(len(pairs.u)), np.zeros(len(own.h))
         if len(keys):
             k = np.minimum(np.searchsorted(keys, own.h), len(keys) - 1)
-            back = np.where((keys[k] == own.h)[pairs.u], hot_tables.value[k][pairs.u], back)
-        room = STRENGTH + n[pairs.u]
-        with np.errstate(divide="ignore"):
-            held /= room
-            back = np.log((STRENGTH + DISCOUNT * back) / room)
-            back += lp[pairs.w] * LN10
-            score = np.logaddexp(np.log(held, out=held), back, out=back)
-            score /= LN10
+            shared, told_tables = keys[k] == own.h, hot_tables.value[k]
+        for part, at, u, _ in pairs.dealt():
+            c, sent, tables = unpack(block(part, None), np.uint32, np.uint32, np.uint64)
+            before = pairs.u[at]
+            back_of[u] = tables / KEPT
+            if len(keys):
+                back_of[u] = np.where(shared[u], told_tables[u], back_of[u])
+            room = STRENGTH + n[before]
+            with np.errstate(divide="ignore"):
+                held = np.log(np.maximum(c - DISCOUNT * sent / KEPT, 0) / room)
+                back = np.log((STRENGTH + DISCOUNT * back_of[before]) / room) + lp[pairs.w[at]]
+            score[at] = np.logaddexp(held, back) / LN10
         base = np.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        first = np.cumsum(own.sizes.astype(np.int64)) - own.sizes
-        del block, held, back_of, room
-        cols = [own.sizes.astype(np.int64), *(np.add.reduceat(v, first) for v in ((n > 0).astype(np.int64)[own.at], base[own.at], score[pairs.which]))]
-        del pairs, score, base
+        which, first = pairs.which, np.cumsum(own.sizes.astype(np.int64)) - own.sizes
+        del pairs, lp, back_of
         tidy()
+        cols, seen = [own.sizes.astype(np.int64)], (n > 0).astype(np.int64)
+        # a run of texts that begin in the same TOKENS tokens, or one longer text
+        cuts = np.append(np.flatnonzero(np.diff(first // TOKENS, prepend=-1)), len(first))
+        for value, of in ((seen, own.at), (base, own.at), (score, which)):
+            total = np.empty(len(first), value.dtype)
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                a, b = first[i], first[j] if j < len(first) else len(of)
+                total[i:j] = np.add.reduceat(value[of[a:b]], first[i:j] - a)
+            cols.append(total)
         return pa.Table.from_arrays([texts.column("doc_id").combine_chunks().flatten(), *map(pa.array, cols)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     last = last.withColumn("bucket", F.pmod("key", F.lit(buckets)))

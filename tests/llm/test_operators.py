@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -16,6 +17,7 @@ import pytest
 
 from lexmill.llm import components, counts, decontaminate, exact, html, induced, jaccard, pitmanyor, quality, queries, seating, sentencepieces, spelling, substring, suffix
 from lexmill.llm.induced import Sorter
+from lexmill.llm.text import mix
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, score double, key long, block string, n long, lang string"
@@ -422,6 +424,28 @@ def test_language_model_sees_the_order_of_words(spark):
     assert got[1000] > got[1001] + 2
 
 
+def test_language_model_tasks_in_bounded_memory():
+    """A slice's words are hashed and its pairs dealt a few at a time, with the same results."""
+    rng = np.random.default_rng(4)
+    names = " ".join(f"w{i:x}" * (1 + i % 5) for i in range(60_000)).encode() + b" \xff"
+    flat = np.frombuffer(names, np.uint8)
+    whole = pitmanyor.hashes(flat, len(flat))
+    assert len(whole) == 60_001 and all(np.array_equal(whole, pitmanyor.hashes(flat, k)) for k in (7, 1 << 12))
+    tokens = np.append(rng.integers(0, 60_000, 999_999), 60_000).astype(np.uint32)
+    own = pitmanyor.Slice(pitmanyor.pack(flat), pitmanyor.pack(tokens, np.array([1_000_000], np.uint32), np.array([True])))
+    tracemalloc.start()
+    pitmanyor.hashes(flat)
+    names_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pairs = pitmanyor.Pairs(own, 9, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    pairs_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names_peak < 20e6 and pairs_peak < 42e6
+    u, w = own.h[np.roll(own.at, 1)], own.h[own.at]
+    assert np.array_equal(own.h[pairs.u][pairs.which], u) and np.array_equal(own.h[pairs.w][pairs.which], w)
+    assert all((mix(own.h[us]) % np.uint64(9) == part).all() for part, _, us, _ in pairs.dealt())
+
+
 def test_language_model_splits_hot_contexts(spark, monkeypatch):
     rng = random.Random(3)
     docs = spark.createDataFrame([(k, " ".join("the " + rng.choice("abcdefgh") * rng.randint(1, 40) for _ in range(60))) for k in range(60)], "doc_id long, text string")
