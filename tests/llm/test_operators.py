@@ -224,6 +224,29 @@ def test_suffix(docs, texts, empty):
     assert suffix.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_with_a_key_in_several_files(spark):
+    """A key's pieces are sorted in one task, also where the join with its keys becomes a broadcast of which each file is read alone."""
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [prose(450) for _ in range(20)]
+    texts = [prose(200) + passages[k % 20] + prose(200) for k in range(60)]
+    seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    want = {}
+    for i, t in enumerate(texts):
+        want[i] = len({p for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for p in range(k, k + 400)})
+    # several files, and joins that are planned as sorts and become broadcasts when sizes are known
+    conf = {"coalescePartitions.enabled": "false", "autoBroadcastJoinThreshold": "10m"}
+    conf = {f"spark.sql.adaptive.{k}": v for k, v in conf.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = suffix.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert {r.doc_id: r.n_removed for r in got} == want
+
+
 def test_pieces_of_a_long_text(monkeypatch):
     rng = np.random.default_rng(5)
     passage, fill = rng.integers(97, 101, 700), lambda: rng.integers(97, 123, 900)
