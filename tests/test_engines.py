@@ -59,6 +59,24 @@ def test_modular_powers(spark):
     assert spark.sql(f"SELECT {numbers.mod_pow('3L', '4194304L', '97L')} AS p").first()["p"] == 61
 
 
+def test_terms(spark):
+    """Terms against steps one by one, of any order, with moduli of one to 63 bits; rows that have none are null."""
+    rng = random.Random(5)
+    for k in (1, 3, 4):
+        rows = [tuple(rng.randint(-9, 9) for _ in range(2 * k)) + (rng.choice([0, 1, 2, 40, 70_000]), rng.choice([1, 2, 97, 1 << 30, 1_000_000_007, 2**31, 2**62, 2**63 - 25])) for _ in range(60)]
+        rows += [(1,) * 2 * k + (-1, 7), (1,) * 2 * k + (5, 0), (None,) * 2 * k + (5, 7)]
+        c, u = [f"c{i}" for i in range(k)], [f"u{i}" for i in range(k)]
+        frame = spark.createDataFrame(rows, ", ".join(f"{x} long" for x in [*c, *u, "n", "m"]))
+        for r in numbers.with_terms(frame, c, u, "n", "m", "v").collect():
+            if r.n < 0 or not r.m or r.c0 is None:
+                assert r.v is None
+                continue
+            held = [r[x] % r.m for x in u]
+            for _ in range(r.n):
+                held = [*held[1:], sum(r[x] * held[-1 - i] for i, x in enumerate(c)) % r.m]
+            assert r.v == held[0]
+
+
 def test_recurrences(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(-5, 9), rng.randrange(-5, 9), rng.randrange(9), rng.randrange(9), rng.randrange(300), rng.choice([1, 97, 2**63 - 25])) for _ in range(60)]
