@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as S
 
-from lexmill.functions.shared import cut
+from lexmill.functions.shared import cut, few_or_all
 from lexmill.plans.registry import query, read
 
 # -- modular arithmetic -----------------------------------------------------------------------------------------------
@@ -183,25 +183,108 @@ def labels(edges: DataFrame) -> DataFrame:
             return state
 
 
+def smallest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of n nodes that each is linked with by edges a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        up = label.copy()
+        np.minimum.at(up, label[a], low)
+        np.minimum.at(up, label[b], low)
+        while (up != up[up]).any():
+            up = up[up]
+        if (up == label).all():
+            return up
+        label = up
+
+
+def facts_of(graph: np.ndarray, u: np.ndarray, v: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The facts of graphs numbered from 0 on; rows that are alone have a vertex u and no edge."""
+    pairs, node = np.unique(np.stack([np.concatenate([graph, graph[~alone]]), np.concatenate([u, v[~alone]])]), axis=1, return_inverse=True)
+    owner, n = pairs[0], pairs.shape[1]
+    node = node.reshape(-1)
+    ends = np.unique(np.stack([node[: len(u)][~alone], node[len(u) :]]), axis=1)
+    a, b = ends
+    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    # each vertex twice, edges crossing over: the two meet where a walk of odd length leads back
+    label = smallest(np.concatenate([2 * a, 2 * a + 1]), np.concatenate([2 * b + 1, 2 * b]), 2 * n).reshape(n, 2)
+    first = label.min(axis=1) >> 1 == np.arange(n)
+    graphs = int(owner.max(initial=-1)) + 1
+    count = lambda mask: np.bincount(owner[mask], minlength=graphs)
+    most = np.zeros(graphs, np.int64)
+    np.maximum.at(most, owner, degree)
+    total = np.bincount(owner, degree, graphs).astype(np.int64)
+    return count(slice(None)), total // 2, total, most, count(degree % 2 == 1), count(first) == 1, count((label[:, 0] == label[:, 1]) & (degree > 0)) == 0
+
+
+def facts_in_tasks(rows: DataFrame) -> DataFrame:
+    """The facts of graphs of few rows (graph, u, v), where v is null for a vertex alone; a task takes some thousands at once."""
+    kinds = {c: S.LongType() for c in ("vertices", "edges", "degree_sum", "max_degree", "odd")} | {c: S.BooleanType() for c in ("connected", "bipartite")}
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        graph = table.column("graph").combine_chunks().dictionary_encode(null_encoding="encode")
+        alone = table.column("v").is_null().to_numpy()
+        facts = facts_of(graph.indices.to_numpy(), table.column("u").to_numpy(), table.column("v").fill_null(0).to_numpy(), alone)
+        return pa.RecordBatch.from_arrays([graph.dictionary, *map(pa.array, facts)], ["graph", *kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            # the last graph may go on in the next batch
+            codes = held.column("graph").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            whole = int(np.searchsorted(codes, codes[-1]))
+            if whole:
+                yield told(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield told(held)
+
+    dealt = rows.select("graph", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    # by a hash, so that no join before counts as having dealt them
+    dealt = dealt.repartition(F.xxhash64("graph")).sortWithinPartitions("graph")
+    return dealt.mapInArrow(run, S.StructType([dealt.schema["graph"], *(S.StructField(c, k) for c, k in kinds.items())]))
+
+
+#: Rows of a graph that a task may take whole; larger ones are spread over tasks.
+SMALL = 10_000
+
+
 def graph_facts(edges: DataFrame, alone: DataFrame | None = None) -> DataFrame:
     """One row a graph of undirected edges (graph, u, v), repeated ones being one, and vertices (graph, u) that may have none.
 
     vertices, edges, degree_sum, max_degree, odd (vertices), connected, bipartite, eulerian, eulerian_path, tree. A loop adds
     two to its vertex's degree, and no graph with one is bipartite or a tree. Vertices are long numbers.
     """
+    rows = edges.select("graph", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u is not null")
+    if alone is not None:
+        rows = rows.unionByName(alone.select("graph", "u", F.lit(None).cast("long").alias("v")).filter("u is not null"))
+    large = cut(rows.groupBy("graph").agg(F.count("*").alias("n")).filter(f"n > {SMALL}").select(F.col("graph").alias("other")))
+    of = few_or_all(large)
+    same = F.col("graph").eqNullSafe(F.col("other"))
+    out = facts_in_tasks(rows.join(of, same, "left_anti"))
+    if not large.isEmpty():
+        most = rows.join(of, same, "left_semi")
+        out = out.unionByName(spread_facts(most.filter("v is not null"), most.filter("v is null").select("graph", "u")).select(*out.columns))
+    c = F.col("connected")
+    return out.select("*", (c & (F.col("odd") == 0)).alias("eulerian"), (c & F.col("odd").isin(0, 2)).alias("eulerian_path"), (c & (F.col("edges") == F.col("vertices") - 1)).alias("tree"))
+
+
+def spread_facts(edges: DataFrame, alone: DataFrame) -> DataFrame:
+    """The facts of graphs of any size, vertex by vertex."""
     edges = cut(edges.select("graph", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     ends = edges.select("graph", F.explode(F.array("u", "v")).alias("node"))
     degrees = ends.groupBy("graph", "node").agg(F.count("*").alias("degree"))
-    if alone is not None:
-        degrees = degrees.unionByName(alone.select("graph", F.col("u").alias("node"), F.lit(0).cast("long").alias("degree"))).groupBy("graph", "node").agg(F.max("degree").alias("degree"))
+    degrees = degrees.unionByName(alone.select("graph", F.col("u").alias("node"), F.lit(0).cast("long").alias("degree"))).groupBy("graph", "node").agg(F.max("degree").alias("degree"))
     # each vertex twice, edges crossing over: the two meet where a walk of odd length leads back
     twice = edges.select("graph", (F.col("u") * 2).alias("u"), (F.col("v") * 2 + 1).alias("v")).union(edges.select("graph", F.col("u") * 2 + 1, F.col("v") * 2))
     found = labels(twice).groupBy("graph", F.shiftright("node", 1).alias("node")).agg(F.shiftright(F.min("label"), 1).alias("part"), (F.min("label") != F.max("label")).alias("even"))
     rows = degrees.join(found, ["graph", "node"], "left").withColumn("part", F.coalesce("part", "node"))
     parts = rows.groupBy("graph", "part").agg(F.count("*").alias("n"), F.sum("degree").alias("degrees"), F.max("degree").alias("most"), F.count_if(F.col("degree") % 2 == 1).alias("odd"), F.bool_and(F.coalesce("even", F.lit(True))).alias("even"))
-    out = parts.groupBy("graph").agg(F.sum("n").alias("vertices"), F.expr("sum(degrees) div 2").alias("edges"), F.sum("degrees").alias("degree_sum"), F.max("most").alias("max_degree"), F.sum("odd").alias("odd"), (F.count("*") == 1).alias("connected"), F.bool_and("even").alias("bipartite"))
-    c = F.col("connected")
-    return out.select("*", (c & (F.col("odd") == 0)).alias("eulerian"), (c & F.col("odd").isin(0, 2)).alias("eulerian_path"), (c & (F.col("edges") == F.col("vertices") - 1)).alias("tree"))
+    return parts.groupBy("graph").agg(F.sum("n").alias("vertices"), F.expr("sum(degrees) div 2").alias("edges"), F.sum("degrees").alias("degree_sum"), F.max("most").alias("max_degree"), F.sum("odd").alias("odd"), (F.count("*") == 1).alias("connected"), F.bool_and("even").alias("bipartite"))
 
 
 _EDGES = "SELECT l_orderkey AS graph, l_partkey % 6 AS u, l_suppkey % 6 AS v FROM lineitem"

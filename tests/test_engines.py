@@ -88,6 +88,26 @@ def test_recurrences(spark):
         assert r["v"] == u[r["n"]] % r["m"]
 
 
+def test_small_graphs_stay_in_tasks(spark, monkeypatch):
+    """Graphs of few edges give the facts that vertex by vertex gives, without a table of all their edges; batches may end within one."""
+    rng = random.Random(11)
+    edges = [(g, rng.randrange(rng.choice([2, 5, 9])), rng.randrange(9)) for g in range(300) for _ in range(rng.randint(1, 12))]
+    frame = spark.createDataFrame(edges, "graph long, u long, v long")
+    want = numbers.spread_facts(frame.select("graph", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), frame.filter("false").select("graph", "u"))
+    want = {tuple(r) for r in want.collect()}
+    spread = []
+    monkeypatch.setattr(numbers, "labels", lambda edges: spread.append(edges) or pytest.fail("graphs of a few edges were spread"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {tuple(r)[:8] for r in numbers.graph_facts(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and not spread
+    monkeypatch.undo()
+    monkeypatch.setattr(numbers, "SMALL", 6)
+    assert {tuple(r)[:8] for r in numbers.graph_facts(frame).collect()} == want
+
+
 def test_graphs(spark):
     path = [("path", k, k + 1) for k in range(300)]
     ring = [("even ring", k, (k + 1) % 50) for k in range(50)] + [("odd ring", k, (k + 1) % 51) for k in range(51)]
