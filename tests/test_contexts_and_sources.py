@@ -131,3 +131,11 @@ def test_trimmed_texts(spark):
     docs = spark.createDataFrame([*rows, (99, 0, None)], "doc_id long, topic long, text string")
     got = trimming.trimmed_texts(docs, spark.createDataFrame([(t, sorted(w)) for t, w in words.items()], "topic long, words array<string>"), 200)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {**{i: plain_trim(t, words.get(k, set())) for i, k, t in rows}, 99: ""}
+
+
+def test_files_of_one_folder(spark):
+    """Each row is a file of its own, and none needs a folder of its own."""
+    path = files.written_alike(spark.createDataFrame([(f"text {k}\nline",) for k in range(25)], "text string"), "text")
+    found = spark.read.text(path, wholetext=True).selectExpr("value", "_metadata.file_path AS path").filter("value != ''").collect()
+    assert sorted(r["value"].strip() for r in found) == sorted(f"text {k}\nline" for k in range(25))
+    assert len({r["path"] for r in found}) == 25 and len({r["path"].rsplit("/", 1)[0] for r in found}) == 1
